@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import bitpack, mixing, packing
+
+
+def _vocabulary(name: str) -> str:
+    """A public tokenizer's file; the operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +24,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(_read(spark, sf_dir, "documents"))
 
 
+def op2_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.round_trip(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_bitpack": op2_bitpack,
+    "op7_packing": op7_packing,
 }
 
 SQL: dict[str, str] = {}
