@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, mixing, neardup, packing
+from . import bitpack, mixing, neardup, packing, substring
 
 
 def _vocabulary(name: str) -> str:
@@ -36,11 +36,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bitpack": op2_bitpack,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
+    "op9_substring": op9_substring,
 }
 
 SQL: dict[str, str] = {}
