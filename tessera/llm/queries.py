@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, mixing, neardup, packing, substring
+from . import bitpack, mixing, neardup, packing, substring, tiff
 
 
 def _vocabulary(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -43,6 +47,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bitpack": op2_bitpack,
+    "op3_tiff": op3_tiff,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
     "op9_substring": op9_substring,
