@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, mixing, neardup, packing, substring, tiff
+from . import bitpack, licenses, mixing, neardup, packing, substring, tiff, topk
 
 
 def _vocabulary(name: str) -> str:
@@ -44,13 +44,36 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_read(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("matches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bitpack": op2_bitpack,
     "op3_tiff": op3_tiff,
+    "op4_topk": op4_topk,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
     "op9_substring": op9_substring,
+    "op10_licenses": op10_licenses,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 10
+    """,
+}
