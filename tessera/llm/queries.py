@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, licenses, mixing, neardup, packing, substring, tiff, topk
+from . import bitpack, licenses, mixing, neardup, packing, quality, substring, tiff, topk, toxicity
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """A public tokenizer's file; the operators take its path as a parameter."""
     import public_tokenizers
 
@@ -25,15 +25,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitpack.round_trip(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return bitpack.round_trip(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest(_read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitpack": op2_bitpack,
     "op3_tiff": op3_tiff,
     "op4_topk": op4_topk,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
     "op9_substring": op9_substring,

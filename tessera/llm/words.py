@@ -14,6 +14,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: Parts words at every ASCII character but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -67,10 +69,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, lower: bool = False, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word of a batch of UTF-8 texts, and where each document's words begin (and all end)."""
     data, offsets = raw(column)
-    starts, ends, first = spans(data, offsets)
+    starts, ends, first = spans(data, offsets, blank)
     out = np.empty(len(starts), np.uint64)
     low = 0
     while low < len(starts):
