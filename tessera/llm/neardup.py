@@ -3,11 +3,11 @@
 Documents with equal sets are one class, and only its smallest doc_id goes on. Each class has ``BANDS`` keys of
 ``ROWS`` MinHash samples: two sets of similarity 0.8 share none with a probability of (1 - 0.8**6)**56 = 4e-8. The
 samples are also folded into an odd sketch, a bitmap of parities; the number of bits in which two sketches differ
-tells how many samples differ. Links are found in rounds. The first confirms one pair for each document, with the
-smallest document of the bucket that it shares most bands with, which joins large groups of near copies at once. In
-the later ones, the documents of a bucket that are still in different components are compared by their sketches, and
-pairs that may be similar are confirmed on full sets: in each bucket first the most alike pair of two components, then
-some, then all that are left. So no bucket is ever written out as all of its pairs, and none is capped.
+tells how many samples differ. The first pass confirms one pair for each document, with the smallest document of the
+bucket that it shares most bands with, which joins large groups of near copies at once. In the second, the documents of
+a bucket that are still in different components meet with their full sets; those whose sketches are alike are compared
+exactly, and a pair is left out only when links already found join its two documents. So no bucket is ever written out
+as its pairs, and none is capped; a large one is dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -27,10 +27,8 @@ ROWS, BANDS = 6, 56
 SKETCH_BITS = 1024
 #: Six standard deviations of the samples beyond what a similarity of 0.8 differs by on average; see ``differing_bits``.
 DEVIATIONS = 6.0
-#: Members of a bucket compared in one task at once.
-BLOCK = 4096
-#: Pairs confirmed for two components of one bucket in each later round; None: all that are left.
-ROUND_PAIRS = (1, 8, None)
+#: Members of a bucket, and shingles of their sets, that one block of it holds.
+BLOCK, BLOCK_SHINGLES = 2048, 1_500_000
 
 _U = np.uint64
 _COUNT = ROWS * BANDS
@@ -105,35 +103,40 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _alike(batches: Iterator[pa.RecordBatch], limit: float, pairs: int | None) -> Iterator[pa.RecordBatch]:
-    """Within one block pair of one bucket: pairs of different components whose sketches are alike, the most alike first."""
-    table = pa.Table.from_batches(list(batches))
+def _links(table: pa.Table, limit: float, percent: int) -> pa.Table:
+    """Within one block, or between the two blocks, of a bucket: links that join components which nothing joined before."""
     side, doc, comp = (table.column(k).to_numpy() for k in ("side", "doc", "comp"))
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(doc), -1)
-    order = np.lexsort((doc, comp))
-    side, doc, comp, bits = side[order], doc[order], comp[order], bits[order]
-    edges = np.flatnonzero(np.r_[True, comp[1:] != comp[:-1], True])
-    us, vs, zs, cs, ds = [], [], [], [], []
-    mixed = bool((side == 1).any())
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        for low in range(a, b, 256):
-            rows = slice(low, min(b, low + 256))
-            for at in range(b, len(doc), 4096):
-                cols = slice(at, at + 4096)
-                z = np.bitwise_count(bits[rows, None, :] ^ bits[None, cols, :]).sum(axis=2, dtype=np.int64)
-                ok = z <= limit
-                if mixed:
-                    ok &= side[rows, None] != side[None, cols]
-                i, j = np.nonzero(ok)
-                us.append(doc[rows][i]), vs.append(doc[cols][j]), zs.append(z[i, j]), cs.append(comp[rows][i]), ds.append(comp[cols][j])
-    u, v, z, c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, zs, cs, ds))
-    if pairs is not None and len(u):
-        order = np.lexsort((v, u, z, d, c))
-        u, v, c, d = u[order], v[order], c[order], d[order]
-        head = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
-        rank = np.arange(len(u)) - np.repeat(head, np.diff(np.r_[head, len(u)]))
-        u, v = u[rank < pairs], v[rank < pairs]
-    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+    _, label = np.unique(comp, return_inverse=True)
+    order = np.lexsort((doc, label, np.bincount(label)[label]))  # small components first
+    side, doc, label = side[order], doc[order], label[order]
+    sketches, sets = table.column("sketch").to_pylist(), table.column("shingles").to_pylist()
+    bits = np.frombuffer(b"".join(sketches[k] for k in order), np.uint64).reshape(len(doc), -1)
+    held = [np.frombuffer(sets[k], np.uint64) for k in order]
+    sizes = np.array([len(x) for x in held])
+    universe, where = np.unique(np.concatenate(held), return_inverse=True)
+    where = np.split(where.astype(np.int32), np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(universe), bool)
+    between = bool(side.any())
+    found = []
+    for i in range(len(doc) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if between:
+            rest = rest[side[rest] != side[i]]
+        if len(rest):
+            rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64) <= limit]
+            rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
+        if not len(rest):
+            continue
+        mark[where[i]] = True
+        for low in range(0, len(rest), 512):
+            some = rest[low : low + 512]
+            shared = np.add.reduceat(mark[np.concatenate([where[j] for j in some])], np.r_[0, np.cumsum(sizes[some])[:-1]], dtype=np.int64)
+            for j in some[100 * shared >= percent * (sizes[some] + sizes[i] - shared)].tolist():
+                if label[j] != label[i]:
+                    found.append((max(doc[i], doc[j]), min(doc[i], doc[j])))
+                    label[label == label[j]] = label[i]
+        mark[where[i]] = False
+    return pa.table({"u": pa.array([int(u) for u, _ in found], pa.int64()), "v": pa.array([int(v) for _, v in found], pa.int64())})
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -155,7 +158,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = stage(classes, "classes")
     chosen = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
     reps = sig.join(chosen, ["doc_id", "s1", "s2"], "left_semi")
-    banded = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("band"))
+    banded = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
     pivots = banded.groupBy("band").agg(F.min("doc").alias("pivot"), F.max("doc").alias("_last")).where("pivot <> _last").drop("_last")
     members = stage(banded.join(pivots, "band"), "members")
 
@@ -173,31 +176,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     tried = stage(shared.groupBy(F.col("doc").alias("u")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("v")), "pairs")
     links = stage(confirmed(tried), "links")
     found = stage(components(links), "components")
-    sketches = sig.select(F.col("doc_id").alias("doc"), "sketch")
+
+    # buckets that hold several components; of those with the same members one is enough
+    at = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("band", "doc", "size", F.coalesce("component", "doc").alias("comp"))
+    at = stage(at, "placed")
+    own = (F.xxhash64("doc").cast("decimal(20,0)"), F.xxhash64("doc", F.lit(1)).cast("decimal(20,0)"))
+    several = at.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"), F.sum(own[0]).alias("_s"), F.sum(own[1]).alias("_t")).where("_a <> _b")
+    several = several.groupBy("_n", "_s", "_t").agg(F.min("band").alias("band"), F.max("_size").alias("_size"))
+    blocks = F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_size") / BLOCK_SHINGLES)).cast("int")
+    left = stage(at.join(several.select("band", blocks.alias("_blocks")), "band"), "open")
+    full = sets.select(F.col("doc_id").alias("doc"), "shingles").join(sig.select(F.col("doc_id").alias("doc"), "sketch").where("sketch is not null"), "doc")
+    left = left.join(full, "doc").withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int"))
+    left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    left = left.select("band", "doc", "comp", "sketch", "shingles", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), F.when(F.col("_own") > F.col("_other"), 1).otherwise(0).alias("side"))
     limit = differing_bits(percent / 100)
-    for most in ROUND_PAIRS:
-        at = members.select("band", "doc").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("comp"))
-        at = stage(at, "placed")
-        open_ = at.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b")
-        left = at.join(open_.select("band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "band")
-        left = stage(left, "open")
-        if left.isEmpty():
-            break
-        ids = left.select("doc").distinct()
-        some = sketches.join(ids, "doc", "left_semi")
-        left = left.join(some, "doc").withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int"))
-        left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        left = left.select("band", "doc", "comp", "sketch", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), F.when(F.col("_own") > F.col("_other"), 1).otherwise(0).alias("side"))
-        # pairs of one block are compared where the block meets itself
-        pairs = left.groupBy("band", "_i", "_j").applyInArrow(_alike_group(limit, most), "u long, v long").distinct()
-        pairs = stage(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if most is None:
-                break
-            continue
-        tried = stage(tried.unionByName(pairs), "tried")
-        links = stage(links.unionByName(confirmed(pairs)), "links")
-        found = stage(components(links), "components")
+    more = left.groupBy("band", "_i", "_j").applyInArrow(lambda t: _links(t, limit, percent), "u long, v long")
+    more = stage(more.distinct(), "more-links")
+    if not more.isEmpty():
+        found = stage(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
     member = sig.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     member = member.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     joined = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -205,10 +201,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _alike_group(limit: float, pairs: int | None):
-    return lambda table: pa.Table.from_batches(list(_alike(iter(table.to_batches()), limit, pairs)))
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that repeat another one of their group; all columns stay."""
     gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
