@@ -32,7 +32,9 @@ CELLS_PER_BYTE = 0.5
 MOST_CELL_BITS = 28
 SLICE_BITS = 20
 #: Windows that a task holds before it writes out what it has; bytes of text for a slice of windows and for a group of documents.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
+#: Documents whose windows are worked out at once.
+ROWS = 250
 BYTES_PER_SLICE = 14_000_000
 BYTES_PER_GROUP = 8_000_000
 #: Occurrences of one slice that one task may hold.
@@ -89,8 +91,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.binary())], names=["slice", "cells"])
 
     for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            windows = _batch_windows(batch.column(0).slice(low, 1000), n)[0]
+        for low in range(0, batch.num_rows, ROWS):
+            windows = _batch_windows(batch.column(0).slice(low, ROWS), n)[0]
             held.append(windows)
             size += len(windows)
             if size >= FLUSH:
@@ -142,8 +144,8 @@ def _slice_of(h1: np.ndarray, slice_bits: int) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch], n: int, bits: int, slice_bits: int, sketch) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << slice_bits, np.int64)
     for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            h1 = _batch_windows(batch.column(1).slice(low, 1000), n)[0]
+        for low in range(0, batch.num_rows, ROWS):
+            h1 = _batch_windows(batch.column(1).slice(low, ROWS), n)[0]
             total += np.bincount(_slice_of(h1[_passed(h1, sketch.value, bits)], slice_bits), minlength=len(total))
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slice", "n"])
@@ -180,8 +182,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch], n: int, bits: int, slice_bit
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int32()), pa.array(blocks, pa.binary())], names=["slice", "sub", "block"])
 
     for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            part = batch.slice(low, 1000)
+        for low in range(0, batch.num_rows, ROWS):
+            part = batch.slice(low, ROWS)
             h1, h2, doc, place = _batch_windows(part.column(1), n)
             at = _passed(h1, sketch.value, bits)
             rows = np.empty(len(at), _ENTRY)
