@@ -1,5 +1,5 @@
 """Registered queries and their SQL, by family."""
 
-from . import spectral
+from . import spectral, sphere, sums
 
-FAMILIES = (spectral,)
+FAMILIES = (spectral, sphere, sums)

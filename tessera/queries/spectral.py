@@ -149,6 +149,6 @@ def _smooth_sql(limit: int, real: bool) -> str:
 
 
 for _real in (False, True):
-    _add("good_size" + "_real" * _real, lambda s, d, real=_real: S.good_sizes(T.table(s, d, "part").where("p_partkey <= 2000").select(F.col("p_partkey").alias("n")), "n", 2000, real), f"SELECT p_partkey AS n, min(v) AS good_size FROM part JOIN ({_smooth_sql(4000, _real)}) ON v >= p_partkey WHERE p_partkey <= 2000 GROUP BY 1")
+    _add("good_size" + "_real" * _real, lambda s, d, real=_real: S.good_sizes(T.table(s, d, "part").select(F.col("p_partkey").alias("n")), "n", 1 << 22, real), f"SELECT p_partkey AS n, v AS good_size FROM part ASOF JOIN ({_smooth_sql(1 << 23, _real)}) ON p_partkey <= v")
 
 _add("power_spectrum_hourly", lambda s, d: S.power_spectrum(S.dense(s, T.real_hourly(s, d), "n", N), N).withColumn("power", F.col("power") / 1e6), f"SELECT n AS k, {rnd('(re * re + im * im) / 1e6')} AS power FROM ({dft_sql(AS_COMPLEX, N, -1, '1.0::DOUBLE', N // 2 + 1)})")

@@ -79,12 +79,12 @@ def directions_sql() -> str:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """points(pid, x0, x1, x2, re, im): one per supplier of a fixed range, irregular in the unit box."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 100")
+    """points(pid, x0, x1, x2, re, im): one per supplier, irregular in the unit box."""
+    s = table(spark, sf_dir, "supplier")
     part = lambda m, q: (F.pmod(F.col("s_suppkey") * m, F.lit(q)) / F.lit(float(q)))
     return s.select(F.col("s_suppkey").alias("pid"), part(37, 101).alias("x0"), part(53, 103).alias("x1"), part(71, 107).alias("x2"), (F.col("s_acctbal") / 1000).alias("re"), (F.pmod(F.col("s_suppkey"), F.lit(7)) - 3.0).alias("im"))
 
 
 def points_sql() -> str:
     part = lambda m, q: f"((s_suppkey * {m}) % {q}) / {q}.0::DOUBLE"
-    return f"SELECT s_suppkey AS pid, {part(37, 101)} AS x0, {part(53, 103)} AS x1, {part(71, 107)} AS x2, s_acctbal / 1000 AS re, (s_suppkey % 7) - 3.0::DOUBLE AS im FROM supplier WHERE s_suppkey <= 100"
+    return f"SELECT s_suppkey AS pid, {part(37, 101)} AS x0, {part(53, 103)} AS x1, {part(71, 107)} AS x2, s_acctbal / 1000 AS re, (s_suppkey % 7) - 3.0::DOUBLE AS im FROM supplier"
