@@ -54,7 +54,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bucket_bits(rows: int, per_bucket: int = 5_000, most: int = 24) -> int:
+def bucket_bits(rows: int, per_bucket: int = 500, most: int = 24) -> int:
     """How many leading hash bits split ``rows`` rows into buckets of about ``per_bucket``."""
     return max(1, min(most, math.ceil(math.log2(max(2.0, rows / per_bucket)))))
 
