@@ -1,7 +1,9 @@
 """License notices: literal phrases, and an exact set-similarity join of text blocks with notice templates.
 
 A block is a line, or a paragraph between blank lines. A template matches a block that holds at least ``THRESHOLD`` of
-its distinct tokens. Each template's tokens are ordered by their number in all documents, rarest first. A block that
+its distinct tokens. The few tokens of a short template often stand scattered over a paragraph ("mit" is a German word),
+so there its blocks are windows of consecutive words over line ends, at most as many words longer than the template as
+tokens may be lacking; a window counts if it holds more of the template than the windows inside it. Each template's tokens are ordered by their number in all documents, rarest first. A block that
 reaches the threshold must hold one of the first |T| - need + 1 of them (prefix filter), must have ``need`` tokens
 itself (length filter), and, when the first one it holds is at place i, at least ``need`` must be left from there on
 (position filter). Only blocks that pass are counted, so no match is lost and few blocks are looked at. Templates are a
@@ -36,7 +38,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 THRESHOLD = 0.8
-#: Templates of fewer tokens are only sought in lines; more templates than this are refused.
+#: Templates of fewer tokens are sought in lines and windows, not in whole paragraphs; more templates than this are refused.
 SHORT = 16
 MOST_TEMPLATES = 20_000
 
@@ -56,25 +58,53 @@ class Index:
         self.tokens = [sorted(set(words_of(text.encode())), key=lambda t: (counts.get(t, 0), t)) for _, text in templates]
         self.sets = [frozenset(t) for t in self.tokens]
         self.need = [max(1, math.ceil(round(threshold * len(t), 9))) for t in self.tokens]
+        self.window = [len(words_of(text.encode())) + len(t) - n for (_, text), t, n in zip(templates, self.tokens, self.need, strict=True)]
         self.by_token: dict[bytes, list[tuple[int, int]]] = {}
         for k, (tokens, need) in enumerate(zip(self.tokens, self.need, strict=True)):
             for place, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.by_token.setdefault(token, []).append((k, place))
         self.prefixes = frozenset(self.by_token)
 
-    def matches(self, block: frozenset[bytes], paragraph: bool) -> Iterator[tuple[int, float]]:
-        """Templates that the block reaches, with the share of their tokens that it holds."""
+    def _reached(self, block: frozenset[bytes]) -> Iterator[tuple[int, int]]:
+        """Templates that the block reaches, with the number of their tokens that it holds."""
         seen: dict[int, int] = {}
         for token in block & self.prefixes:
             for k, place in self.by_token[token]:
                 seen[k] = min(place, seen.get(k, place))
         for k, place in sorted(seen.items()):
-            size = len(self.tokens[k])
-            if len(block) < self.need[k] or size - place < self.need[k] or paragraph and size < SHORT:
+            if len(block) < self.need[k] or len(self.tokens[k]) - place < self.need[k]:
                 continue
             shared = len(self.sets[k] & block)
             if shared >= self.need[k]:
-                yield k, shared / size
+                yield k, shared
+
+    def line(self, first: int, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
+        """Template, first word, number of words and share of the template's tokens, of each template that the line reaches."""
+        for k, shared in self._reached(frozenset(words)):
+            yield k, first, len(words), shared / len(self.tokens[k])
+
+    def paragraph(self, lines: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, int, int, float]]:
+        """The same of a paragraph of several lines, or for short templates of its windows over line ends."""
+        n_words = sum(len(words) for _, words in lines)
+        for k, shared in self._reached(frozenset(w for _, words in lines for w in words)):
+            if len(self.tokens[k]) >= SHORT:
+                yield k, lines[0][0], n_words, shared / len(self.tokens[k])
+            else:
+                yield from self._windows(k, lines)
+
+    def _windows(self, k: int, lines: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, int, int, float]]:
+        """Windows over line ends that reach a template, and hold less of it without their first or their last word."""
+        tokens = self.sets[k]
+        places = [(first + at, nth, word) for nth, (first, words) in enumerate(lines) for at, word in enumerate(words) if word in tokens]
+        for i, (start, top, own) in enumerate(places):
+            held = {own}
+            for at, nth, word in places[i + 1 : i + self.window[k]]:
+                if at - start >= self.window[k] or word == own:
+                    break
+                if word not in held:
+                    held.add(word)
+                    if nth > top and len(held) >= self.need[k]:
+                        yield k, start, at - start + 1, len(held) / len(tokens)
 
 
 def token_counts(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> dict[bytes, int]:
@@ -103,26 +133,20 @@ def _phrase_places(words: list[bytes], phrases: Mapping[str, str]) -> dict[str,
     return out
 
 
-def _blocks(text: bytes) -> Iterator[tuple[int, list[bytes], bool]]:
-    """First word, words and kind of each line and of each paragraph of more than one line."""
-    first = start = 0
-    held: list[bytes] = []
-    lines = 0
-    for line in [*text.translate(_WORDS).split(b"\n"), b""]:
+def _blocks(text: bytes) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """First word and words of the lines of each paragraph."""
+    first = 0
+    lines: list[tuple[int, list[bytes]]] = []
+    for line in text.translate(_WORDS).split(b"\n"):
         words = line.split()
         if words:
-            yield first, words, False
-            held += words
-            lines += 1
-        elif held:
-            if lines > 1:
-                yield start, held, True
-            held, lines = [], 0
-        first += len(words)
-        if not held:
-            start = first
-    if lines > 1:
-        yield start, held, True
+            lines.append((first, words))
+            first += len(words)
+        elif lines:
+            yield lines
+            lines = []
+    if lines:
+        yield lines
 
 
 _SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,template:int,first_word:long,n_words:long,containment:double>>"
@@ -151,9 +175,12 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
                 base = {} if needed.isdisjoint(words) else _phrase_places(words, phrases)
                 found = []
                 if not index.prefixes.isdisjoint(words):
-                    for first, block, paragraph in _blocks(text):
-                        if not index.prefixes.isdisjoint(block):
-                            found += [(index.labels[k], k, first, len(block), share) for k, share in index.matches(frozenset(block), paragraph)]
+                    for lines in _blocks(text):
+                        here = [(first, block) for first, block in lines if not index.prefixes.isdisjoint(block)]
+                        for first, block in here:
+                            found += [(index.labels[k], k, *span) for k, *span in index.line(first, block)]
+                        if here and len(lines) > 1:
+                            found += [(index.labels[k], k, *span) for k, *span in index.paragraph(lines)]
                 places = [p for at in base.values() for p in at]
                 named = {phrases[p] for p in base}
                 score = 1.0 if places else max((f[4] for f in found), default=0.0)

@@ -229,3 +229,36 @@ def test_license_containment_equals_brute_force(spark):
         expect |= {(k, 0) for k, t in enumerate(tokens) if len(t) >= licenses.SHORT and len(t & every) >= 0.8 * len(t) - 1e-9}
         assert got[i] == expect
     assert licenses.scan(S.empty_docs(spark)).count() == 0
+
+
+def test_short_licenses_across_line_ends(spark):
+    """Each short notice wrapped at any place is found whole, by the same test on every window of words; scattered words are no notice."""
+    rows = [(0, "Licensed under CC BY 4.0\nCreative Commons Attribution."), (0, "Kommt mit dem Brief.\nThis work, released at last, is\nlicensed under the Apache License.")]
+    rng = random.Random(12)
+    short = [k for k, (_, t) in enumerate(licenses.TEMPLATES) if len(set(licenses.words_of(t.encode()))) < licenses.SHORT]
+    for k in short:
+        w = licenses.TEMPLATES[k][1].split()
+        rows += [(k, "Some words\n# " + " ".join(w[:cut]) + "\n# " + " ".join(w[cut:]) + "\nand more.") for cut in range(1, len(w))]
+        rows.append((k, "\n".join(w)))
+        rows += [(k, "".join(x + rng.choice([" ", "\n", "\n", " other\n"]) for x in w if rng.random() < 0.9)) for _ in range(30)]
+        rows.append((k, "\n".join(x + "\nnothing of it" * 20 for x in w)))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    tokens = {k: set(licenses.words_of(licenses.TEMPLATES[k][1].encode())) for k in short}
+    for i, (_, text) in enumerate(rows):
+        lines = [licenses.words_of(x.encode()) for x in text.split("\n")]
+        every = [w for line in lines for w in line]
+        shares = {}
+        for k, t in tokens.items():
+            most = len(licenses.words_of(licenses.TEMPLATES[k][1].encode())) + len(t) // 5
+            blocks = [*lines, *[every[a : a + most] for a in range(len(every))]]
+            best = max((len(t.intersection(block)) / len(t) for block in blocks), default=0)
+            if best >= 0.8 - 1e-9:
+                shares[k] = best
+        found = {}
+        for m in got[i].matches:
+            if m.template in tokens:
+                found[m.template] = max(m.containment, found.get(m.template, 0))
+        assert found == shares, text
+    assert "cc-by" in got[0].labels.split(",") and got[0].score == 1.0
+    assert all(not got[i].matches for i, (_, t) in enumerate(rows) if t.count("nothing")) and got[1].labels == "apache"
