@@ -30,6 +30,8 @@ MAGIC = "TSRBITS1"
 #: Ids in a block, a multiple of 64, and ids in a file.
 BLOCK_IDS = 4096
 FILE_IDS = 8_000_000
+#: The part and the file within it, from Spark's file name; folders and the job's uuid may hold the same letters.
+_FILE = r"/part-(\d+)-[^/]*-c(\d+)[^/-]*$"
 
 
 def width(vocab_size: int) -> int:
@@ -149,8 +151,8 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and the ids as little-endian 32-bit bytes, read from the files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     head = F.substring("content", 1, HEADER).cast("string")
-    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
-    counts = files.select(F.col("path").alias("_path"), F.regexp_extract(head, r"ids=(\d+)", 1).cast("long").alias("_ids"), number(r"part-(\d+)").alias("_part"), number(r"-c(\d+)").alias("_nth"))
+    number = lambda group: F.regexp_extract("path", _FILE, group).cast("long")
+    counts = files.select(F.col("path").alias("_path"), F.regexp_extract(head, r"ids=(\d+)", 1).cast("long").alias("_ids"), number(1).alias("_part"), number(2).alias("_nth"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part", "_nth").rowsBetween(Window.unboundedPreceding, -1)
     base = stage(counts.select("_path", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_base")), "bitpack-base")
     docs = files.select("path", "content").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary, path string")

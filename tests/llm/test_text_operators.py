@@ -98,6 +98,20 @@ def test_bitpack_edges(spark, tmp_path):
         assert (bitpack.unpack(bitpack.pack(some, bits), bits)[:777] == some).all()
 
 
+def test_bitpack_several_files_a_part(spark, tmp_path):
+    """The numbers come from the file's own name, whatever the folders are called."""
+    docs = S.documents(spark)
+    path = f"file://{tmp_path}/part-7-c3/packed-ids-c1"
+    bitpack.write_packed(docs, path, WORDS_49K, file_ids=3000)
+    names = [p.name for p in (tmp_path / "part-7-c3/packed-ids-c1").glob("part-*")]
+    assert max(Counter(n.split("-")[1] for n in names).values()) > 9
+    got = bitpack.read_packed(spark, path).orderBy("doc_id").collect()
+    own = WordTokenizer(WORDS_49K)
+    expect = sorted((i, len(own.encode(t or "")) // 4 + 1) for i, t in pairs(docs))
+    assert [(r.doc_id, r.n_tokens) for r in got] == expect
+    assert [r.start for r in got] == np.cumsum([0] + [n for _, n in expect])[:-1].tolist()
+
+
 @pytest.mark.parametrize("source", ["edge", "table"])
 def test_packing(spark, source):
     docs = S.edge_docs(spark) if source == "edge" else S.documents(spark)
