@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memo of words.
 
 Both vocabularies split a text into words before they merge, so a word's ids do not depend on its neighbours. Words
-repeat, hence each worker remembers the ids of the words it has met. A text whose blanks are of any unusual kind goes
-through the library as a whole.
+repeat, hence each worker remembers the ids of the words it has met. A text whose blanks are of any unusual kind, or
+that holds an added token such as <|endoftext|>, goes through the library as a whole.
 """
 
 from __future__ import annotations
@@ -55,15 +55,18 @@ class _Memo(dict):
 class WordTokenizer:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
+    With ``literals`` an added token that stands in a text becomes its one id, as by the library's default; without, it
+    is a text like any other (the library's ``encode_special_tokens``).
     ``path`` is a tokenizers JSON file of one of two kinds: byte-level BPE whose words carry their leading space, or
     lower-casing BPE with word ends, which drops white space (``drops_blanks``).
     """
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS, literals: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not literals
+        self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if literals else []
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.drops_blanks = self.tokenizer.normalizer is not None
         self._letters = _byte_letters()
@@ -95,7 +98,7 @@ class WordTokenizer:
         """Ids as little-endian unsigned 32-bit integers, without the end id."""
         if not text:
             return b""
-        if not _plain_blanks(text):
+        if not _plain_blanks(text) or any(t in text for t in self._added):
             return self._whole(text)
         lines = []
         for line in text.split("\n"):
@@ -106,5 +109,5 @@ class WordTokenizer:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer per worker and file, with its memo, kept between tasks."""
-    return WordTokenizer(path)
+    """One tokenizer per worker and file, with its memo, kept between tasks; its ids are the unmodified library's."""
+    return WordTokenizer(path, literals=True)

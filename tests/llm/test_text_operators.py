@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import bitpack, licenses, mixing, neardup, packing, substring
-from tessera.llm.tokens import WordTokenizer
+from tessera.llm.tokens import WordTokenizer, tokenizer
 
 from . import samples as S
 
@@ -79,6 +79,24 @@ def test_tokenizer_equals_the_library(path):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("path", [WORDS_49K, BYTES_50K])
+def test_operators_tokenize_as_the_unmodified_library(spark, path):
+    plain, rng = Tokenizer.from_file(path), random.Random(4)
+    some = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "<|endoftext", "Word,", "it's", "a", "é", "12"]
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|startoftext|>b\nc", "x y"]
+    texts += [rng.choice(["", " ", "\n"]).join(rng.choice(some) for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+    expect = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, ids in zip(texts, expect, strict=True):
+        assert np.frombuffer(tokenizer(path).encode(t), "<u4").tolist() == ids, t
+    docs = spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")
+    if path == WORDS_49K:
+        got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in bitpack.round_trip(docs, path).collect()}
+        whole = [np.array([*ids, 1], "<u4") for ids in expect[:4]]
+        assert got == {i: (sum(map(len, whole[:i])), len(w), zlib.crc32(w.tobytes())) for i, w in enumerate(whole)}
+    else:
+        assert {r.doc_id: r.doc_tokens for r in packing.pack_documents(docs, path).collect()} == {i: len(ids) + 1 for i, ids in enumerate(expect[:4])}
+
+
 @pytest.mark.parametrize("source", ["edge", "table"])
 def test_bitpack(spark, source):
     docs = S.edge_docs(spark) if source == "edge" else S.documents(spark)
