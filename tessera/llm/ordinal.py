@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import stage
-from .words import MARKS, mix, raw, spans, word_hashes
+from .words import MARKS, mix, portions, raw, spans, word_hashes
 
 #: Rated documents that a model is fitted on, at most.
 SAMPLE = 20_000
@@ -85,6 +86,13 @@ def features(column: pa.Array, kinds: Sequence[str], presence: bool, wanted: np.
     return np.concatenate(docs), np.concatenate(buckets), np.concatenate(values)
 
 
+def _portions(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a bounded number of bytes of their column ``text``."""
+    for batch in batches:
+        for low, count in portions(batch.column(text)):
+            yield batch.slice(low, count)
+
+
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
@@ -138,7 +146,7 @@ def fit(doc: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarra
 
 def _statistics(batches: Iterator[pa.RecordBatch], kinds: Sequence[str], presence: bool) -> Iterator[pa.RecordBatch]:
     """For each bucket, the documents that hold it and the sum of their grades."""
-    for batch in batches:
+    for batch in _portions(batches, 1):
         grade = batch.column(0).to_numpy()
         doc, bucket, _ = features(batch.column(1), kinds, presence)
         some, where = np.unique(bucket, return_inverse=True)
@@ -148,7 +156,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], kinds: Sequence[str], presenc
 def _picked(batches: Iterator[pa.RecordBatch], kinds: Sequence[str], presence: bool, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
     wanted = np.zeros(1 << BUCKET_BITS, bool)
     wanted[buckets] = True
-    for batch in batches:
+    for batch in _portions(batches, 1):
         doc, bucket, value = features(batch.column(1), kinds, presence, wanted)
         order = np.argsort(doc, kind="stable")
         at = np.r_[0, np.cumsum(np.bincount(doc, minlength=batch.num_rows))].astype(np.int32)
@@ -179,25 +187,48 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, kinds: Sequence[str],
     return Model(tuple(kinds), presence, buckets, weights, thresholds)
 
 
+def _tails(texts: pa.Array, model: Model, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """P(grade > k) of each text, for each k."""
+    wanted, weight = table
+    doc, bucket, value = features(texts, model.kinds, model.presence, wanted)
+    return model.tails(np.bincount(doc, value * weight[bucket], minlength=len(texts)))
+
+
 def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    wanted, weight = model.table()
-    for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            part = batch.slice(low, 1000)
-            doc, bucket, value = features(part.column(1), model.kinds, model.presence, wanted)
-            tails = model.tails(np.bincount(doc, value * weight[bucket], minlength=part.num_rows))
-            lists = pa.ListArray.from_arrays(np.arange(0, tails.size + 1, tails.shape[1]).astype(np.int32), pa.array(tails.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tails.sum(axis=1)), lists], names=["_row", "expected", "tails"])
+    table = model.table()
+    for part in _portions(batches, 1):
+        tails = _tails(part.column(1), model, table)
+        lists = pa.ListArray.from_arrays(np.arange(0, tails.size + 1, tails.shape[1]).astype(np.int32), pa.array(tails.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tails.sum(axis=1)), lists], names=["_row", "expected", "tails"])
 
 
 def score(docs: DataFrame, model: Model | None, row_columns: Sequence[str]) -> DataFrame:
     """``_row`` (the named columns), expected grade and tails P(grade > k) of each row. Null text counts as empty.
 
-    Without a model (no ratings, or all alike) both are null.
+    Texts of any length are read whole. Without a model (no ratings, or all alike) both are null.
     """
     row = F.struct(*[docs[f"`{c}`"] for c in row_columns]).alias("_row")
     if model is None:
         return docs.select(row, F.lit(None).cast("double").alias("expected"), F.lit(None).cast("array<double>").alias("tails"))
     rows = docs.select(row, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(lambda b: _scores(b, held.value), f"_row {rows.schema['_row'].dataType.simpleString()}, expected double, tails array<double>")
+    schema = StructType([rows.schema["_row"], StructField("expected", DoubleType()), StructField("tails", ArrayType(DoubleType()))])
+    return rows.mapInArrow(lambda b: _scores(b, held.value), schema)
+
+
+def reaching(docs: DataFrame, model: Model | None, grade: int, least: float) -> DataFrame:
+    """The rows, with all their columns, whose P(grade >= ``grade``) is at least ``least``; all rows without a model.
+
+    A grade beyond the model's is reached with probability 0, one of 0 or less with 1.
+    """
+    if model is None or grade <= 0:
+        return docs
+    held, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value.table()
+        for part in _portions(batches, text):
+            tails = _tails(part.column(text), held.value, table)
+            yield part.filter(pa.array(tails[:, grade - 1] >= least if grade <= tails.shape[1] else np.full(len(tails), 0.0 >= least)))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -24,11 +24,10 @@ def rated(docs: DataFrame, labels: DataFrame, least_grade: int = LEAST_GRADE, le
     every row is kept. Repeated rows are rated alike.
     """
     scored = ordinal.score(docs, model(docs, labels), ["doc_id"])
-    tail = F.get("tails", F.lit(least_grade - 1))
+    tail = F.coalesce(F.get("tails", F.lit(least_grade - 1)), F.when(F.col("tails").isNotNull(), 0.0))  # no document reaches a grade beyond the rated ones
     return scored.select("_row.doc_id", F.col("expected").alias("expected_grade"), tail.alias("p_good"), F.coalesce(tail >= least_tail, F.lit(True)).alias("kept"))
 
 
 def select(docs: DataFrame, labels: DataFrame, least_grade: int = LEAST_GRADE, least_tail: float = LEAST_TAIL) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    scored = ordinal.score(docs, model(docs, labels), docs.columns)
-    return scored.where(F.coalesce(F.get("tails", F.lit(least_grade - 1)) >= least_tail, F.lit(True))).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    """The documents that stay, with all their columns; what ``rated`` says of nulls, empty texts and ratings holds."""
+    return ordinal.reaching(docs, model(docs, labels), least_grade, least_tail)

@@ -1,218 +1,169 @@
 """Removing passages that an earlier document holds, by windows of words behind a count-min prefilter.
 
 A window is ``WINDOW`` consecutive words of one document. Every window falls on one cell in each of ``DEPTH`` rows of
-a sketch, so a cell counts at least as many windows as any of its own. Tasks count into sketches of their own, which
-are cut into slices and merged slice by slice, with counts that stop at two. A window can only be repeated if all of
-its cells reached two; the second pass groups just these windows exactly, by 80 bits of hash, and none that is repeated
-is lost. The sketch has a fixed largest size: beyond it more windows pass the filter, and the result stays the same.
-
-Windows travel as blocks of arrays, one for each slice of the hashes, and so do the marks that come back to the texts.
-A slice that holds more occurrences than ``SLICE_MOST`` (a passage that a large share of all documents holds) is dealt
-to several tasks, which exchange only the first document of each window.
+a sketch, so a cell counts at least as many windows as any of its own. The sketch grows with the input and is never in
+one place: it is cut into slices of cells. Documents are dealt to groups of about ``BYTES_PER_GROUP``; a group sends
+each slice the sorted cells that it met, as gaps, and whether it met them more than once. A slice adds up its lists,
+with counts that stop at two, and answers each list with one bit a cell: whether the cell reached two. A window can
+only be repeated if all of its cells did.
+
+In the second pass the groups send just these windows, each once with the first document of the group that holds it, to
+ranges of the windows' hashes. There they are grouped exactly, by 96 bits of hash, and the groups that hold a window
+also in a later document get its first document back. The third pass removes words by these answers. A window that
+a third of all documents hold is sent once by each group, so it needs no task of its own; no range or slice is capped.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .words import mix, raw, spans, window_hashes, word_hashes
+from .words import mix, portions, window_hashes, word_hashes
 
 WINDOW = 13
 DEPTH = 2
-#: Cells of a row for each byte of text, and the most cells of a row: a broadcast of at most DEPTH * 32 MB.
-CELLS_PER_BYTE = 0.5
-MOST_CELL_BITS = 28
-SLICE_BITS = 20
-#: Windows that a task holds before it writes out what it has; bytes of text for a slice of windows and for a group of documents.
-FLUSH = 2_000_000
-#: Documents whose windows are worked out at once.
-ROWS = 250
-BYTES_PER_SLICE = 14_000_000
-BYTES_PER_GROUP = 8_000_000
-#: Occurrences of one slice that one task may hold.
-SLICE_MOST = 6_000_000
+#: Cells of a row for each byte of text: about seven for each window.
+CELLS_PER_BYTE = 1.0
+#: Base-2 logarithms of the cells of a slice, at least and at most, and of the slices of a row where both allow it.
+SLICE_BITS_LEAST, SLICE_BITS_MOST, ROW_SLICES_BITS = 16, 26, 8
+#: Bytes of text for a group of documents and for a range of windows.
+BYTES_PER_GROUP = 4_000_000
+BYTES_PER_RANGE = 32_000_000
 
 _U = np.uint64
-_ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u2"), ("doc", "<u2"), ("place", "<u4")])
-_MARK = np.dtype([("doc", "<i8"), ("text", "<u4"), ("place", "<u4")])
-_FIRST = np.dtype([("h1", "<u8"), ("h2", "<u2"), ("low", "<i8"), ("high", "<i8")])
 
 
 def cell_bits(n_bytes: int) -> int:
-    """Base-2 logarithm of the cells of a row for so many bytes of text; grows with the input up to the fixed bound."""
-    return max(SLICE_BITS, min(MOST_CELL_BITS, math.ceil(math.log2(max(1.0, n_bytes * CELLS_PER_BYTE)))))
+    """Base-2 logarithm of the cells of a row for so many bytes of text; grows with the input without a bound."""
+    return max(SLICE_BITS_LEAST, math.ceil(math.log2(max(1.0, n_bytes * CELLS_PER_BYTE))))
+
+
+def slice_bits(bits: int) -> int:
+    """Base-2 logarithm of the cells of a slice: about 2**ROW_SLICES_BITS slices a row, until a slice is as large as a task may hold."""
+    return min(bits, SLICE_BITS_MOST, max(SLICE_BITS_LEAST, bits - ROW_SLICES_BITS))
 
 
 def cells(windows: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(windows + _U((row + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> _U(64 - bits)).astype(np.int64)
 
 
-def _batch_windows(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each window of a batch, the number of its document in the batch and its place there."""
+def _windows(column: pa.Array, n: int, second: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each window of a batch, its document's number, its first word among the batch's words, and each document's first word."""
     words, first = word_hashes(column)
-    every, other = window_hashes(words, n), window_hashes(words, n, 7)
     counts = np.maximum(0, np.diff(first) - n + 1)
     doc = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(first[:-1], counts) + place
-    return every[at], (other[at] >> _U(48)).astype(np.uint16), doc, place
-
-
-def _sketch(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the task's own sketch: the cells it met, as gaps, and whether it met them more than once."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        windows = np.concatenate(held)
-        for row in range(DEPTH):
-            met = cells(windows, row, bits)
-            met.sort()
-            head = np.flatnonzero(np.r_[True, met[1:] != met[:-1]])
-            more = np.diff(np.r_[head, len(met)]) > 1
-            met = met[head]
-            part = met >> SLICE_BITS
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-            keys, lists = [], []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                keys.append(row << (bits - SLICE_BITS) | int(part[a]))
-                gaps = np.diff(met[a:b] & ((1 << SLICE_BITS) - 1), prepend=0)
-                wide = gaps >= 255
-                body = np.where(wide, 255, gaps).astype(np.uint8).tobytes() + np.packbits(more[a:b]).tobytes() + gaps[wide].astype("<u4").tobytes()
-                lists.append(int(b - a).to_bytes(4, "little") + body)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.binary())], names=["slice", "cells"])
-
-    for batch in batches:
-        for low in range(0, batch.num_rows, ROWS):
-            windows = _batch_windows(batch.column(0).slice(low, ROWS), n)[0]
-            held.append(windows)
-            size += len(windows)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
-    if size:
-        yield from flush()
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """Adds up a slice's lists, with counts that stop at two, into the bitmap of its cells that reached two."""
-    once, twice = np.zeros(1 << SLICE_BITS, bool), np.zeros(1 << SLICE_BITS, bool)
-    for cells_ in table.column("cells"):
-        data = cells_.as_py()
-        k = int.from_bytes(data[:4], "little")
-        gaps = np.frombuffer(data, np.uint8, k, 4).astype(np.int64)
-        more = np.unpackbits(np.frombuffer(data, np.uint8, -(-k // 8), 4 + k), count=k).astype(bool)
-        wide = np.frombuffer(data[4 + k + -(-k // 8) :], "<u4")
-        gaps[gaps == 255] = wide
-        at = np.cumsum(gaps)
-        twice[at[more | once[at]]] = True
-        once[at] = True
-    return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary())})
+    at = np.arange(len(doc)) + np.repeat(first[:-1] - np.cumsum(counts) + counts, counts)
+    every = window_hashes(words, n)
+    other = (window_hashes(words, n, 7)[at] >> _U(32)).astype(np.uint32) if second else np.zeros(0, np.uint32)
+    return every[at], other, doc, at, first
 
 
-def repeated_cells(texts: DataFrame, n: int, bits: int) -> np.ndarray:
-    """The merged sketch as ``DEPTH`` rows of bits: whether a cell counts two or more. At most DEPTH * 2**MOST_CELL_BITS bits."""
-    slices = texts.mapInArrow(lambda b: _sketch(b, n, bits), "slice long, cells binary")
-    merged = slices.groupBy("slice").applyInArrow(_merge, "slice long, bits binary")
-    out = np.zeros((DEPTH << (bits - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
-    for row in merged.toLocalIterator():
-        out[row.slice] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
-    return out.reshape(DEPTH, -1)
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name)
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-def _passed(windows: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
-    """Numbers of the windows whose cells all reached two."""
-    at = np.arange(len(windows))
-    for row in range(DEPTH):
-        cell = cells(windows[at], row, bits)
-        at = at[(sketch[row][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)]
-    return at
+def _known(texts: pa.Table) -> pa.Table:
+    """The rows whose document has an id."""
+    ids = _column(texts, "_doc")
+    return texts.filter(ids.is_valid()) if ids.null_count else texts
 
 
-def _slice_of(h1: np.ndarray, slice_bits: int) -> np.ndarray:
-    return (h1 >> _U(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(h1), np.int64)
+def _group_windows(texts: pa.Table, n: int, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes and the doc_id of all windows of a group."""
+    texts = _known(texts)
+    column, ids = _column(texts, "_text"), _column(texts, "_doc").to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = [(np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    for low, count in portions(column):
+        h1, h2, doc, _, _ = _windows(column.slice(low, count), n, second)
+        parts.append((h1, h2, ids[low + doc]))
+    h1, h2, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h1, h2, doc
 
 
-def _counts(batches: Iterator[pa.RecordBatch], n: int, bits: int, slice_bits: int, sketch) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << slice_bits, np.int64)
-    for batch in batches:
-        for low in range(0, batch.num_rows, ROWS):
-            h1 = _batch_windows(batch.column(1).slice(low, ROWS), n)[0]
-            total += np.bincount(_slice_of(h1[_passed(h1, sketch.value, bits)], slice_bits), minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slice", "n"])
+def _table(**columns: tuple[list, pa.DataType]) -> pa.Table:
+    return pa.table({k: pa.array(values, kind) for k, (values, kind) in columns.items()})
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], n: int, bits: int, slice_bits: int, sketch, parts: dict[int, int], crowded: bool) -> Iterator[pa.RecordBatch]:
-    """Blocks of the windows that pass: for each slice their hashes, documents and places.
+def encode_cells(at: np.ndarray, more: np.ndarray) -> bytes:
+    """Sorted distinct numbers as gaps of one, two or four bytes, with longer gaps apart, and a bit for each."""
+    gaps = np.diff(at, prepend=0)
+    mean = int(at[-1]) / len(at) if len(at) else 0
+    width = 1 if mean < 60 else 2 if mean < 15_000 else 4
+    top = (1 << 8 * width) - 1
+    wide = gaps >= top
+    return b"".join([bytes([width]), len(at).to_bytes(4, "little"), np.where(wide, top, gaps).astype(f"<u{width}").tobytes(), gaps[wide].astype("<u8").tobytes(), np.packbits(more).tobytes()])
 
-    ``parts`` says into how many a crowded slice is dealt; only these slices are written if ``crowded``, else the others.
-    """
-    ids: list[int] = []
-    crcs: list[int] = []
-    held: list[np.ndarray] = []
-    size = turn = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        entries = np.concatenate(held)
-        part = _slice_of(entries["h1"], slice_bits)
-        if parts:
-            keep = np.isin(part, list(parts)) == crowded
-            entries, part = entries[keep], part[keep]
-        order = np.argsort(part, kind="stable")
-        entries, part = entries[order], part[order]
+
+def decode_cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width, k = data[0], int.from_bytes(data[1:5], "little")
+    gaps = np.frombuffer(data, f"<u{width}", k, 5).astype(np.int64)
+    wide, at = gaps == (1 << 8 * width) - 1, 5 + width * k
+    n_wide = int(wide.sum())
+    gaps[wide] = np.frombuffer(data, "<u8", n_wide, at)
+    return np.cumsum(gaps), np.unpackbits(np.frombuffer(data, np.uint8, -1, at + 8 * n_wide), count=k).astype(bool)
+
+
+def _cells_met(texts: pa.Table, n: int, bits: int, size: int) -> pa.Table:
+    """For each slice that a group meets, the cells of it."""
+    keys, lists = [], []
+    windows = _group_windows(texts, n, second=False)[0]
+    for row in range(DEPTH):
+        met = cells(windows, row, bits)
+        met.sort()
+        head = np.flatnonzero(np.r_[True, met[1:] != met[:-1]]) if len(met) else np.zeros(0, np.int64)
+        more = np.diff(np.r_[head, len(met)]) > 1
+        met = met[head]
+        part = met >> size
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
-        keys, subs, blocks = [], [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own, local = np.unique(entries["doc"][a:b], return_inverse=True)
-            rows = entries[a:b].copy()
-            rows["doc"] = local
-            keys.append(int(part[a]))
-            subs.append((turn + hash(ids[0])) % parts.get(keys[-1], 1) if parts else 0)
-            head = np.array([len(own), len(rows)], "<u4").tobytes()
-            blocks.append(head + np.array(ids, "<i8")[own].tobytes() + np.array(crcs, "<u4")[own].tobytes() + b"".join(rows[f].tobytes() for f in ("h1", "h2", "doc", "place")))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int32()), pa.array(blocks, pa.binary())], names=["slice", "sub", "block"])
-
-    for batch in batches:
-        for low in range(0, batch.num_rows, ROWS):
-            part = batch.slice(low, ROWS)
-            h1, h2, doc, place = _batch_windows(part.column(1), n)
-            at = _passed(h1, sketch.value, bits)
-            rows = np.empty(len(at), _ENTRY)
-            rows["h1"], rows["h2"], rows["doc"], rows["place"] = h1[at], h2[at], doc[at] + len(ids), place[at]
-            ids += part.column(0).to_pylist()
-            crcs += [zlib.crc32(t.as_buffer()) for t in part.column(1)]
-            held.append(rows)
-            size += len(rows)
-            if size >= FLUSH or len(ids) > 60_000:
-                yield from flush()
-                ids, crcs, held, size, turn = [], [], [], 0, turn + 1
-    if size:
-        yield from flush()
-
-
-def _read_blocks(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """h1, h2, doc, text checksum and place of all occurrences of a group."""
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
-    for block in table.column("block"):
-        data = block.as_buffer()
-        d, k = (int(v) for v in np.frombuffer(data, "<u4", 2))
-        at = 8
-        ids, crcs = np.frombuffer(data, "<i8", d, at), np.frombuffer(data, "<u4", d, at + 8 * d)
-        at += 12 * d
-        h1, h2 = np.frombuffer(data, "<u8", k, at), np.frombuffer(data, "<u2", k, at + 8 * k)
-        doc, place = np.frombuffer(data, "<u2", k, at + 10 * k), np.frombuffer(data, "<u4", k, at + 12 * k)
-        for held, values in zip(out, (h1, h2, ids[doc], crcs[doc], place), strict=True):
-            held.append(values)
-    return tuple(np.concatenate(x) for x in out)
+            keys.append(row << (bits - size) | int(part[a]))
+            lists.append(encode_cells(met[a:b] & ((1 << size) - 1), more[a:b]))
+    group = texts.column("grp")[0].as_py()
+    return _table(slice=(keys, pa.int64()), grp=([group] * len(keys), pa.int64()), cells=(lists, pa.binary()))
+
+
+def _answers(lists: pa.Table, size: int) -> pa.Table:
+    """Adds up a slice's lists and answers each with a bit for each of its cells; lists without a full cell get none."""
+    once, twice = np.zeros(1 << size, bool), np.zeros(1 << size, bool)
+    for data in lists.column("cells"):
+        at, more = decode_cells(data.as_py())
+        twice[at[more | once[at]]] = True
+        once[at] = True
+    groups, bits = [], []
+    for group, data in zip(lists.column("grp").to_pylist(), lists.column("cells"), strict=True):
+        full = twice[decode_cells(data.as_py())[0]]
+        if full.any():
+            groups.append(group)
+            bits.append(np.packbits(full).tobytes())
+    key = lists.column("slice")[0].as_py()
+    return _table(grp=(groups, pa.int64()), slice=([key] * len(groups), pa.int64()), bits=(bits, pa.binary()))
+
+
+def _passed(windows: np.ndarray, answers: pa.Table, bits: int, size: int) -> np.ndarray:
+    """Whether all cells of each window reached two."""
+    out = np.ones(len(windows), bool)
+    held: dict[int, bytes] = dict(zip(answers.column("slice").to_pylist(), answers.column("bits").to_pylist(), strict=True))
+    for row in range(DEPTH):
+        known, where = np.unique(cells(windows, row, bits), return_inverse=True)
+        full = np.zeros(len(known), bool)
+        for key, data in held.items():
+            if key >> (bits - size) == row:
+                part = key & ((1 << (bits - size)) - 1)
+                a, b = np.searchsorted(known, [part << size, part + 1 << size])
+                if len(data) != -(-(b - a) // 8):
+                    raise ValueError("a group's texts differ from those it counted")
+                full[a:b] = np.unpackbits(np.frombuffer(data, np.uint8), count=b - a)
+        out &= full[where]
+    return out
 
 
 def _grouped(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,149 +173,151 @@ def _grouped(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
         order = np.lexsort((h2, h1))
         a, b = h1[order], h2[order]
-    return order, np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-
-
-def _marks(doc: np.ndarray, crc: np.ndarray, place: np.ndarray, groups: int) -> pa.Table:
-    """Marks dealt to the groups of documents that they belong to."""
-    marks = np.empty(len(doc), _MARK)
-    marks["doc"], marks["text"], marks["place"] = doc, crc, place
-    group = _group_of(doc, groups)
-    order = np.argsort(group, kind="stable")
-    marks, group = marks[order], group[order]
-    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else []
-    return pa.table({"grp": pa.array([int(group[a]) for a in cuts[:-1]], pa.int64()), "marks": pa.array([zlib.compress(marks[a:b].tobytes(), 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
-
-
-def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(np.asarray(doc, np.int64).view(np.uint64)) % _U(groups)).astype(np.int64)
+    return order, np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+
+
+def _asked(texts: pa.Table, answers: pa.Table, n: int, bits: int, size: int, range_bits: int) -> pa.Table:
+    """The windows of a group that pass the sketch, for each range of hashes: the hashes, the first document and whether a later one holds it too."""
+    keys, lists = [], []
+    if texts.num_rows and answers.num_rows:
+        h1, h2, doc = _group_windows(texts, n, second=True)
+        at = np.flatnonzero(_passed(h1, answers, bits, size))
+        h1, h2, doc = h1[at], h2[at], doc[at]
+        order, head = _grouped(h1, h2)
+        low, high = (np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)) if len(head) else (doc, doc)
+        h1, h2 = h1[order][head], h2[order][head]
+        part = _range_of(h1, range_bits)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            keys.append(int(part[a]))
+            lists.append(b"".join([int(b - a).to_bytes(4, "little"), h1[a:b].tobytes(), h2[a:b].tobytes(), low[a:b].tobytes(), np.packbits(high[a:b] > low[a:b]).tobytes()]))
+    group = texts.column("grp")[0].as_py() if texts.num_rows else 0
+    return _table(range=(keys, pa.int64()), grp=([group] * len(keys), pa.int64()), windows=(lists, pa.binary()))
 
 
-def _resolve(table: pa.Table, groups: int) -> pa.Table:
-    """The exact pass over a slice: marks each occurrence whose window has an earlier document."""
-    h1, h2, doc, crc, place = _read_blocks(table)
-    order, head = _grouped(h1, h2)
-    first = np.repeat(np.minimum.reduceat(doc[order], head), np.diff(np.r_[head, len(order)]))
-    later = order[doc[order] > first]
-    return _marks(doc[later], crc[later], place[later], groups)
+def _range_of(h1: np.ndarray, range_bits: int) -> np.ndarray:
+    return (h1 >> _U(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(h1), np.int64)
 
 
-def _first_docs(h1: np.ndarray, h2: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def _firsts(lists: pa.Table) -> pa.Table:
+    """The exact pass over a range: groups that hold a window in a later document than its first one get that document."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    sizes = []
+    for block in lists.column("windows"):
+        data = block.as_buffer()
+        k = int.from_bytes(data[:4].to_pybytes(), "little")
+        sizes.append(k)
+        parts[0].append(np.frombuffer(data, "<u8", k, 4))
+        parts[1].append(np.frombuffer(data, "<u4", k, 4 + 8 * k))
+        parts[2].append(np.frombuffer(data, "<i8", k, 4 + 12 * k))
+        parts[3].append(np.unpackbits(np.frombuffer(data, np.uint8, -1, 4 + 20 * k), count=k).astype(bool))
+    h1, h2, low, more = (np.concatenate(x) for x in parts)
     order, head = _grouped(h1, h2)
-    out = np.empty(len(head), _FIRST)
-    out["h1"], out["h2"] = h1[order][head], h2[order][head]
-    out["low"], out["high"] = np.minimum.reduceat(low[order], head), np.maximum.reduceat(high[order], head)
-    return out
-
-
-def _part_firsts(table: pa.Table) -> pa.Table:
-    h1, h2, doc, _, _ = _read_blocks(table)
-    return pa.table({"slice": table.column("slice")[:1], "firsts": pa.array([_first_docs(h1, h2, doc, doc).tobytes()], pa.binary())})
-
-
-def _slice_firsts(table: pa.Table) -> pa.Table:
-    every = np.concatenate([np.frombuffer(x.as_buffer(), _FIRST) for x in table.column("firsts")])
-    firsts = _first_docs(*(every[f] for f in ("h1", "h2", "low", "high")))
-    return pa.table({"slice": table.column("slice")[:1], "firsts": pa.array([firsts[firsts["low"] != firsts["high"]].tobytes()], pa.binary())})
-
-
-def _mark_part(occurrences: pa.Table, firsts: pa.Table, groups: int) -> pa.Table:
-    empty = np.zeros(0, np.int64)
-    if not occurrences.num_rows or not firsts.num_rows:
-        return _marks(empty, empty, empty, groups)
-    h1, h2, doc, crc, place = _read_blocks(occurrences)
-    known = np.frombuffer(firsts.column("firsts")[0].as_buffer(), _FIRST)
-    alike = np.concatenate([known["h1"], h1]), np.concatenate([known["h2"], h2])
-    order, head = _grouped(*alike)  # a known window comes before its occurrences
-    lead = order[np.repeat(head, np.diff(np.r_[head, len(order)]))]
-    low = np.where(lead < len(known), known["low"][np.minimum(lead, len(known) - 1)] if len(known) else 0, np.iinfo(np.int64).max)
-    at = order - len(known)
-    later = at[(at >= 0) & (np.r_[known["low"], doc][order] > low)]
-    return _marks(doc[later], crc[later], place[later], groups)
-
-
-def _cut(texts: pa.Table, marks: pa.Table, n: int, with_text: bool) -> pa.Table:
-    """A group's texts without the words that their marked windows cover."""
-    found = [np.frombuffer(zlib.decompress(m.as_py()), _MARK) for m in marks.column("marks")]
-    held = np.concatenate(found) if found else np.empty(0, _MARK)
-    held = held[np.lexsort((held["text"], held["doc"]))]
-    column = texts.column("_text").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    data, offsets = raw(column)
-    _, _, first = spans(data, offsets)
-    lost, shas, kept_texts = [], [], []
-    for k, key in enumerate(texts.column("_doc").to_pylist()):
-        whole = data[offsets[k] : offsets[k + 1]].tobytes()
-        words, count, gone = whole.split(), 0, None
-        if key is not None:
-            a, b = np.searchsorted(held["doc"], key, "left"), np.searchsorted(held["doc"], key, "right")
-            places = held["place"][a:b]
-            if a < b and held["text"][a] != held["text"][b - 1] or a < b and held["text"][a] != (crc := zlib.crc32(whole)):
-                places = places[held["text"][a:b] == zlib.crc32(whole)]
-            if len(places):
-                depth = np.bincount(places, minlength=len(words) + 1) - np.bincount(places + np.uint32(n), minlength=len(words) + 1)
-                gone = np.cumsum(depth[:-1]) > 0
-                count = int(gone.sum())
-        if count:
-            words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-        kept = b" ".join(words)
-        lost.append(count)
-        shas.append(hashlib.sha256(kept).hexdigest())
-        kept_texts.append((kept if count else whole).decode() if with_text else None)
-    out = {"_row": texts.column("_row"), "n_words": pa.array(np.diff(first).astype(np.int64)), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string()), "kept_text": pa.array(kept_texts, pa.string())}
-    return pa.table(out)
-
-
-def remove_repeats(docs: DataFrame, n: int = WINDOW, with_text: bool = True, slice_most: int = SLICE_MOST) -> DataFrame:
+    first = np.empty(len(h1), np.int64)
+    first[order] = np.repeat(np.minimum.reduceat(low[order], head), np.diff(np.r_[head, len(h1)]))
+    told = (first < low) | more
+    groups, found, a = [], [], 0
+    for group, k in zip(lists.column("grp").to_pylist(), sizes, strict=True):
+        at = a + np.flatnonzero(told[a : a + k])
+        a += k
+        if len(at):
+            groups.append(group)
+            found.append(h1[at].tobytes() + h2[at].tobytes() + first[at].tobytes())
+    return _table(grp=(groups, pa.int64()), firsts=(found, pa.binary()))
+
+
+def _first_docs(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and first documents of a group's repeated windows, in order."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, _U)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]]
+    for block in answers.column("firsts"):
+        data = block.as_buffer()
+        k = len(data) // 20
+        for held, kind, at in zip(parts, ("<u8", "<u4", "<i8"), (0, 8 * k, 12 * k), strict=True):
+            held.append(np.frombuffer(data, kind, k, at))
+    h1, h2, first = (np.concatenate(x) for x in parts)
+    order = np.lexsort((h2, h1))
+    return h1[order], h2[order], first[order]
+
+
+def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Numbers of the windows that a smaller document holds."""
+    if not len(known[0]):
+        return np.zeros(0, np.int64)
+    left = np.searchsorted(known[0], h1)
+    out: list[np.ndarray] = []
+    at = np.flatnonzero(left < len(known[0]))
+    left = left[at]
+    while len(at):  # windows of one first hash follow each other; as a rule there is one
+        same = known[0][left] == h1[at]
+        at, left = at[same], left[same]
+        hit = known[1][left] == h2[at]
+        out.append(at[hit & (known[2][left] < doc[at])])
+        at, left = at[~hit], left[~hit] + 1
+        inside = left < len(known[0])
+        at, left = at[inside], left[inside]
+    return np.concatenate(out) if out else at
+
+
+def _cut(texts: pa.Table, answers: pa.Table, n: int, with_text: bool) -> pa.Table:
+    """A group's texts without the words that a repeated window covers."""
+    known, ids, column = _first_docs(answers), _column(texts, "_doc"), _column(texts, "_text")
+    valid = ids.is_valid().to_numpy(zero_copy_only=False)
+    numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    counts, lost, shas, kept_texts = [], [], [], []
+    for low, rows in portions(column):
+        part = column.slice(low, rows)
+        h1, h2, doc, at, first = _windows(part, n)
+        marked = _later(h1, h2, numbers[low + doc], known)
+        marked = at[marked[valid[low + doc[marked]]]]
+        depth = np.bincount(marked, minlength=first[-1] + 1) - np.bincount(marked + n, minlength=first[-1] + 1)
+        kept = np.cumsum(depth)[: first[-1]] == 0
+        counts.append(np.diff(first))
+        for k in range(rows):
+            own, whole = kept[first[k] : first[k + 1]], part[k].as_py()
+            words = whole.split()
+            lost.append(gone := len(own) - int(np.count_nonzero(own)))
+            left = b" ".join(compress(words, own.tolist()) if gone else words)
+            shas.append(hashlib.sha256(left).hexdigest())
+            if with_text:
+                kept_texts.append((left if gone else whole).decode())
+    return pa.table({
+        "_row": _column(texts, "_row"), "n_words": pa.array(np.concatenate([np.zeros(0, np.int64), *counts])), "n_removed": pa.array(lost, pa.int64()),
+        "kept_sha256": pa.array(shas, pa.string()), "kept_text": pa.array(kept_texts if with_text else [None] * len(lost), pa.string()),
+    })
+
+
+def repeated_windows(rows: DataFrame, n: int, n_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The answers of the sketch (grp, slice, bits) and of the exact pass (grp, firsts) to the groups of ``rows`` (_doc, _text, grp)."""
+    bits = cell_bits(n_bytes)
+    size, range_bits = slice_bits(bits), max(0, math.ceil(math.log2(max(1.0, n_bytes / BYTES_PER_RANGE))))
+    met = rows.groupBy("grp").applyInArrow(lambda t: _cells_met(t, n, bits, size), "slice long, grp long, cells binary")
+    answers = met.groupBy("slice").applyInArrow(lambda t: _answers(t, size), "grp long, slice long, bits binary")
+    asked = rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda a, b: _asked(a, b, n, bits, size, range_bits), "range long, grp long, windows binary")
+    return answers, asked.groupBy("range").applyInArrow(lambda t: _firsts(t), "grp long, firsts binary")
+
+
+def remove_repeats(docs: DataFrame, n: int = WINDOW, with_text: bool = True) -> DataFrame:
     """Each input row as ``_row`` with n_words, n_removed, kept_sha256 and, with ``with_text``, kept_text.
 
     Words are parted by ASCII blanks and compared as they are. Each word covered by a window that also starts in a
     document of a smaller doc_id is removed; kept words are joined by one space, and a text that loses none stays as it
     is (its checksum is that of its words joined). Null text has no words (kept_text is empty). Rows of one doc_id do
-    not count against each other; a row whose doc_id is null neither loses words nor causes a loss. An empty table gives
-    an empty result.
+    not count against each other; a row whose doc_id is null neither loses words nor causes a loss. Texts of any length
+    are read whole. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"))
     n_bytes = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    bits, groups = cell_bits(n_bytes), max(1, math.ceil(n_bytes / BYTES_PER_GROUP))
-    slice_bits = max(0, math.ceil(math.log2(max(1.0, n_bytes / BYTES_PER_SLICE))))
-    sketch = spark.sparkContext.broadcast(repeated_cells(texts.select("text"), n, bits))
-    counts = texts.mapInArrow(lambda b: _counts(b, n, bits, slice_bits, sketch), "slice long, n long").groupBy("slice").agg(F.sum("n").alias("n"))
-    parts = {r.slice: math.ceil(r.n / slice_most) for r in counts.where(F.col("n") > slice_most).toLocalIterator()}
-
-    def occurrences(crowded: bool) -> DataFrame:
-        return texts.mapInArrow(lambda b: _occurrences(b, n, bits, slice_bits, sketch, parts, crowded), "slice long, sub int, block binary")
-
-    marks = occurrences(False).groupBy("slice").applyInArrow(lambda t: _resolve(t, groups), "grp long, marks binary")
-    if parts:
-        crowded = occurrences(True)
-        firsts = crowded.groupBy("slice", "sub").applyInArrow(_part_firsts, "slice long, firsts binary").groupBy("slice").applyInArrow(_slice_firsts, "slice long, firsts binary")
-        dealt = spark.createDataFrame([(k, s) for k, r in parts.items() for s in range(r)], "slice long, sub int")
-        firsts = firsts.join(dealt, "slice").select("slice", "sub", "firsts")
-        marks = marks.unionByName(crowded.groupBy("slice", "sub").cogroup(firsts.groupBy("slice", "sub")).applyInArrow(lambda a, b: _mark_part(a, b, groups), "grp long, marks binary"))
+    groups = max(1, math.ceil(n_bytes / BYTES_PER_GROUP))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if with_text and c != "text" or c == "doc_id"])
     rows = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text.alias("_text"))
-    rows = rows.mapInArrow(lambda b: _with_group(b, groups), f"{_ddl(rows)}, grp long")
-    schema = f"{_ddl(rows.select('_row'))}, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return rows.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(lambda a, b: _cut(a, b, n, with_text), schema)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
-def _with_group(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
-    """Adds the group that a document's marks are dealt to; documents without an id are dealt by their place in the batch."""
-    for batch in batches:
-        ids = batch.column("_doc").to_pylist()
-        keys = np.array([k if i is None else i for k, i in enumerate(ids)], np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_group_of(keys, groups))], names=[*batch.schema.names, "grp"])
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("_doc", "_text"), F.lit(groups)))
+    _, firsts = repeated_windows(rows, n, n_bytes)
+    schema = StructType([rows.schema["_row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())])
+    return rows.groupBy("grp").cogroup(firsts.groupBy("grp")).applyInArrow(lambda a, b: _cut(a, b, n, with_text), schema)
 
 
 def digest(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of each row."""
+    """doc_id, n_words, n_removed and kept_sha256 of each row; see ``remove_repeats`` for nulls, ties and empty tables."""
     return remove_repeats(docs, n, with_text=False).select("_row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -24,5 +24,5 @@ def rated(docs: DataFrame, labels: DataFrame, least_grade: int = LEAST_GRADE, le
     no row is toxic. Repeated rows are rated alike.
     """
     scored = ordinal.score(docs, model(docs, labels), ["doc_id"])
-    tail = F.get("tails", F.lit(least_grade - 1))
+    tail = F.coalesce(F.get("tails", F.lit(least_grade - 1)), F.when(F.col("tails").isNotNull(), 0.0))  # no document reaches a grade beyond the rated ones
     return scored.select("_row.doc_id", F.col("expected").alias("expected_severity"), tail.alias("p_toxic"), F.coalesce(tail >= least_tail, F.lit(False)).alias("toxic"))

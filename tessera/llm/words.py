@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes hashed at once; longer batches are cut at blanks.
-CHUNK = 1 << 19
+#: Bytes of text that are worked on at once, to bound the memory of a task; a longer text stands alone.
+PORTION = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 #: Parts words at every ASCII character but letters and digits.
@@ -27,29 +26,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        _POWERS["up"], _POWERS["down"] = _powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))
-    return _POWERS["up"], _POWERS["down"]
+#: Keeps the first 0 to 8 bytes of eight.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A binary column's bytes and its offsets in them, without a copy; null is empty."""
+    """A binary or string column's bytes and its offsets in them, without a copy; null is empty."""
     if column.null_count:
-        column = column.fill_null(b"")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
@@ -69,35 +53,59 @@ def spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def portions(column: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of parts of a column of about ``most`` bytes each."""
+    _, offsets = raw(column)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1)
+        yield low, min(high, len(column)) - low
+        low = high
+
+
 def word_hashes(column: pa.Array, lower: bool = False, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of a batch of UTF-8 texts, and where each document's words begin (and all end)."""
+    """The hash of each word of a batch of UTF-8 texts, and where each document's words begin (and all end).
+
+    A word is read in parts of eight bytes. Each part is mixed with its number in the word before the parts are summed,
+    so words of up to eight bytes and one length never hash alike, and in longer ones no pattern of letters makes sums agree.
+    """
     data, offsets = raw(column)
     starts, ends, first = spans(data, offsets, blank)
-    out = np.empty(len(starts), np.uint64)
-    low = 0
-    while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(ends, starts[low] + CHUNK, "right")))
-        a, b = starts[low], ends[high - 1]
-        part = data[a:b]
-        up, down = _tables(len(part) + 1)
-        code = _CODE[_LOWER[part]] if lower else _CODE[part]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(code * up[: len(part)], out=total[1:])
-        s, e = starts[low:high] - a, ends[low:high] - a
-        out[low:high] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _U(0xA0761D6478BD642F))
-        low = high
-    return out, first
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    total = mix((eight[starts] & _MASK[np.minimum(size, 8)]) + _U(0xD1342543DE82EF95))
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        count = size[more] - 1 >> 3
+        head = np.cumsum(count) - count
+        nth = np.arange(int(count.sum())) - np.repeat(head, count) + 1
+        at, left = np.repeat(starts[more], count) + 8 * nth, np.repeat(size[more], count) - 8 * nth
+        part = mix((eight[at] & _MASK[np.minimum(left, 8)]) + _U(0x2545F4914F6CDD1D))
+        total[more] += np.add.reduceat(mix(part + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), head)
+    return mix(total + size.astype(np.uint64) * _U(0xA0761D6478BD642F)), first
 
 
 def window_hashes(words: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
-    """The hash of the ``n`` words from each place on, for the places that have so many after them in ``words``."""
+    """The hash of the ``n`` words from each place on, for the places that have so many after them in ``words``.
+
+    Windows of 2, 4, 8, ... words are made of two halves, each time mixed, and put together to ``n`` words.
+    """
     count = len(words) - n + 1
-    if count <= 0:
+    if count <= 0 or n <= 0:
         return np.zeros(0, np.uint64)
-    factor, total = _U((2 * seed + 1) * 0xE7037ED1A0B428DB & (1 << 64) - 1 | 1), np.zeros(count, np.uint64)
-    for k in range(n):
-        total = total * factor + words[k : k + count]
-    return mix(total + _U(n))
+    factor = _U((2 * seed + 1) * 0xE7037ED1A0B428DB & (1 << 64) - 1 | 1)
+    out, done, width, level = None, 0, 1, words
+    while True:
+        if n & width:
+            part = level[done : done + count]
+            out = part if out is None else mix(out * factor + part)
+            done += width
+        if 2 * width > n:
+            return mix(out * factor + _U(n))
+        level = mix(level[:-width] * factor + level[width:])
+        width *= 2
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:

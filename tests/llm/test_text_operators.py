@@ -1,5 +1,6 @@
 """Mixing, token files, packing, near-duplicates, passages and notices against plain Python."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -207,9 +208,14 @@ def test_odd_sketches_tell_similarity():
 
 
 @pytest.mark.parametrize("source", ["edge", "table", "crowded"])
-def test_substring(spark, source):
+def test_substring(spark, source, monkeypatch):
+    if source != "edge":  # many groups, slices and ranges
+        monkeypatch.setattr(substring, "BYTES_PER_GROUP", 20_000)
+        monkeypatch.setattr(substring, "BYTES_PER_RANGE", 50_000)
+        monkeypatch.setattr(substring, "SLICE_BITS_LEAST", 8)
+        monkeypatch.setattr(substring, "CELLS_PER_BYTE", 0.001 if source == "crowded" else 1.0)  # crowded: every window passes the sketch
     docs = S.documents(spark) if source == "table" else S.edge_docs(spark)
-    cut = substring.remove_repeats(docs, with_text=True, slice_most=20 if source == "crowded" else substring.SLICE_MOST)
+    cut = substring.remove_repeats(docs, with_text=True)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in cut.select("_row.doc_id", "n_words", "n_removed", "kept_sha256").collect())
     expect = sorted((i, n, n - len(left), hashlib.sha256(b" ".join(left)).hexdigest()) for i, n, left in S.brute_removed(pairs(docs)))
     assert got == expect
@@ -222,6 +228,57 @@ def test_substring_edges(spark):
     line = " ".join(S.BASE[:20])
     odd = spark.createDataFrame([(None, line), (1, line), (2, line), (2, line)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring.digest(odd).collect()) == [(0, 0), (1, 0), (2, 20), (2, 20)]
+    named = odd.selectExpr("doc_id", "text", "1 as `my col`", "named_struct('a b', 2) as `x.y`")
+    assert substring.without_repeats(named).columns == named.columns and substring.without_repeats(named).count() == 2
+
+
+def test_words_of_a_pattern_are_told_apart(spark):
+    """Long words of two letters whose patterns make sums of powers agree: the Thue-Morse word and its complement."""
+    tm = "a"
+    for _ in range(10):
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    other, twelve = tm.translate(str.maketrans("ab", "ba")), " ".join(S.BASE[:12])
+    docs = spark.createDataFrame([(1, tm), (2, other), (3, f"{twelve} {tm}"), (4, f"{twelve} {other}"), (5, f"{twelve} {other}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.digest(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 2).collect()}
+    assert got == {i: c for i, (_, c) in S.brute_components(pairs(docs), 2).items()} and got[2] == 2
+
+
+@pytest.mark.parametrize("n_bytes", [10**8, 10**9, 10**12, 10**14])
+def test_the_sketch_grows_with_the_input(n_bytes):
+    """Cells for each window stay as many at any size, and a slice stays within a task's memory."""
+    bits = substring.cell_bits(n_bytes)
+    assert n_bytes <= 1 << bits < 2 * n_bytes and substring.slice_bits(bits) <= substring.SLICE_BITS_MOST
+
+
+def test_lists_of_cells_round_trip():
+    rng = np.random.default_rng(5)
+    for top, k in ((1 << 20, 5000), (1 << 26, 40), (300, 250), (1 << 26, 1), (5_000_000, 100_000)):
+        at = np.unique(rng.integers(0, top, k))
+        more = rng.random(len(at)) < 0.3
+        back, flags = substring.decode_cells(substring.encode_cells(at, more))
+        assert (back == at).all() and (flags == more).all()
+
+
+def test_share_of_windows_that_pass_the_sketch(spark):
+    """Hardly any window of texts without repeats passes, at any size of the table."""
+    import pyspark.sql.functions as F
+
+    for k in (200, 2000):
+        docs = spark.range(k).select(F.col("id").alias("_doc"), F.expr("array_join(transform(sequence(1, 200), x -> md5(concat(id, '-', x))), ' ')").cast("binary").alias("_text"))
+        n_bytes = docs.agg(F.sum(F.length("_text"))).first()[0]
+        rows = docs.withColumn("grp", F.pmod(F.xxhash64("_doc"), F.lit(7)))
+        answers, _ = substring.repeated_windows(rows, 13, n_bytes)
+        count = functools.partial(_count_passed, n_bytes)
+        passed = rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda a, b: count(a, b), "n long, of long").toPandas().sum()  # noqa: B023
+        assert passed.of == k * 188 and passed.n < 0.02 * passed.of
+
+
+def _count_passed(n_bytes, texts, answers):
+    import pyarrow as pa
+
+    h1, bits = substring._group_windows(texts, 13, second=False)[0], substring.cell_bits(n_bytes)
+    return pa.table({"n": pa.array([int(substring._passed(h1, answers, bits, substring.slice_bits(bits)).sum())]), "of": pa.array([len(h1)])})
 
 
 @pytest.mark.parametrize("source", ["edge", "table"])
