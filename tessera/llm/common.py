@@ -15,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where ``spark.checkpoint.dir`` is unset (local tests) one is made."""
+    """The folder that driver and executors share. Where ``spark.checkpoint.dir`` is unset one is made, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -28,7 +30,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -37,10 +41,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Deletes the files that a table made by ``stage`` reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(shared_dir(df.sparkSession).replace("file://", "file:")) or path.startswith(shared_dir(df.sparkSession)):
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``stage`` that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
             drop_path(df.sparkSession, path)
 
 

@@ -58,7 +58,36 @@ def test_mixing(spark, source):
         assert r.source_size == totals[s] and r.target == pytest.approx(target[s], rel=1e-9)
         assert 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+    assert all(abs(taken[s] - target[s]) <= mixing.QUANTUM for s in order) and sum(taken.values()) == sum(totals.values())
+
+
+@pytest.mark.parametrize("whole,budget", [(True, None), (False, None), (True, 3000), (False, 3000)])
+def test_mixing_serves_as_a_plain_queue(spark, whole, budget):
+    """Entries by virtual finish time until the budget is spent, one after the other in Python."""
+    docs = S.documents(spark).where("doc_id < 120") if budget is None else S.edge_docs(spark)
+    got = mixing.schedule(docs, whole=whole, budget=budget).collect()
+    by_source = defaultdict(list)
+    for k, r in enumerate(got):
+        by_source[r._row.source].append((r.passes[0].v_start, k, r.size))
+    order = sorted([s for s in by_source if s is not None]) + [None] * (None in by_source)
+    entries, total = [], sum(r.size for r in got)
+    for place, s in enumerate(order):
+        weight, queued = (5.0, 2.0, 1.0)[place % 3], 0
+        for turn in range(3):
+            for v, k, n in sorted(by_source[s]):
+                for low in range(0, n, n or 1 if whole else mixing.QUANTUM):
+                    words = n if whole else min(mixing.QUANTUM, n - low)
+                    queued += words
+                    entries.append((queued / weight, k, turn, words))
+    taken, left, last = Counter(), total if budget is None else budget, None
+    for v, k, turn, words in sorted(entries):
+        if left <= 0:
+            break
+        taken[k, turn] += words if words <= left else (words * (2 * left >= words) if whole else left)
+        left, last = left - words, v
+    wrong = [(k, p) for k, r in enumerate(got) for p in r.passes if p.taken != taken[k, p.turn]]
+    assert not wrong or sum(e[0] == last for e in entries) > 1  # entries that finish together at the cut
+    assert all(p.v_finish >= last for _, p in wrong)
 
 
 def test_mixed_documents_keep_columns(spark):
