@@ -17,6 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import stage
+from .words import portions
 
 #: Fixed values of the format: tags, field sizes and compression schemes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
@@ -25,10 +29,13 @@ FIELDS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 16: "Q
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 LZW_CLEAR, LZW_END, LZW_FIRST = 256, 257, 258
 
-#: Pixels in a row of the pages that are written, rows in a page, and bytes up to which the slow schemes are used.
+#: Pixels in a row of the pages that are written, and rows in a page.
 ROW = 576
-PAGE_ROWS = 2048
-SLOW_BYTES = 20_000
+PAGE_ROWS = 512
+#: Bytes of an image that its directory may claim for each byte of the file, and in any case: more is taken for forged.
+MOST_GROWTH, LEAST_ROOM = 4096, 1 << 20
+#: Bytes of pixels that a task holds before it passes them on.
+FLUSH = 4 << 20
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -211,11 +218,17 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
         raise ValueError(f"samples of {sorted(depth)} bits with predictor {predictor} are not supported")
     bits = depth.pop()
     kind = np.dtype(f"{order}u{bits // 8}")
+    if width * height * samples * kind.itemsize > LEAST_ROOM + MOST_GROWTH * len(data):
+        raise ValueError(f"{width} x {height} pixels do not come from {len(data)} bytes")
     tiled = TILE_OFFSETS in tags
     across, down = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(height, one(STRIP_ROWS, height)) or 1)
     offsets, sizes = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES]
     planes, each = (samples, 1) if planar == 2 else (1, samples)
+    if not across or not down or across * down * each * kind.itemsize > LEAST_ROOM + MOST_GROWTH * len(data):
+        raise ValueError(f"blocks of {across} x {down} pixels")
     per_row, per_column = -(-width // across), -(-height // down)
+    if len(offsets) > planes * per_row * per_column or len(offsets) != len(sizes):
+        raise ValueError(f"{len(offsets)} offsets and {len(sizes)} sizes for {planes * per_row * per_column} blocks")
     image = np.zeros((planes, height, width, each), kind.newbyteorder("<"))
     for k, (place, size) in enumerate(zip(offsets, sizes, strict=True)):
         plane, k = divmod(k, per_row * per_column)
@@ -230,9 +243,9 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
 
 
 def _scheme(payload: bytes) -> tuple[int, int, bool]:
-    """Compression, predictor and whether in tiles; the slow schemes only take short payloads."""
+    """Compression, predictor and whether in tiles, by a checksum of the payload: of 16 parts LZW and PackBits have two each."""
     turn = zlib.crc32(payload) % 16
-    if len(payload) <= SLOW_BYTES and turn < 4:
+    if turn < 4:
         return (LZW, PACKBITS)[turn % 2], 1 + turn // 2, turn == 3
     return DEFLATE, 1 + turn % 2, turn % 4 >= 2
 
@@ -280,76 +293,126 @@ def payload_of(text: bytes, row: int = ROW) -> bytes:
     return text.ljust(max(1, -(-len(text) // row)) * row, b"\xff")
 
 
-def feature(found: list[Page]) -> str:
-    """Size, brightness and entropy of all pages' samples, as text."""
-    counts = sum((np.bincount(np.frombuffer(p.pixels, np.uint8), minlength=256) for p in found), np.zeros(256, np.int64))
+def feature(n_pages: int, height: int, counts: np.ndarray) -> str:
+    """Size, brightness and entropy of all pages' samples, as text, from the number of samples of each value."""
     n = max(1, int(counts.sum()))
     share = counts[counts > 0] / n
     mean, spread = float((counts * np.arange(256)).sum() / n), float(-(share * np.log2(share)).sum())
-    return f"pages={len(found)};height={sum(p.height for p in found)};mean={mean:.3f};entropy={spread:.3f};values={len(share)}"
+    return f"pages={n_pages};height={height};mean={mean:.3f};entropy={spread:.3f};values={len(share)}"
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
+        for low, count in portions(batch.column(1), FLUSH):
+            part = batch.slice(low, count)
             texts = [t.as_py() for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media, a TIFF that holds the whole text (null: empty) as UTF-8, filled up to whole rows."""
+    """doc_id, n_bytes and media, a TIFF that holds the whole text (null: empty) as UTF-8, filled up to whole rows.
+
+    Texts of any length become as many pages as they need. Null ids and repeated rows are stored as they are; an empty
+    table gives an empty result.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return texts.mapInArrow(_write, "doc_id long, n_bytes long, media binary")
 
 
-_PAGE = "page int, width int, height int, bits int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
+_PAGE = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "bits": pa.int32(), "samples": pa.int32(), "compression": pa.int32(), "predictor": pa.int32(), "tiled": pa.bool_(), "pixels": pa.binary(), "error": pa.string()}
+_PAGE_DDL = "page int, width int, height int, bits int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
+#: What a broken file can raise on its way through the reader.
+_BROKEN = (ValueError, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error)
 
 
-def _read(batches: Iterator[pa.RecordBatch], key: pa.DataType) -> Iterator[pa.RecordBatch]:
-    names = ["page", "width", "height", "bits", "samples", "compression", "predictor", "tiled", "pixels", "error"]
-    kinds = [*[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        at: list[int] = []
+        rows: list[tuple] = []
+        held = 0
+
+        def flush(keys=batch.column(0), at=at, rows=rows) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PAGE.values(), strict=True)]
+            out = pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *columns], names=["key", *_PAGE])
+            at.clear()
+            rows.clear()
+            return out
+
         for k in range(batch.num_rows):
-            rows = []
-            if (media := batch.column(1)[k]).is_valid:
-                try:
-                    for nth, p in enumerate(pages(media.as_py())):
-                        rows.append((nth, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None))
-                except (ValueError, KeyError, struct.error, zlib.error) as bad:
-                    rows.append((len(rows), *[None] * 8, f"{type(bad).__name__}: {bad}"))
-            if rows:
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(rows), key), *columns], names=["key", *names])
+            if not (media := batch.column(1)[k]).is_valid:
+                continue
+            nth = 0
+            try:
+                for p in pages(media.as_py()):
+                    at.append(k)
+                    rows.append((nth, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None))
+                    held += len(p.pixels)
+                    nth += 1
+                    if held >= FLUSH:
+                        yield flush()
+                        held = 0
+            except _BROKEN as bad:
+                at.append(k)
+                rows.append((nth, *[None] * 8, f"{type(bad).__name__}: {bad}"))
+        if rows:
+            yield flush()
 
 
 def read_pages(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """One row per page of each TIFF in ``column``: ``key``, page and its pixels.
+    """One row per page of each TIFF in ``column``: ``key`` (of any type), page and its pixels; a file's pages follow each other.
 
-    Null gives no row. A file that is broken or of an unsupported kind gives its good pages and a last row whose
-    ``error`` says what is wrong. Repeated rows are read as often; an empty table gives an empty result.
+    Null gives no row. A file that is broken or of an unsupported kind, or claims more pixels than it can hold, gives its
+    good pages and a last row whose ``error`` says what is wrong. Repeated rows are read as often; an empty table gives
+    an empty result.
     """
-    kind = media.schema[key].dataType.simpleString()
     picked = media.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("media"))
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return picked.mapInArrow(lambda b: _read(b, arrow), f"key {kind}, {_PAGE}").withColumnRenamed("key", key)
+    fields = StructType([picked.schema["key"], *StructType.fromDDL(_PAGE_DDL)])
+    return picked.mapInArrow(_read, fields).withColumnRenamed("key", key)
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file from its pages, which follow each other; page 0 begins a file."""
+    names = ["key", "payload_bytes", "payload_sha256", "tail", "feature"]
+    key, size, digest, tail, n_pages, height, counts = None, 0, hashlib.sha256(), b"", 0, 0, np.zeros(256, np.int64)
+    keys: list[pa.Array] = []
+    rows: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.string(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
+
     for batch in batches:
-        rows = []
-        for media in batch.column(2):
-            stored = media.as_py()
-            found = list(pages(stored))
-            payload = b"".join(p.pixels for p in found)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(found)))
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=names)
+        for k, (page, high, pixels, error) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)):
+            if error is not None:
+                raise ValueError(f"a stored image cannot be read: {error}")
+            if page == 0:
+                if key is not None:
+                    keys.append(key)
+                    rows.append((size, digest.hexdigest(), tail, feature(n_pages, height, counts)))
+                key, size, digest, tail, n_pages, height, counts = batch.column(0).slice(k, 1), 0, hashlib.sha256(), b"", 0, 0, np.zeros(256, np.int64)
+            size, n_pages, height = size + len(pixels), n_pages + 1, height + high
+            digest.update(pixels)
+            tail = (tail + pixels[-32:])[-32:]
+            counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+        if len(rows) >= 1000:
+            yield flush()
+            keys.clear()
+            rows.clear()
+    if key is not None:
+        keys.append(key)
+        rows.append((size, digest.hexdigest(), tail, feature(n_pages, height, counts)))
+        yield flush()
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The stored form of every document read back: sizes, checksums and features of its pages."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return store(docs).mapInArrow(_summary, schema)
+    """The stored form of every document, read back page by page: sizes, checksums and features.
+
+    A null text is empty (one row of filling), a null id stays null, texts of any length are stored whole, repeated rows
+    give a row each, and an empty table an empty result.
+    """
+    media = stage(store(docs), "media")
+    file = F.struct("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    found = read_pages(media.select(file.alias("key"), "media"), "key").select("key", "page", "height", "pixels", "error")
+    fields = StructType([found.schema["key"], *StructType.fromDDL("payload_bytes long, payload_sha256 string, tail binary, feature string")])
+    whole = found.mapInArrow(_fold, fields)
+    return whole.select("key.doc_id", "key.n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "key.media_bytes", "key.media_sha256", "feature")

@@ -51,10 +51,49 @@ def test_tiff_big_endian_planes_of_16_bits():
     assert (page.width, page.height, page.samples) == (5, 3, 2) and page.pixels == pixels.astype("<u2").tobytes()
 
 
+def tiny_tiff(tags, body=b"\0" * 64):
+    """A little-endian TIFF of one directory whose fields are (tag, kind, number of values, value or offset)."""
+    entries = b"".join(struct.pack("<HHII", *t) for t in tags)
+    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + b"\0" * 4
+
+
 def test_tiff_pages_of_broken_files(spark):
-    media = spark.createDataFrame([(1, bytearray(tiff.write(b"a" * 576 * 3000))), (2, bytearray(b"no tiff")), (3, None)], "doc_id long, media binary")
-    got = {(r.doc_id, r.page): (r.height, r.error) for r in tiff.read_pages(media).collect()}
-    assert got[1, 0] == (2048, None) and got[1, 1] == (952, None) and "not a TIFF" in got[2, 0][1] and len(got) == 3
+    good = tiff.write(b"a" * 576 * 1200)
+    size, strip = [(256, 4, 1, 8), (257, 4, 1, 8), (258, 3, 1, 8)], [(273, 4, 1, 8), (279, 4, 1, 64)]
+    broken = {
+        2: b"no tiff",
+        4: tiny_tiff([(256, 4, 0, 8), *size[1:], *strip]),  # no width
+        5: tiny_tiff([*size, (322, 4, 1, 0), (323, 4, 1, 16), (324, 4, 1, 8), (325, 4, 1, 64)]),  # tiles without width
+        6: tiny_tiff([(256, 4, 1, 2_000_000_000), (257, 4, 1, 2_000_000_000), size[2], *strip]),  # forged size
+        7: tiny_tiff([*size, (273, 4, 9, 8), (279, 4, 9, 8)]),  # more strips than rows
+        8: good[: len(good) // 2],
+        9: b"II*\0" + struct.pack("<I", 4_000_000_000),
+        10: tiny_tiff([*size, (259, 3, 1, 5), *strip], b"\xff" * 64),  # bad LZW codes
+    }
+    rows = [(1, bytearray(good)), (3, None), *[(k, bytearray(v)) for k, v in broken.items()]]
+    media = spark.createDataFrame(rows, "doc_id long, media binary")
+    got = tiff.read_pages(media).collect()
+    assert [(r.page, r.height, r.error) for r in got if r.doc_id == 1] == [(0, 512, None), (1, 512, None), (2, 176, None)]
+    for k in broken:
+        own = [r for r in got if r.doc_id == k]
+        assert own[-1].error and all(r.error is None for r in own[:-1]) and own[-1].page == len(own) - 1, k
+    assert not any(r.doc_id == 3 for r in got)
+    named = media.selectExpr("named_struct('my id', doc_id) as `a key`", "media")
+    assert {r["a key"]["my id"] for r in tiff.read_pages(named, "a key").collect()} == {1, *broken}
+
+
+def test_tiff_takes_every_scheme_at_every_length():
+    rng = np.random.default_rng(14)
+    for n in (1, 40, 1500):
+        seen = set()
+        for k in range(80 if n < 1000 else 40):
+            data = bytes([k]) * 576 + rng.integers(97, 103, (n - 1) * 576).astype(np.uint8).tobytes()
+            scheme = tiff._scheme(data)
+            if scheme not in seen:
+                seen.add(scheme)
+                found = list(tiff.pages(tiff.write(data)))
+                assert b"".join(p.pixels for p in found) == data and {(p.compression, p.predictor, p.tiled) for p in found} == {scheme}
+        assert {s for s, _, _ in seen} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE}
 
 
 def brute_top(rows, k=10):
