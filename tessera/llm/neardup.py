@@ -3,11 +3,14 @@
 Documents with equal sets are one class, and only its smallest doc_id goes on. Each class has ``BANDS`` keys of
 ``ROWS`` MinHash samples: two sets of similarity 0.8 share none with a probability of (1 - 0.8**6)**56 = 4e-8. The
 samples are also folded into an odd sketch, a bitmap of parities; the number of bits in which two sketches differ
-tells how many samples differ. The first pass confirms one pair for each document, with the smallest document of the
-bucket that it shares most bands with, which joins large groups of near copies at once. In the second, the documents of
-a bucket that are still in different components meet with their full sets; those whose sketches are alike are compared
-exactly, and a pair is left out only when links already found join its two documents. So no bucket is ever written out
-as its pairs, and none is capped; a large one is dealt out as pairs of blocks.
+tells how many samples differ. Every candidate goes through the sketches, and only sets of candidates that pass are
+fetched. The first pass tries one pair for each document, with the smallest document of the bucket that it shares most
+bands with, which joins large groups of near copies at once. In the second, the sketches of a bucket's documents that
+are still in different components meet; documents that some sketch of another component resembles are fetched with
+their full sets and compared exactly, and a pair is left out only when links already found join its two documents. So
+no bucket is ever written out as its pairs, and none is capped; a large one is dealt out as pairs of blocks.
+
+Shingles are compared as 64-bit hashes of mixed parts of their words, whole sets by two sums of these.
 """
 
 from __future__ import annotations
@@ -19,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_staged, stage
 from .components import components
-from .words import mix, shingle_sets
+from .words import mix, portions, shingle_sets
 
 ROWS, BANDS = 6, 56
 SKETCH_BITS = 1024
@@ -68,10 +71,16 @@ def differing_bits(similarity: float) -> float:
     return float(expected + DEVIATIONS / 2 * np.sqrt(expected / 2))
 
 
+def sketch_similarity(bits: int) -> float:
+    """The similarity at which two sketches are expected to differ in so many bits."""
+    samples = np.log(max(1e-12, 1 - 2 * bits / SKETCH_BITS)) / np.log(1 - 2 / SKETCH_BITS)
+    return float(max(0.0, 1 - samples / 2 / _COUNT))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
+        for low, count in portions(batch.column(1)):
+            part = batch.slice(low, count)
             sizes, one, two, bands, sketches = [], [], [], [], []
             for shingles in shingle_sets(part.column(1), n):
                 sizes.append(len(shingles))
@@ -85,8 +94,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
+        for low, count in portions(batch.column(1)):
+            part = batch.slice(low, count)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), n)], pa.binary())], names=["doc_id", "shingles"])
 
 
@@ -103,30 +112,59 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(table: pa.Table, limit: float, percent: int) -> pa.Table:
-    """Within one block, or between the two blocks, of a bucket: links that join components which nothing joined before."""
+def _sketches_alike(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches differ in so few bits that the similarity may be reached."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in ("x", "y"))
+            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit))
+
+
+def _candidates(bits: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.ndarray, limit: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each document those after it, on the other side if there are two, of another component whose sketch and size may reach the similarity.
+
+    ``label`` is read anew for each document, so that links found meanwhile count.
+    """
+    between = bool(side.any())
+    for i in range(len(label) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if between:
+            rest = rest[side[rest] != side[i]]
+        rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
+        rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64) <= limit]
+        if len(rest):
+            yield i, rest
+
+
+def _ordered(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """An order of a block's documents with small components first; and in it side, doc, number of the component, and sketch."""
     side, doc, comp = (table.column(k).to_numpy() for k in ("side", "doc", "comp"))
     _, label = np.unique(comp, return_inverse=True)
-    order = np.lexsort((doc, label, np.bincount(label)[label]))  # small components first
-    side, doc, label = side[order], doc[order], label[order]
-    sketches, sets = table.column("sketch").to_pylist(), table.column("shingles").to_pylist()
-    bits = np.frombuffer(b"".join(sketches[k] for k in order), np.uint64).reshape(len(doc), -1)
+    order = np.lexsort((doc, label, np.bincount(label)[label]))
+    sketches = table.column("sketch").to_pylist()
+    return order, side[order], doc[order], label[order], np.frombuffer(b"".join(sketches[k] for k in order), np.uint64).reshape(len(doc), -1)
+
+
+def _alike(table: pa.Table, limit: float, percent: int) -> pa.Table:
+    """Documents of one block, or of the two blocks, of a bucket that the sketch of one of another component resembles."""
+    order, side, doc, label, bits = _ordered(table)
+    hit = np.zeros(len(doc), bool)
+    for i, rest in _candidates(bits, table.column("size").to_numpy()[order], label, side, limit, percent):
+        hit[i] = hit[rest] = True
+    return table.select(["band", "_i", "_j", "side", "doc", "comp", "sketch"]).take(pa.array(order[hit]))
+
+
+def _links(table: pa.Table, limit: float, percent: int) -> pa.Table:
+    """Within one block, or between the two blocks, of a bucket: links that join components which nothing joined before."""
+    order, side, doc, label, bits = _ordered(table)
+    sets = table.column("shingles").to_pylist()
     held = [np.frombuffer(sets[k], np.uint64) for k in order]
     sizes = np.array([len(x) for x in held])
     universe, where = np.unique(np.concatenate(held), return_inverse=True)
     where = np.split(where.astype(np.int32), np.cumsum(sizes)[:-1])
     mark = np.zeros(len(universe), bool)
-    between = bool(side.any())
     found = []
-    for i in range(len(doc) - 1):
-        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if between:
-            rest = rest[side[rest] != side[i]]
-        if len(rest):
-            rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64) <= limit]
-            rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
-        if not len(rest):
-            continue
+    for i, rest in _candidates(bits, sizes, label, side, limit, percent):
         mark[where[i]] = True
         for low in range(0, len(rest), 512):
             some = rest[low : low + 512]
@@ -162,20 +200,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pivots = banded.groupBy("band").agg(F.min("doc").alias("pivot"), F.max("doc").alias("_last")).where("pivot <> _last").drop("_last")
     members = stage(banded.join(pivots, "band"), "members")
 
+    limit = differing_bits(percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    held = members.select(F.col("doc").alias("doc_id")).distinct()
-    texts = texts.join(held, "doc_id", "left_semi")
-    sets = stage(texts.mapInArrow(lambda b: _sets(b, shingle), "doc_id long, shingles binary"), "sets")
+    sketches = sig.select(F.col("doc_id").alias("doc"), "s1", "s2", "sketch").join(classes.select(F.col("rep").alias("doc"), "s1", "s2"), ["doc", "s1", "s2"], "left_semi").dropDuplicates(["doc"])
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-        b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(lambda x: _similar(x, percent), "u long, v long")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """doc and shingles of the documents (doc); of rows that share a doc_id one is as good as another."""
+        held = texts.join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return held.mapInArrow(lambda b: _sets(b, shingle), "doc_id long, shingles binary").withColumnRenamed("doc_id", "doc")
 
     shared = members.where("doc <> pivot").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    tried = stage(shared.groupBy(F.col("doc").alias("u")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("v")), "pairs")
-    links = stage(confirmed(tried), "links")
+    tried = shared.groupBy(F.col("doc").alias("u")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("v"))
+    tried = tried.join(sketches.select(F.col("doc").alias("u"), F.col("sketch").alias("x")), "u").join(sketches.select(F.col("doc").alias("v"), F.col("sketch").alias("y")), "v")
+    tried = stage(tried.select("u", "v", "x", "y").mapInArrow(lambda b: _sketches_alike(b, limit), "u long, v long"), "pairs")
+    sets = stage(sets_of(tried.select(F.explode(F.array("u", "v")).alias("doc"))), "sets")
+    paired = tried.join(sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("b")), "v")
+    links = stage(paired.select("u", "v", "a", "b").mapInArrow(lambda x: _similar(x, percent), "u long, v long"), "links")
     found = stage(components(links), "components")
+    drop_staged(tried, sets)
 
     # buckets that hold several components; of those with the same members one is enough
     at = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("band", "doc", "size", F.coalesce("component", "doc").alias("comp"))
@@ -184,16 +226,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     several = at.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"), F.sum(own[0]).alias("_s"), F.sum(own[1]).alias("_t")).where("_a <> _b")
     several = several.groupBy("_n", "_s", "_t").agg(F.min("band").alias("band"), F.max("_size").alias("_size"))
     blocks = F.ceil(F.greatest(F.col("_n") / BLOCK, F.col("_size") / BLOCK_SHINGLES)).cast("int")
-    left = stage(at.join(several.select("band", blocks.alias("_blocks")), "band"), "open")
-    full = sets.select(F.col("doc_id").alias("doc"), "shingles").join(sig.select(F.col("doc_id").alias("doc"), "sketch").where("sketch is not null"), "doc")
-    left = left.join(full, "doc").withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int"))
+    left = at.join(several.select("band", blocks.alias("_blocks")), "band").join(sketches.select("doc", "sketch"), "doc")
+    left = left.withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int"))
     left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    left = left.select("band", "doc", "comp", "sketch", "shingles", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), F.when(F.col("_own") > F.col("_other"), 1).otherwise(0).alias("side"))
-    limit = differing_bits(percent / 100)
-    more = left.groupBy("band", "_i", "_j").applyInArrow(lambda t: _links(t, limit, percent), "u long, v long")
+    left = left.select("band", "doc", "comp", "size", "sketch", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), F.when(F.col("_own") > F.col("_other"), 1).otherwise(0).alias("side"))
+    alike = left.groupBy("band", "_i", "_j").applyInArrow(lambda t: _alike(t, limit, percent), "band long, _i int, _j int, side int, doc long, comp long, sketch binary")
+    alike = stage(alike, "alike")
+    more = alike.join(sets_of(alike), "doc").groupBy("band", "_i", "_j").applyInArrow(lambda t: _links(t, limit, percent), "u long, v long")
     more = stage(more.distinct(), "more-links")
     if not more.isEmpty():
         found = stage(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+    drop_staged(members, links, at, alike, more)
     member = sig.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     member = member.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     joined = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
