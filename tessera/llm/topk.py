@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import stage
+from .common import drop_staged, stage
 
 SCALE = 1024
 LEADING = 16
@@ -147,6 +148,25 @@ def _floors(batches: Iterator[pa.RecordBatch], k: int, axes: int, seeds) -> Iter
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor), pa.array(np.nan_to_num(reach, nan=0.0))], names=[*batch.schema.names, "floor", "reach"])
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds each vector's group: the number of edges (lengths, negative, in order) before it; ties are dealt by the id."""
+    for batch in batches:
+        length = -batch.column(batch.schema.names.index("length")).to_numpy()
+        low, high = np.searchsorted(edges, length, "left"), np.searchsorted(edges, length, "right")
+        turn = batch.column(batch.schema.names.index("id")).to_numpy() % (high - low + 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((low + turn).astype(np.int32))], names=[*batch.schema.names, "grp"])
+
+
+def _visits(batches: Iterator[pa.RecordBatch], most: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds how many groups, from the longest on, hold a vector of the length that a query's rival must have, and the query's block."""
+    for batch in batches:
+        reach = batch.column(batch.schema.names.index("reach")).to_numpy()
+        visits = np.searchsorted(-most * (1 + 1e-9), -reach, "right")
+        low, high = np.searchsorted(parts, reach, "left"), np.searchsorted(parts, reach, "right")
+        block = low + batch.column(batch.schema.names.index("id")).to_numpy() // 100 % (high - low + 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits.astype(np.int32)), pa.array(block.astype(np.int32))], names=[*batch.schema.names, "visits", "block"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best rows of ``vectors`` with another id; all, if fewer.
 
@@ -173,18 +193,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     asked_count = asked.count()
     groups, blocks = max(1, math.ceil(count / GROUP)), max(1, math.ceil(asked_count / QUERIES))
 
-    # groups by falling length, from a bounded sample's quantiles; ties are dealt over the groups that share a length
+    # groups by falling length, from quantiles; equal lengths are dealt over the groups that share them
     cuts = every.stat.approxQuantile("length", [g / groups for g in range(1, groups)], 0.5 / groups) if groups > 1 else []
-    below = sum((F.when(F.col("length") < c, 1).otherwise(0) for c in cuts), F.lit(0))
-    same = sum((F.when(F.col("length") == c, 1).otherwise(0) for c in cuts), F.lit(0))
-    grouped = every.withColumn("grp", (below + F.when(same > 0, F.pmod(F.xxhash64("id"), same + 1)).otherwise(F.lit(0))).cast("int"))
-    reach = stage(grouped.groupBy("grp").agg(F.max("length").alias("most")), "reach")
-    held = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    lengths = [(r.grp, r.most) for r in reach.collect()]  # one number for each group
-    visits = F.array(*[F.when(F.lit(most * (1 + 1e-9)) >= F.col("reach"), F.lit(g)) for g, most in lengths]) if lengths else F.array().cast("array<int>")
-    sent = held.withColumn("grp", F.explode(F.array_compact(visits)))
-    needed = sent.groupBy(F.col("grp").alias("_grp"), F.col("block").alias("_block")).agg(F.lit(1).alias("_one"))
-    met = grouped.join(needed, F.col("grp") == F.col("_grp")).select(F.col("_grp").alias("grp"), F.col("_block").alias("block"), "id", "vector")
+    edges = spark.sparkContext.broadcast(np.sort(-np.array(cuts)))  # eight bytes for each group
+    grouped = every.mapInArrow(lambda b: _dealt(b, edges.value), StructType([*every.schema, StructField("grp", IntegerType())]))
+    grouped = stage(grouped, "groups")
+    most = np.full(groups, -np.inf)
+    for r in grouped.groupBy("grp").agg(F.max("length").alias("most")).collect():  # one number for each group
+        most[r.grp] = r.most
+    reach = spark.sparkContext.broadcast(np.maximum.accumulate(most[::-1])[::-1])
+    # a query visits the groups up to the last that is long enough; blocks hold queries of like reach and meet the groups that any of them visits
+    cuts = asked.stat.approxQuantile("reach", [g / blocks for g in range(1, blocks)], 0.5 / blocks) if blocks > 1 else []
+    parts = spark.sparkContext.broadcast(np.sort(np.array(cuts)))
+    held = asked.mapInArrow(lambda b: _visits(b, reach.value, parts.value), StructType([*asked.schema, StructField("visits", IntegerType()), StructField("block", IntegerType())]))
+    held = stage(held, "visits")
+    sent = held.where("visits > 0").withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("visits") - 1)))
+    needed = held.groupBy("block").agg(F.max("visits").alias("visits")).where("visits > 0").select(F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), F.col("visits") - 1)).alias("_grp"))
+    met = grouped.join(needed, F.col("grp") == F.col("_grp")).select("grp", F.col("_block").alias("block"), "id", "vector")
     cells = sent.groupBy("grp", "block").cogroup(met.groupBy("grp", "block")).applyInArrow(lambda a, b: _cell(a, b, k, turn), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    drop_staged(every, asked)
     return cells.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -117,6 +117,7 @@ def test_top_k(spark, kind, monkeypatch):
     else:
         monkeypatch.setattr(topk, "GROUP", 64)
         monkeypatch.setattr(topk, "SEEDS", 32)
+        monkeypatch.setattr(topk, "QUERIES", 3)
         rows = [(i, (rng.normal(size=24) * rng.gamma(2) * 0.9 ** np.arange(24)).tolist()) for i in range(700)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 100 = 0")).collect())
