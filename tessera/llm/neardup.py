@@ -4,10 +4,10 @@ Documents with equal sets are one class, and only its smallest doc_id goes on. E
 ``ROWS`` MinHash samples: two sets of similarity 0.8 share none with a probability of (1 - 0.8**6)**56 = 4e-8. The
 samples are also folded into an odd sketch, a bitmap of parities; the number of bits in which two sketches differ
 tells how many samples differ. Every candidate goes through the sketches, and only sets of candidates that pass are
-fetched. The first pass tries one pair for each document, with the smallest document of the bucket that it shares most
+sent on. The first pass tries one pair for each document, with the smallest document of the bucket that it shares most
 bands with, which joins large groups of near copies at once. In the second, the sketches of a bucket's documents that
-are still in different components meet; documents that some sketch of another component resembles are fetched with
-their full sets and compared exactly, and a pair is left out only when links already found join its two documents. So
+are still in different components meet; documents that some sketch of another component resembles get
+their full sets and are compared exactly, and a pair is left out only when links already found join its two documents. So
 no bucket is ever written out as its pairs, and none is capped; a large one is dealt out as pairs of blocks.
 
 Shingles are compared as 64-bit hashes of mixed parts of their words, whole sets by two sums of these.
@@ -196,31 +196,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = stage(classes, "classes")
     chosen = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
     reps = sig.join(chosen, ["doc_id", "s1", "s2"], "left_semi")
-    banded = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    banded = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("band"))
     pivots = banded.groupBy("band").agg(F.min("doc").alias("pivot"), F.max("doc").alias("_last")).where("pivot <> _last").drop("_last")
     members = stage(banded.join(pivots, "band"), "members")
 
     limit = differing_bits(percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketches = sig.select(F.col("doc_id").alias("doc"), "s1", "s2", "sketch").join(classes.select(F.col("rep").alias("doc"), "s1", "s2"), ["doc", "s1", "s2"], "left_semi").dropDuplicates(["doc"])
+    sketches = sig.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "s1", "s2", "sketch").join(classes.select(F.col("rep").alias("doc"), "s1", "s2"), ["doc", "s1", "s2"], "left_semi").dropDuplicates(["doc"])
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """doc and shingles of the documents (doc); of rows that share a doc_id one is as good as another."""
-        held = texts.join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return held.mapInArrow(lambda b: _sets(b, shingle), "doc_id long, shingles binary").withColumnRenamed("doc_id", "doc")
+    held = texts.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = stage(held.mapInArrow(lambda b: _sets(b, shingle), "doc_id long, shingles binary").withColumnRenamed("doc_id", "doc"), "sets")
 
     shared = members.where("doc <> pivot").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("n"))
     tried = shared.groupBy(F.col("doc").alias("u")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("v"))
     tried = tried.join(sketches.select(F.col("doc").alias("u"), F.col("sketch").alias("x")), "u").join(sketches.select(F.col("doc").alias("v"), F.col("sketch").alias("y")), "v")
     tried = stage(tried.select("u", "v", "x", "y").mapInArrow(lambda b: _sketches_alike(b, limit), "u long, v long"), "pairs")
-    sets = stage(sets_of(tried.select(F.explode(F.array("u", "v")).alias("doc"))), "sets")
     paired = tried.join(sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("b")), "v")
     links = stage(paired.select("u", "v", "a", "b").mapInArrow(lambda x: _similar(x, percent), "u long, v long"), "links")
     found = stage(components(links), "components")
-    drop_staged(tried, sets)
+    drop_staged(tried)
 
     # buckets that hold several components; of those with the same members one is enough
-    at = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("band", "doc", "size", F.coalesce("component", "doc").alias("comp"))
+    at = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").join(sketches.select("doc", "size"), "doc").select("band", "doc", "size", F.coalesce("component", "doc").alias("comp"))
     at = stage(at, "placed")
     own = (F.xxhash64("doc").cast("decimal(20,0)"), F.xxhash64("doc", F.lit(1)).cast("decimal(20,0)"))
     several = at.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"), F.sum(own[0]).alias("_s"), F.sum(own[1]).alias("_t")).where("_a <> _b")
@@ -232,11 +229,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     left = left.select("band", "doc", "comp", "size", "sketch", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), F.when(F.col("_own") > F.col("_other"), 1).otherwise(0).alias("side"))
     alike = left.groupBy("band", "_i", "_j").applyInArrow(lambda t: _alike(t, limit, percent), "band long, _i int, _j int, side int, doc long, comp long, sketch binary")
     alike = stage(alike, "alike")
-    more = alike.join(sets_of(alike), "doc").groupBy("band", "_i", "_j").applyInArrow(lambda t: _links(t, limit, percent), "u long, v long")
+    more = alike.join(sets, "doc").groupBy("band", "_i", "_j").applyInArrow(lambda t: _links(t, limit, percent), "u long, v long")
     more = stage(more.distinct(), "more-links")
     if not more.isEmpty():
         found = stage(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
-    drop_staged(members, links, at, alike, more)
+    drop_staged(members, sets, links, at, alike, more)
     member = sig.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     member = member.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     joined = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
