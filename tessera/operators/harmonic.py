@@ -218,9 +218,21 @@ def analysis_2d(pixels: DataFrame, geometry: str, n: int, nphi: int, lmax: int,
     if n < least or nphi < 2 * mmax + 1:
         raise ValueError("the grid has too few rings or pixels for these coefficients")
     spark = pixels.sparkSession
-    weights = spark.createDataFrame([(i, float(w) / nphi) for i, w in enumerate(grid_weights(geometry, n))], "ring long, w double")
-    weighed = pixels.join(weights, "ring").withColumn("value", F.col("value") * F.col("w")).drop("w")
-    return adjoint_synthesis(weighed, rings_2d(spark, geometry, n, nphi, phi0), lmax, mmax, spin)
+    return adjoint_synthesis(_weighed(pixels, geometry, n, nphi), rings_2d(spark, geometry, n, nphi, phi0), lmax, mmax, spin)
+
+
+def _weighed(pixels: DataFrame, geometry: str, n: int, nphi: int) -> DataFrame:
+    weights = pixels.sparkSession.createDataFrame([(i, float(w) / nphi) for i, w in enumerate(grid_weights(geometry, n))], "ring long, w double")
+    return pixels.join(weights, "ring").withColumn("value", F.col("value") * F.col("w")).drop("w")
+
+
+def adjoint_synthesis_2d(pixels: DataFrame, geometry: str, n: int, nphi: int, lmax: int, mmax: int, spin: int = 0, phi0: float = 0.0) -> DataFrame:
+    return adjoint_synthesis(pixels, rings_2d(pixels.sparkSession, geometry, n, nphi, phi0), lmax, mmax, spin)
+
+
+def adjoint_analysis_2d(alm: DataFrame, geometry: str, n: int, nphi: int, lmax: int, mmax: int, spin: int = 0, phi0: float = 0.0) -> DataFrame:
+    """The adjoint of ``analysis_2d``: the map of the coefficients times the quadrature weights."""
+    return _weighed(synthesis_2d(alm, geometry, n, nphi, lmax, mmax, spin, phi0), geometry, n, nphi)
 
 
 def synthesis_general(alm: DataFrame, points: DataFrame, lmax: int, mmax: int, spin: int = 0, key: str = "id") -> DataFrame:
@@ -242,3 +254,12 @@ def to_full(alm: DataFrame, spin: int = 0) -> DataFrame:
     rest = [c for c in alm.columns if c not in ("m", "re", "im")]
     mirrored = alm.where("m > 0").select(*rest, (-F.col("m")).alias("m"), (sign * F.col("re")).alias("re"), (-sign * F.col("im")).alias("im"))
     return alm.select(*rest, "m", "re", "im").unionByName(mirrored)
+
+
+def from_full(flm: DataFrame, spin: int = 0) -> DataFrame:
+    """The inverse of ``to_full``: coefficients of m >= 0, each the mean of its own value and of what its mirror image says."""
+    sign = F.when((F.col("m") + spin) % 2 == 0, 1.0).otherwise(-1.0)
+    rest = [c for c in flm.columns if c not in ("m", "re", "im")]
+    mirrored = flm.where("m < 0").select(*rest, (-F.col("m")).alias("m"), (sign * F.col("re")).alias("re"), (-sign * F.col("im")).alias("im"))
+    both = flm.where("m >= 0").select(*rest, "m", "re", "im").unionByName(mirrored)
+    return both.groupBy(*rest, "m").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))

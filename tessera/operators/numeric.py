@@ -67,20 +67,20 @@ def scatter_add(base: DataFrame, updates: DataFrame, on: Sequence[str]) -> DataF
 
 
 def noise_stages(f_min: float, f_knee: float, f_samp: float, slope: float) -> list[tuple[float, float, float]]:
-    """Coefficients (x, x before, y before) of the first-order stages whose cascade falls as f**-slope between both frequencies."""
-    low, high = math.log10(2 * math.pi * f_min), math.log10(2 * math.pi * f_knee)
-    n = max(1, int(2 * (high - low)))
-    step = (high - low) / n
-    out = []
-    for i in range(n):
-        pole = low + step * ((1 + slope / 2) / 2 + i)
-        w0, w1 = 10.0**pole / (2 * f_samp), 10.0 ** (pole - step * slope / 2) / (2 * f_samp)
-        out.append(((1 + w1) / (1 + w0), -(1 - w1) / (1 + w0), (1 - w0) / (1 + w0)))
-    return out
+    """Coefficients (x, x before, y before) of first-order stages whose cascade's power goes as f**slope between both frequencies (1/f noise: -1).
+
+    Poles and zeros alternate at even ratios of frequency, two pairs a decade (Keshner, 1/f noise, Proc. IEEE 70, 1982);
+    each pair (s + zero) / (s + pole) becomes a digital stage by the bilinear transform s = 2 f_samp (1 - q) / (1 + q).
+    """
+    n = max(1, int(2 * math.log10(f_knee / f_min)))
+    ratio = (f_knee / f_min) ** (1 / n)
+    pole = 2 * math.pi * f_min * ratio ** (np.arange(n) + 0.5 + slope / 4)
+    zero, rate = pole * ratio ** (-slope / 2), 2 * f_samp
+    return list(zip(((rate + zero) / (rate + pole)).tolist(), ((zero - rate) / (rate + pole)).tolist(), ((rate - pole) / (rate + pole)).tolist(), strict=True))
 
 
 def coloured_noise(df: DataFrame, key: str, order: Sequence[str], value: str, sigma: float, f_min: float, f_knee: float, f_samp: float, slope: float) -> DataFrame:
-    """Filters each stream's white samples, in order, into noise of the given slope; the columns key, order and ``filtered``.
+    """Filters each stream's white samples, in order, into noise whose power goes as f**slope; the columns key, order and ``filtered``.
 
     The state runs along a stream, so a stream is filtered in order; samples arrive sorted, in Arrow batches of bounded
     size, and only the state (two numbers a stage) is carried from one batch to the next. Streams share the tasks.
@@ -126,7 +126,7 @@ def wigner3j(l2: int, l3: int, m2: int, m3: int) -> tuple[int, np.ndarray]:
     up[0] = down[-1] = 1.0
     for k in range(n - 1):
         if low + k == 0:  # the recurrence is void at j = 0: the next value follows from l2, l3 and m2 alone
-            up[1] = -(m3 - m2) * 2.0 / (a[1] if a[1] else 1.0) if m2 else 0.0
+            up[1] = -(m3 - m2) / (a[1] if a[1] else 1.0) if m2 else 0.0
         else:
             before = up[k - 1] * (j[k] + 1) * a[k] if k else 0.0
             up[k + 1] = -(b[k] * up[k] + before) / (j[k] * a[k + 1])
@@ -151,12 +151,12 @@ def wigner_table(triples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if None in row or abs(row[2]) > row[0] or abs(row[3]) > row[1]:
-                    continue
-                low, values = wigner3j(*row)
-                columns = [pa.array([v] * len(values), pa.int64()) for v in row]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(low, low + len(values))), pa.array(values)], names=["l2", "l3", "m2", "m3", "l1", "value"])
+            rows = np.array([r for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) if None not in r and abs(r[2]) <= r[0] and abs(r[3]) <= r[1]], np.int64).reshape(-1, 4)
+            found = [wigner3j(*map(int, r)) for r in rows]
+            sizes = [len(v) for _, v in found]
+            l1 = [np.arange(low, low + len(v)) for low, v in found]
+            columns = [*np.repeat(rows, sizes, axis=0).T, np.concatenate([np.zeros(0, np.int64), *l1]), np.concatenate([np.zeros(0), *[v for _, v in found]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["l2", "l3", "m2", "m3", "l1", "value"])
 
     return triples.select(*[F.col(c).cast("long") for c in ("l2", "l3", "m2", "m3")]).mapInArrow(run, "l2 long, l3 long, m2 long, m3 long, l1 long, value double")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from collections.abc import Iterator
 
 import numpy as np
@@ -223,3 +224,22 @@ def median_within(points: DataFrame, pixels: DataFrame, nside: int, key: str = "
     """The median of the known RING pixels within ``radius`` of each direction."""
     at = query_disc(points, nside, "RING", key).select(key, F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pix"))
     return at.join(pixels.select("pix", "value"), "pix").groupBy(key).agg(F.expr("percentile(value, 0.5)").alias("value"), F.count("value").alias("n"))
+
+
+def ang2vec(df: DataFrame) -> DataFrame:
+    """Adds the unit vector x, y, z of (theta, phi)."""
+    s = F.sin("theta")
+    return df.withColumns({"x": s * F.cos("phi"), "y": s * F.sin("phi"), "z": F.cos("theta")})
+
+
+def vec2ang(df: DataFrame) -> DataFrame:
+    """Adds theta and phi, from 0 to 2 pi, of the vector (x, y, z) of any length."""
+    phi = F.atan2("y", "x")
+    return df.withColumns({"theta": F.atan2(F.hypot("x", "y"), F.col("z")), "phi": F.when(phi < 0, phi + 2 * math.pi).otherwise(phi)})
+
+
+def v_angle(df: DataFrame, a: Sequence[str], b: Sequence[str], out: str = "angle") -> DataFrame:
+    """Adds the angle between two vectors, each named by three columns, also where it is tiny or nearly pi."""
+    (ax, ay, az), (bx, by, bz) = ([F.col(c) for c in v] for v in (a, b))
+    cross = F.hypot(F.hypot(ay * bz - az * by, az * bx - ax * bz), ax * by - ay * bx)
+    return df.withColumn(out, F.atan2(cross, ax * bx + ay * by + az * bz))

@@ -10,6 +10,7 @@ from ..operators import gridding as G
 from ..operators import nonuniform as N
 from ..operators import numeric as M
 from ..operators import pointing as Q
+from ..operators import sphere as S
 from ..sources import tables as T
 from .spectral import rnd, rounded
 
@@ -136,13 +137,37 @@ _add("gl_moments", lambda s, d: M.gl_table(s, 12).withColumn("k", F.explode(F.se
 _add("integrate", lambda s, d: M.integrate(s, 20, 0.0, 2.0, "exp(-x) * x"), "SELECT round(1 - 3 * exp(-2.0::DOUBLE), 6) AS value")
 _add("roll_resize_roll", lambda s, d: M.roll_resize_roll(T.real_grid(s, d), {"d": (12, 15, 4, -2), "h": (10, 7, -3, 1)}), _out(f"SELECT ((d + 4) % 12 + 13) % 15 AS d, ((h + 7) % 10 + 1) % 7 AS h, value FROM ({T.real_grid_sql()}) WHERE (h + 7) % 10 < 7", "d, h", "value"))
 _add("scatter_add", lambda s, d: M.scatter_add(T.real_hourly(s, d), T.table(s, d, "lineitem").select((F.col("l_partkey") % 720).alias("n"), F.col("l_quantity").alias("value")), ["n"]), f"SELECT n, round(sum(value), 6) AS value FROM (SELECT n, value FROM ({T.real_hourly_sql()}) UNION ALL SELECT l_partkey % 720, l_quantity FROM lineitem) GROUP BY n")
-_add("coloured_noise", lambda s, d: M.coloured_noise(T.table(s, d, "events"), "user_id", ["ts", "event_id"], "value", 0.1, 1e-4, 0.1, 10.0, 1.7).select("user_id", "event_id", "filtered"), None)
+_add("coloured_noise", lambda s, d: M.coloured_noise(T.table(s, d, "events"), "user_id", ["ts", "event_id"], "value", 0.1, 1e-4, 0.1, 10.0, -1.7).select("user_id", "event_id", "filtered"), None)
 _triples = lambda s: s.range(5).select(F.col("id").alias("l2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("l3")).withColumn("m2", F.explode(F.sequence(-F.col("l2"), "l2"))).withColumn("m3", F.explode(F.sequence(-F.col("l3"), "l3")))
-_add("wigner3j_norm", lambda s, d: M.wigner_table(_triples(s)).groupBy("l2", "l3", "m2", "m3").agg(F.sum((2 * F.col("l1") + 1) * F.col("value") ** 2).alias("total")), "SELECT l2, l3, m2, m3, 1.0::DOUBLE AS total FROM (SELECT range AS l2 FROM range(5)), (SELECT range AS l3 FROM range(5)), (SELECT range AS m2 FROM range(-4, 5)), (SELECT range AS m3 FROM range(-4, 5)) WHERE abs(m2) <= l2 AND abs(m3) <= l3")
+_fac = lambda x: f"gamma({x} + 1::DOUBLE)"
+
+
+def _racah(rows):
+    """Adds value: the 3j symbol (l1 l2 l3; -m2-m3 m2 m3) of rows (l1, l2, l3, m2, m3) by Racah's sum."""
+    parts = ["t", "l3 - l2 + t - m2 - m3", "l3 - l1 + t - m2", "l1 + l2 - l3 - t", "l1 - t + m2 + m3", "l2 - t + m2"]
+    roots = ["l1 + l2 - l3", "l1 - l2 + l3", "l2 + l3 - l1", "l1 - m2 - m3", "l1 + m2 + m3", "l2 + m2", "l2 - m2", "l3 + m3", "l3 - m3"]
+    inside = " AND ".join(f"{p} >= 0" for p in parts)
+    term = "CASE WHEN t % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END / (" + " * ".join(_fac(f"greatest({p}, 0)") for p in parts) + ")"
+    root = "sqrt(" + " * ".join(map(_fac, roots)) + f" / {_fac('l1 + l2 + l3 + 1')})"
+    sign = "CASE WHEN abs(l1 - l2 - m3) % 2 = 0 THEN 1 ELSE -1 END"
+    held = f"SELECT * FROM ({rows}) WHERE l1 BETWEEN abs(l2 - l3) AND l2 + l3 AND abs(m2 + m3) <= l1 AND abs(m2) <= l2 AND abs(m3) <= l3"
+    return f"SELECT l1, l2, l3, m2, m3, {sign} * {root} * sum(CASE WHEN {inside} THEN {term} ELSE 0 END) AS value FROM ({held}), (SELECT range AS t FROM range(20)) GROUP BY l1, l2, l3, m2, m3"
+
+
+_range = lambda name, a, b: f"(SELECT range AS {name} FROM range({a}, {b}))"
+_every = f"SELECT * FROM {_range('l1', 0, 9)}, {_range('l2', 0, 5)}, {_range('l3', 0, 5)}, {_range('m2', -4, 5)}, {_range('m3', -4, 5)}"
+_add("wigner3j", lambda s, d: M.wigner_table(_triples(s)), _out(_racah(_every), "l1, l2, l3, m2, m3", "value"))
 _spectra = lambda s: s.range(9).select(F.lit(0).cast("long").alias("ispec"), F.col("id").alias("l"), (1 / (1.0 + F.col("id"))).alias("value"))
 _G = "((l1 + l2 + l) // 2)"
 _W = f"gamma(2 * {_G} - 2 * l1 + 1) * gamma(2 * {_G} - 2 * l2 + 1) * gamma(2 * {_G} - 2 * l + 1) / gamma(2 * {_G} + 2) * pow(gamma({_G} + 1) / (gamma({_G} - l1 + 1) * gamma({_G} - l2 + 1) * gamma({_G} - l + 1)), 2)"
 _add("coupling_matrix_00", lambda s, d: M.coupling_matrix(_spectra(s), 4, ["00"]), f"SELECT 0::BIGINT AS ispec, '00' AS kind, l1, l2, round(sum((2 * l + 1) / (4 * {PI}::DOUBLE) / (1.0::DOUBLE + l) * {_W}), 6) AS value FROM (SELECT range AS l1 FROM range(5)), (SELECT range AS l2 FROM range(5)), (SELECT range AS l FROM range(9)) WHERE l1 <= l2 AND l BETWEEN l2 - l1 AND l1 + l2 AND (l1 + l2 + l) % 2 = 0 GROUP BY l1, l2")
-_add("coupling_matrix_spin2", lambda s, d: M.coupling_matrix(_spectra(s), 4), None)
+_zero = _racah(f"SELECT l AS l1, l1 AS l2, l2 AS l3, m2, -m2 AS m3 FROM {_range('l', 0, 9)}, {_range('l1', 0, 5)}, {_range('l2', 0, 5)}, (SELECT unnest([0, -2]) AS m2) WHERE l1 <= l2")
+_w = f"SELECT l1 AS l, l2 AS l1, l3 AS l2, sum(CASE WHEN m2 = 0 THEN value ELSE 0 END) AS w0, sum(CASE WHEN m2 <> 0 THEN value ELSE 0 END) AS w2 FROM ({_zero}) GROUP BY 1, 2, 3"
+_kinds = " UNION ALL ".join(f"SELECT l, l1, l2, '{k}' AS kind, {v} AS w FROM ({_w})" for k, v in {"00": "w0 * w0", "02": "w0 * w2", "++": "CASE WHEN (l + l1 + l2) % 2 = 0 THEN w2 * w2 ELSE 0 END", "--": "CASE WHEN (l + l1 + l2) % 2 = 0 THEN 0 ELSE w2 * w2 END"}.items())
+_add("coupling_matrix_spin2", lambda s, d: M.coupling_matrix(_spectra(s), 4), _out(f"SELECT 0::BIGINT AS ispec, kind, l1, l2, sum((2 * l + 1) / (4 * {PI}::DOUBLE) / (1.0::DOUBLE + l) * w) AS value FROM ({_kinds}) GROUP BY kind, l1, l2", "ispec, kind, l1, l2", "value"))
 _bits = " + ".join(f"((l_partkey >> {b}) & 1) * {1 << 2 * b} + ((l_suppkey >> {b}) & 1) * {2 << 2 * b}" for b in range(20))
 _add("morton", lambda s, d: T.table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().withColumn("code", M.morton(["l_partkey", "l_suppkey"])).withColumn("back", M.unmorton("code", 2, 1)), f"SELECT DISTINCT l_partkey, l_suppkey, {_bits} AS code, l_suppkey AS back FROM lineitem")
+_vectors = lambda s, d: S.ang2vec(T.directions(s, d)).select("id", *[(F.col(c) * (1 + F.col("id") % 3)).alias(c) for c in "xyz"], F.lit(0.6).alias("p"), F.lit(0.0).alias("q"), F.lit(-0.8).alias("r"))
+_add("ang2vec", lambda s, d: S.ang2vec(T.directions(s, d)).select("id", "x", "y", "z"), _out(f"SELECT id, sin(theta) * cos(phi) AS x, sin(theta) * sin(phi) AS y, cos(theta) AS z FROM ({T.directions_sql()})", "id", "x, y, z"))
+_add("vec2ang", lambda s, d: S.vec2ang(_vectors(s, d)).select("id", F.cos("theta").alias("c"), F.sin("phi").alias("s")), _out(f"SELECT id, cos(theta) AS c, sin(phi) AS s FROM ({T.directions_sql()})", "id", "c, s"))
+_add("v_angle", lambda s, d: S.v_angle(_vectors(s, d), "xyz", "pqr").select("id", "angle"), _out(f"SELECT id, acos(least(1, greatest(-1, 0.6::DOUBLE * sin(theta) * cos(phi) - 0.8::DOUBLE * cos(theta)))) AS angle FROM ({T.directions_sql()})", "id", "angle"))
