@@ -69,16 +69,13 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value: Column,
     A key may hold any share of all rows. Its rows are cut into ``2**bits`` ranges of the hash; sums of ranges are
     pre-aggregated and accumulated, and only rows of one range of one key meet in a window.
     """
+    parts = [f"_k{i}" for i in range(len(keys))] + [f"_null{i}" for i in range(len(keys))] + ["_range"]
     ranged = df.withColumn("_range", F.shiftright(F.col(order), 64 - bits)).withColumn("_value", value)
-    by_key = Window.partitionBy(*[F.col(k) for k in keys], F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(by_key), F.lit(0)).alias("_base"))
-    on = (F.col("_range") == F.col("_r")) if not keys else None
-    for i, k in enumerate(keys):
-        same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        on = same if on is None else on & same
-    if keys:
-        on = on & (F.col("_range") == F.col("_r"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(sums, on, "left")
-    return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_range", "_value", "_base", "_r", *[f"_k{i}" for i in range(len(keys))])
+    for i, k in enumerate(keys):  # keys without nulls, so that the join and the window share one shuffle
+        ranged = ranged.withColumn(f"_k{i}", F.coalesce(F.col(k).cast("string"), F.lit(""))).withColumn(f"_null{i}", F.col(k).isNull())
+    by_key = Window.partitionBy(*parts[:-1], F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*parts).agg(F.sum("_value").alias("_sum"))
+    sums = sums.select(*parts, F.coalesce(F.sum("_sum").over(by_key), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*parts).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(sums, parts)
+    return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_value", "_base", *parts)
