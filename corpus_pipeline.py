@@ -1,6 +1,9 @@
 """The corpus pipeline: quality, near-duplicates, repeated passages, mixture, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a table; all but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last keep the columns of documents. Null and
+empty texts pass the first four stages as they are rated (a text without words is never served by the mixture), a null
+doc_id is kept apart, repeated rows are documents of their own, texts of any length are read whole, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
