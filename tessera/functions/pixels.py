@@ -1,0 +1,145 @@
+"""Equal-area pixels as columns, in steps: each adds named columns, so that no expression is written out twice.
+
+In the texts of the steps ``$`` marks the steps' own columns. All numbers are longs, exact up to nside = 2**29.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .healpix import npix, order
+
+Steps = Sequence[Mapping[str, str]]
+
+
+def added(df: DataFrame, inputs: Mapping[str, Column], steps: Steps, outputs: Mapping[str, str]) -> DataFrame:
+    """Adds ``outputs`` (name to text) worked out from ``inputs``; columns of the same names are replaced, nulls give nulls.
+
+    A condition on an output, a join on it included, would be pushed down through the steps and be written out there in
+    full, twice as long with each step. ``spark_partition_id() >= 0``, always true, is not deterministic to the optimizer,
+    which thus leaves conditions above; conditions on other columns are best put before.
+    """
+    kept = [c for c in df.columns if c not in outputs]
+    work = df.withColumns({f"_hp_{k}": v for k, v in inputs.items()} | {f"_hp_known_{k}": v.isNotNull() for k, v in inputs.items()})
+    for step in steps:
+        work = work.withColumns({f"_hp_{k}": F.expr(v.replace("$", "_hp_")) for k, v in step.items()})
+    known = " AND ".join([*[f"_hp_known_{k}" for k in inputs], "spark_partition_id() >= 0"])
+    return work.select(*[f"`{c}`" for c in kept], *[F.expr(f"CASE WHEN {known} THEN {v.replace('$', '_hp_')} END").alias(k) for k, v in outputs.items()])
+
+
+def _cap(n: int) -> int:
+    return 2 * n * (n - 1)
+
+
+def ring_of(n: int) -> Steps:
+    """$ring from the RING pixel $p. The root of the double is put right by one."""
+    cap, rest = _cap(n), npix(n) - _cap(n)
+    return [
+        {"a": f"CASE WHEN $p < {cap}L THEN 1L + 2L * $p WHEN $p < {rest}L THEN 0L ELSE 2L * ({npix(n)}L - $p) - 1L END"},
+        {"b": "cast(floor(sqrt(cast($a AS double))) AS bigint)"},
+        {"a": "1L + $b - CASE WHEN $b * $b > $a THEN 1L ELSE 0L END + CASE WHEN ($b + 1L) * ($b + 1L) <= $a THEN 1L ELSE 0L END"},
+        {"ring": f"CASE WHEN $p < {cap}L THEN $a div 2L WHEN $p < {rest}L THEN ($p - {cap}L) div {4 * n}L + {n}L ELSE {4 * n}L - $a div 2L END"},
+    ]
+
+
+def of_ring(n: int) -> Steps:
+    """$q, a fourth of the pixels of $ring, $start, its first pixel, and $half, 1 where that lies half a step from longitude 0."""
+    far = f"({4 * n}L - $ring)"
+    return [
+        {
+            "q": f"least($ring, {n}L, {far})",
+            "start": f"CASE WHEN $ring < {n}L THEN 2L * $ring * ($ring - 1L) WHEN $ring <= {3 * n}L THEN {_cap(n)}L + {4 * n}L * ($ring - {n}L) ELSE {npix(n)}L - 2L * {far} * ({far} + 1L) END",
+            "half": f"CASE WHEN $ring < {n}L OR $ring > {3 * n}L OR pmod($ring - {n}L, 2L) = 0 THEN 1L ELSE 0L END",
+        }
+    ]
+
+
+def angles(n: int) -> Steps:
+    """$theta and $phi of the RING pixel $p; the colatitude is precise at the poles too."""
+    size = f"{3.0 * n * n!r}D"
+    return [
+        *ring_of(n),
+        *of_ring(n),
+        {"t": f"cast(least($ring, {4 * n}L - $ring) AS double)"},
+        {"t": f"$t * $t / {size}"},
+        {"c": "atan2(sqrt(greatest($t * (2D - $t), 0D)), 1D - $t)"},
+        {
+            "theta": f"CASE WHEN $ring < {n}L THEN $c WHEN $ring > {3 * n}L THEN pi() - $c ELSE acos(cast(2L * ({2 * n}L - $ring) AS double) / {3.0 * n!r}D) END",
+            "phi": "(cast($p - $start AS double) + $half * 0.5D) * pi() / (2D * $q)",
+        },
+    ]
+
+
+def located(n: int) -> Steps:
+    """$p, the RING pixel of $z, $s (the sine of the colatitude, which tells more than z at the poles) and $phi."""
+    near = f"least(cast(floor({{}} * {n} * $far) AS bigint), {n - 1}L)"
+    cap = "$c * ($c + 1L)"
+    return [
+        {"t": "$phi / (pi() / 2D)", "az": "abs($z)"},
+        {"t": "$t - 4D * floor($t / 4D)", "far": "CASE WHEN $az < 0.99D THEN sqrt(3D * (1D - $az)) ELSE $s / sqrt((1D + $az) / 3D) END"},
+        {"t": "CASE WHEN $t >= 4D THEN 0D ELSE $t END"},
+        {"u": "$t - floor($t)", "jp": f"cast(floor({n}D * (0.5D + $t) - {0.75 * n!r}D * $z) AS bigint)", "jm": f"cast(floor({n}D * (0.5D + $t) + {0.75 * n!r}D * $z) AS bigint)"},
+        {"r": f"{n + 1}L + $jp - $jm", "c": f"{near.format('$u')} + {near.format('(1D - $u)')} + 1L"},
+        {"i": "pmod(cast(floor($t * $c) AS bigint), 4L * $c)", "j": f"pmod(shiftright($jp + $jm - {n - 1}L + CASE WHEN pmod($r, 2L) = 0 THEN 1L ELSE 0L END, 1), {4 * n}L)"},
+        {"p": f"CASE WHEN $az <= {2 / 3!r}D THEN {_cap(n)}L + ($r - 1L) * {4 * n}L + $j WHEN $z > 0 THEN 2L * $c * ($c - 1L) + $i ELSE {npix(n)}L - 2L * {cap} + $i END"},
+    ]
+
+
+def _turn(face: str) -> str:
+    """Eighths of a turn from longitude 0 to the face's middle."""
+    return f"(2L * pmod({face}, 4L) + CASE WHEN {face} div 4L = 1L THEN 0L ELSE 1L END)"
+
+
+def ring_to_face(n: int) -> Steps:
+    """$x, $y and $face of the RING pixel $p."""
+    return [
+        *ring_of(n),
+        *of_ring(n),
+        {"i": "$p - $start + 1L", "up": f"$ring - {n - 1}L", "belt": f"$ring >= {n}L AND $ring <= {3 * n}L"},
+        {"fm": f"($i - $up div 2L + {n - 1}L) div {n}L", "fp": f"($i - ({2 * n + 2}L - $up) div 2L + {n - 1}L) div {n}L", "c": "($i - 1L) div $q"},
+        {"face": f"CASE WHEN $ring < {n}L THEN $c WHEN NOT $belt THEN $c + 8L WHEN $fp = $fm THEN pmod($fp, 4L) + 4L WHEN $fp < $fm THEN $fp ELSE $fm + 8L END"},
+        {"down": f"$ring - ($face div 4L + 2L) * {n}L + 1L", "across": f"2L * $i - {_turn('$face')} * $q - CASE WHEN $belt THEN 1L - $half ELSE 0L END - 1L"},
+        {"across": f"CASE WHEN $across >= {2 * n}L THEN $across - {8 * n}L ELSE $across END"},
+        {"x": "shiftright($across - $down, 1)", "y": "shiftright(-($across + $down), 1)"},
+    ]
+
+
+def face_to_ring(n: int) -> Steps:
+    """$p, the RING pixel, from $x, $y and $face."""
+    return [
+        {"ring": f"($face div 4L + 2L) * {n}L - $x - $y - 1L"},
+        *of_ring(n),
+        {"i": f"shiftright({_turn('$face')} * $q + $x - $y + 2L - $half, 1)"},
+        {"i": f"CASE WHEN $i > {4 * n}L THEN $i - {4 * n}L WHEN $i < 1L THEN $i + {4 * n}L ELSE $i END"},
+        {"p": "$start + $i - 1L"},
+    ]
+
+
+def _ones(width: int) -> int:
+    """64 bits of which every other run of ``width`` is set, from the lowest."""
+    return sum(((1 << width) - 1) << k for k in range(0, 64, 2 * width))
+
+
+def face_to_nest(n: int) -> Steps:
+    """$p, the NEST pixel, from $x, $y and $face: the bits of x and y take turns."""
+    spread = [{k: f"({k_} | shiftleft({k_}, {w})) & {_ones(w)}L" for k, k_ in (("x", "$x"), ("y", "$y"))} for w in (16, 8, 4, 2, 1)]
+    return [*spread, {"p": f"shiftleft($face, {2 * order(n)}) + $x + shiftleft($y, 1)"}]
+
+
+def nest_to_face(n: int) -> Steps:
+    """$x, $y and $face of the NEST pixel $p."""
+    inner = f"($p & {n * n - 1}L)"
+    first = {"face": f"shiftright($p, {2 * order(n)})", "x": f"{inner} & {_ones(1)}L", "y": f"shiftright({inner}, 1) & {_ones(1)}L"}
+    return [first, *[{k: f"({k_} | shiftright({k_}, {w})) & {_ones(2 * w)}L" for k, k_ in (("x", "$x"), ("y", "$y"))} for w in (1, 2, 4, 8, 16)]]
+
+
+def to_ring(n: int, scheme: str) -> Steps:
+    """The RING pixel $p of a pixel $p of either scheme."""
+    return [] if scheme == "RING" else [*nest_to_face(n), *face_to_ring(n)]
+
+
+def from_ring(n: int, scheme: str) -> Steps:
+    return [] if scheme == "RING" else [*ring_to_face(n), *face_to_nest(n)]

@@ -209,21 +209,77 @@ def synthesis_2d(alm: DataFrame, geometry: str, n: int, nphi: int, lmax: int, mm
     return synthesis(alm, rings_2d(alm.sparkSession, geometry, n, nphi, phi0), lmax, mmax, spin)
 
 
+def _circle(geometry: str, n: int) -> tuple[int, float]:
+    """Points of the full circle that the rings are part of, and the first one's place in steps."""
+    return {"CC": (2 * n - 2, 0.0), "F1": (2 * n, 0.5), "MW": (2 * n - 1, 0.5), "MWflip": (2 * n - 1, 0.0)}[geometry]
+
+
+def _least_rings(geometry: str, lmax: int) -> int:
+    """Rings from which the quadrature weights alone are exact."""
+    return {"GL": lmax + 1, "CC": 2 * lmax + 2, "DH": 2 * lmax + 2, "MW": 1 << 62, "MWflip": 1 << 62}.get(geometry, 2 * lmax + 1)
+
+
+def resample_theta(leg: DataFrame, geometry: str, n: int, lmax: int, spin: int = 0, adjoint: bool = False) -> DataFrame:
+    """Values on the rings of a grid as values on 2 * lmax + 2 equidistant rings with both poles, or the adjoint of that.
+
+    Along a meridian and its continuation beyond the pole, which has the sign (-1)**(m + spin), a band-limited function is a
+    trigonometric polynomial of degree lmax; one m at a time goes through two fast transforms.
+    """
+    (size, off), n_fine = _circle(geometry, n), 2 * lmax + 2
+    fine = 2 * n_fine - 2
+    if size < 2 * lmax + 1:
+        raise ValueError("the grid has too few rings for these coefficients")
+    twin = (size - np.arange(size) - round(2 * off)) % size
+    k = np.fft.fftfreq(size, 1 / size).round().astype(np.int64)
+    held = np.abs(k) <= lmax
+    k, turn = k[held], np.exp(-2j * math.pi * off / size * k[held])
+
+    def run(t: pa.Table) -> pa.Table:
+        m = t.column("m")[0].as_py()
+        sign = -1.0 if (m + spin) % 2 else 1.0
+        given = np.zeros(n_fine if adjoint else n, complex)
+        np.add.at(given, t.column("ring").to_numpy(), _complex(t))
+        if adjoint:
+            spectrum = np.zeros(size, complex)
+            spectrum[held] = np.fft.fft(np.r_[given, np.zeros(fine - n_fine)])[k] * turn.conj()
+            circle = np.fft.ifft(spectrum)
+            found = circle[:n].copy()
+            np.add.at(found, twin[n:], sign * circle[n:])
+        else:
+            circle = np.r_[given, sign * given[twin[n:]]]
+            spectrum = np.zeros(fine, complex)
+            spectrum[k] = np.fft.fft(circle)[held] / size * turn
+            found = (np.fft.ifft(spectrum) * fine)[:n_fine]
+        return _leg_table(np.arange(len(found)), m, [found]).set_column(0, "comp", pa.array(np.full(len(found), t.column("comp")[0].as_py())))
+
+    picked = leg.select("comp", "ring", "m", "re", "im")
+    return picked.groupBy("comp", "m").applyInArrow(run, "comp long, ring long, m long, re double, im double")
+
+
 def analysis_2d(pixels: DataFrame, geometry: str, n: int, nphi: int, lmax: int, mmax: int, spin: int = 0, phi0: float = 0.0) -> DataFrame:
-    """Coefficients of a band-limited map by quadrature, for the grids whose weights are exact to 2 * lmax.
+    """Coefficients of a band-limited map.
 
-    Gauss-Legendre needs lmax + 1 rings, the other grids that have weights 2 * lmax + 1 (one more for CC and DH).
+    By quadrature where the weights are exact to 2 * lmax; CC, F1 and MW grids of fewer rings (lmax + 2 for CC, lmax + 1 for
+    the others) are resampled along the meridians first.
     """
-    least = {"GL": lmax + 1, "CC": 2 * lmax + 2, "DH": 2 * lmax + 2}.get(geometry, 2 * lmax + 1)
-    if n < least or nphi < 2 * mmax + 1:
+    _check_grid(geometry, n, nphi, lmax, mmax)
+    rings = rings_2d(pixels.sparkSession, geometry, n, nphi, phi0)
+    if n >= _least_rings(geometry, lmax):
+        return adjoint_synthesis(_weighed(pixels, geometry, n, nphi), rings, lmax, mmax, spin)
+    dense = resample_theta(map2leg(pixels, rings, mmax), geometry, n, lmax, spin)
+    return leg2alm(_weighed(dense, "CC", 2 * lmax + 2, nphi), rings_2d(pixels.sparkSession, "CC", 2 * lmax + 2, nphi), lmax, spin)
+
+
+def _check_grid(geometry: str, n: int, nphi: int, lmax: int, mmax: int) -> None:
+    least = _least_rings(geometry, lmax)
+    if n < min(least, {"CC": lmax + 2, "F1": lmax + 1, "MW": lmax + 1, "MWflip": lmax + 1}.get(geometry, least)) or nphi < 2 * mmax + 1:
         raise ValueError("the grid has too few rings or pixels for these coefficients")
-    spark = pixels.sparkSession
-    return adjoint_synthesis(_weighed(pixels, geometry, n, nphi), rings_2d(spark, geometry, n, nphi, phi0), lmax, mmax, spin)
 
 
-def _weighed(pixels: DataFrame, geometry: str, n: int, nphi: int) -> DataFrame:
-    weights = pixels.sparkSession.createDataFrame([(i, float(w) / nphi) for i, w in enumerate(grid_weights(geometry, n))], "ring long, w double")
-    return pixels.join(weights, "ring").withColumn("value", F.col("value") * F.col("w")).drop("w")
+def _weighed(values: DataFrame, geometry: str, n: int, nphi: int) -> DataFrame:
+    weights = values.sparkSession.createDataFrame([(i, float(w) / nphi) for i, w in enumerate(grid_weights(geometry, n))], "ring long, w double")
+    scaled = {c: F.col(c) * F.col("w") for c in ("value", "re", "im") if c in values.columns}
+    return values.join(weights, "ring").withColumns(scaled).drop("w")
 
 
 def adjoint_synthesis_2d(pixels: DataFrame, geometry: str, n: int, nphi: int, lmax: int, mmax: int, spin: int = 0, phi0: float = 0.0) -> DataFrame:
@@ -231,8 +287,33 @@ def adjoint_synthesis_2d(pixels: DataFrame, geometry: str, n: int, nphi: int, lm
 
 
 def adjoint_analysis_2d(alm: DataFrame, geometry: str, n: int, nphi: int, lmax: int, mmax: int, spin: int = 0, phi0: float = 0.0) -> DataFrame:
-    """The adjoint of ``analysis_2d``: the map of the coefficients times the quadrature weights."""
-    return _weighed(synthesis_2d(alm, geometry, n, nphi, lmax, mmax, spin, phi0), geometry, n, nphi)
+    """The adjoint of ``analysis_2d``: its steps the other way round."""
+    _check_grid(geometry, n, nphi, lmax, mmax)
+    if n >= _least_rings(geometry, lmax):
+        return _weighed(synthesis_2d(alm, geometry, n, nphi, lmax, mmax, spin, phi0), geometry, n, nphi)
+    spark, n_fine = alm.sparkSession, 2 * lmax + 2
+    dense = _weighed(alm2leg(alm, rings_2d(spark, "CC", n_fine, nphi), lmax, mmax, spin), "CC", n_fine, nphi)
+    return leg2map(resample_theta(dense, geometry, n, lmax, spin, adjoint=True), rings_2d(spark, geometry, n, nphi, phi0))
+
+
+def _sloped(alm: DataFrame) -> DataFrame:
+    """Gradient coefficients of spin 1: times sqrt(l (l + 1))."""
+    slope = F.sqrt(F.col("l") * (F.col("l") + 1.0))
+    return alm.where("l > 0").select(F.lit(0).cast("long").alias("comp"), "l", "m", (F.col("re") * slope).alias("re"), (F.col("im") * slope).alias("im"))
+
+
+def alm2leg_deriv1(alm: DataFrame, rings: DataFrame, lmax: int, mmax: int) -> DataFrame:
+    """``alm2leg`` of the derivatives: comp 0 along theta, comp 1 along phi over sin(theta)."""
+    return alm2leg(_sloped(alm), rings, lmax, mmax, 1)
+
+
+def synthesis_deriv1(alm: DataFrame, rings: DataFrame, lmax: int, mmax: int) -> DataFrame:
+    """Maps of both derivatives of a scalar map: comp 0 along theta, comp 1 along phi over sin(theta)."""
+    return leg2map(alm2leg_deriv1(alm, rings, lmax, mmax), rings)
+
+
+def synthesis_2d_deriv1(alm: DataFrame, geometry: str, n: int, nphi: int, lmax: int, mmax: int, phi0: float = 0.0) -> DataFrame:
+    return synthesis_deriv1(alm, rings_2d(alm.sparkSession, geometry, n, nphi, phi0), lmax, mmax)
 
 
 def synthesis_general(alm: DataFrame, points: DataFrame, lmax: int, mmax: int, spin: int = 0, key: str = "id") -> DataFrame:

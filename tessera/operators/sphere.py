@@ -8,57 +8,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import healpix as H
+from ..functions import pixels as C
 from ..functions.batches import computed
 from .ranges import normalise
 
 
+def _pixel(pix: str) -> dict[str, Column]:
+    return {"p": F.col(f"`{pix}`").cast("long")}
+
+
 def pix2ang(df: DataFrame, nside: int, scheme: str = "RING", pix: str = "pix") -> DataFrame:
     H.checked(nside, scheme)
-    return computed(df, [pix], {"theta": "double", "phi": "double"}, lambda p: H.pix2ang(nside, p, scheme))
+    return C.added(df, _pixel(pix), [*C.to_ring(nside, scheme), *C.angles(nside)], {"theta": "$theta", "phi": "$phi"})
 
 
 def ang2pix(df: DataFrame, nside: int, scheme: str = "RING", out: str = "pix") -> DataFrame:
     H.checked(nside, scheme)
-    return computed(df, ["theta", "phi"], {out: "bigint"}, lambda t, p: H.ang2pix(nside, t, p, scheme))
+    place = {"z": F.cos("theta"), "s": F.sin("theta"), "phi": F.col("phi")}
+    return C.added(df, place, [*C.located(nside), *C.from_ring(nside, scheme)], {out: "$p"})
 
 
 def pix2vec(df: DataFrame, nside: int, scheme: str = "RING", pix: str = "pix") -> DataFrame:
     H.checked(nside, scheme)
-    return computed(df, [pix], {"x": "double", "y": "double", "z": "double"}, lambda p: H.pix2vec(nside, p, scheme))
+    vector = {"x": "sin($theta) * cos($phi)", "y": "sin($theta) * sin($phi)", "z": "cos($theta)"}
+    return C.added(df, _pixel(pix), [*C.to_ring(nside, scheme), *C.angles(nside)], vector)
 
 
 def vec2pix(df: DataFrame, nside: int, scheme: str = "RING", out: str = "pix") -> DataFrame:
+    """Vectors of any length but zero."""
     H.checked(nside, scheme)
-    return computed(df, ["x", "y", "z"], {out: "bigint"}, lambda x, y, z: H.vec2pix(nside, x, y, z, scheme))
+    flat = F.col("x") * F.col("x") + F.col("y") * F.col("y")
+    size = F.sqrt(flat + F.col("z") * F.col("z"))
+    place = {"z": F.try_divide(F.col("z"), size), "s": F.try_divide(F.sqrt(flat), size), "phi": F.atan2("y", "x")}
+    return C.added(df, place, [*C.located(nside), *C.from_ring(nside, scheme)], {out: "$p"})
 
 
 def pix2xyf(df: DataFrame, nside: int, scheme: str = "RING", pix: str = "pix") -> DataFrame:
     H.checked(nside, scheme)
-    return computed(df, [pix], {"ix": "bigint", "iy": "bigint", "face": "bigint"}, lambda p: H.pix2xyf(nside, p, scheme))
+    steps = C.ring_to_face(nside) if scheme == "RING" else C.nest_to_face(nside)
+    return C.added(df, _pixel(pix), steps, {"ix": "$x", "iy": "$y", "face": "$face"})
 
 
 def xyf2pix(df: DataFrame, nside: int, scheme: str = "RING", out: str = "pix") -> DataFrame:
     H.checked(nside, scheme)
-    return computed(df, ["ix", "iy", "face"], {out: "bigint"}, lambda x, y, f: H.xyf2pix(nside, x, y, f, scheme))
+    steps = C.face_to_ring(nside) if scheme == "RING" else C.face_to_nest(nside)
+    return C.added(df, {k: F.col(v).cast("long") for k, v in {"x": "ix", "y": "iy", "face": "face"}.items()}, steps, {out: "$p"})
 
 
 def ring2nest(df: DataFrame, nside: int, pix: str = "pix", out: str = "nest") -> DataFrame:
     H.checked(nside, "NEST")
-    return computed(df, [pix], {out: "bigint"}, lambda p: H.ring2nest(nside, p))
+    return C.added(df, _pixel(pix), C.from_ring(nside, "NEST"), {out: "$p"})
 
 
 def nest2ring(df: DataFrame, nside: int, pix: str = "nest", out: str = "pix") -> DataFrame:
     H.checked(nside, "NEST")
-    return computed(df, [pix], {out: "bigint"}, lambda p: H.nest2ring(nside, p))
+    return C.added(df, _pixel(pix), C.to_ring(nside, "NEST"), {out: "$p"})
 
 
 def pix2ring(df: DataFrame, nside: int, scheme: str = "RING", pix: str = "pix", out: str = "ring") -> DataFrame:
     H.checked(nside, scheme)
-    return computed(df, [pix], {out: "bigint"}, lambda p: H.ring_of(nside, p if scheme == "RING" else H.nest2ring(nside, p)))
+    return C.added(df, _pixel(pix), [*C.to_ring(nside, scheme), *C.ring_of(nside)], {out: "$ring"})
 
 
 def neighbors(df: DataFrame, nside: int, scheme: str = "RING", pix: str = "pix") -> DataFrame:

@@ -1,5 +1,5 @@
 """Registered queries and their SQL, by family."""
 
-from . import spectral, sphere, sums
+from . import rotation, spectral, sphere, sums
 
-FAMILIES = (spectral, sphere, sums)
+FAMILIES = (spectral, sphere, sums, rotation)
