@@ -2,9 +2,9 @@
 
 An array is a table of index columns (bigint, from 0) with ``re`` and ``im``, or ``value``; cells that are missing are
 zero. ``shape`` maps each index column to its length. Along one axis a transform is a weighted sum: every cell is
-expanded over the output index and summed by the other axes and it, which Spark combines before the shuffle. For long
-axes, ``lines`` transforms whole lines as Arrow groups, and ``long_line`` a line of any length in two such steps, with
-groups of about its square root.
+expanded over the output index and summed by the other axes and it, which Spark combines before the shuffle. Axes
+beyond ``EXACT_LENGTH`` go through ``fourier``: ``long_line`` takes two steps of shorter lines as Arrow groups of about
+the square root of the length, and lengths without such factors are turned into a convolution of a length that has them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.cplx import cis, root, times
 
 Shape = Mapping[str, int]
-#: Lengths up to which the weighted sum is used; longer axes are transformed as lines.
+#: Lengths up to which the weighted sum is used; longer axes are transformed in two steps.
 EXACT_LENGTH = 4096
 PRIMES = (2, 3, 5, 7, 11)
 
@@ -78,7 +78,7 @@ def long_line(df: DataFrame, axis: str, n: int, forward: bool = True, columns: i
     over i2 for each k1; the result stands at k1 + rows * k2. No group holds more than max(columns, rows) cells.
     """
     if columns is None:
-        columns = next((d for d in range(math.isqrt(n), 0, -1) if n % d == 0), 1)
+        columns = _columns(n)
     if n % columns:
         raise ValueError("columns must divide the length")
     rows = n // columns
@@ -90,15 +90,54 @@ def long_line(df: DataFrame, axis: str, n: int, forward: bool = True, columns: i
     return second.withColumn(axis, F.col("_k1") + F.lit(rows) * F.col("_b")).drop("_k1", "_b")
 
 
+def _columns(n: int) -> int:
+    """The largest divisor of n that is not above its square root."""
+    return next(d for d in range(math.isqrt(n), 0, -1) if n % d == 0)
+
+
+def _pair(df: DataFrame, factor: tuple[Column, Column]) -> DataFrame:
+    """The table with ``re``, ``im`` multiplied by a complex column."""
+    re, im = times((F.col("re"), F.col("im")), factor)
+    return df.select(*[c for c in df.columns if c not in ("re", "im")], re.alias("re"), im.alias("im"))
+
+
+def chirped(df: DataFrame, axis: str, n: int, forward: bool = True) -> DataFrame:
+    """A line of any length n, such as a prime, as a convolution with a chirp (Bluestein 1970).
+
+    As 2 i k = i^2 + k^2 - (k - i)^2, the sum is a convolution with exp(+-pi i j^2 / n) between two turns by the same
+    chirp. It is done by ``long_line`` at a smooth length of 2 n - 1 or more.
+    """
+    m, sign = good_size(2 * n - 1), _sign(forward)
+    j = F.col("id") - F.lit(n - 1)
+    re, im = root(j * j, 2 * n, -sign)
+    chirp = df.sparkSession.range(2 * n - 1).select(F.pmod(j, F.lit(m)).alias("_j"), re.alias("re"), im.alias("im"))
+    spectrum = long_line(chirp, "_j", m).select("_j", F.col("re").alias("_re"), F.col("im").alias("_im"))
+    data = long_line(_pair(df, root(F.col(axis) * F.col(axis), 2 * n, sign)), axis, m)
+    product = _pair(data.join(spectrum, F.col(axis) == F.col("_j")), (F.col("_re"), F.col("_im"))).drop("_j", "_re", "_im")
+    back = long_line(product, axis, m, False).where(F.col(axis) < n)
+    return scaled(_pair(back, root(F.col(axis) * F.col(axis), 2 * n, sign)), 1 / m)
+
+
+def fourier(df: DataFrame, axis: str, n: int, forward: bool = True) -> DataFrame:
+    """The transform of ``re``, ``im`` along a long axis; no group holds more than some square roots of it."""
+    if n // _columns(n) <= max(EXACT_LENGTH, 8 * math.isqrt(n)):
+        return long_line(df, axis, n, forward)
+    return chirped(df, axis, n, forward)
+
+
+def _as_complex(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("value", "re").withColumn("im", F.lit(0.0))
+
+
 def c2c(df: DataFrame, shape: Shape, axes: Sequence[str] | None = None, forward: bool = True, inorm: int = 0) -> DataFrame:
     """Complex transform over ``axes``; a table with ``value`` only is real input."""
     axes = checked_axes(shape, axes)
     if "value" in df.columns:
-        df = df.withColumnRenamed("value", "re").withColumn("im", F.lit(0.0))
+        df = _as_complex(df)
     for axis in axes:
         n = shape[axis]
         if n > EXACT_LENGTH:
-            df = lines(df, axis, n, forward)
+            df = fourier(df, axis, n, forward)
             continue
 
         def terms(i: Column, k: Column, n: int = n) -> dict[str, Column]:
@@ -128,7 +167,10 @@ def r2c(df: DataFrame, shape: Shape, axes: Sequence[str] | None = None, forward:
         c, s = root(i * k, n, _sign(forward))
         return {"re": F.col("value") * c, "im": F.col("value") * s}
 
-    df = along(df, last, n // 2 + 1, terms)
+    if n > EXACT_LENGTH:
+        df = fourier(_as_complex(df), last, n, forward).where(F.col(last) <= n // 2)
+    else:
+        df = along(df, last, n // 2 + 1, terms)
     if axes[:-1]:
         df = c2c(df, shape, axes[:-1], forward)
     return scaled(df, norm_factor(inorm, math.prod(shape[a] for a in axes)))
@@ -149,7 +191,11 @@ def c2r(df: DataFrame, shape: Shape, axes: Sequence[str] | None = None, lastsize
         once = (k == 0) | (k * 2 == n)
         return {"value": F.when(once, 1.0).otherwise(2.0) * (F.col("re") * c - F.col("im") * s)}
 
-    df = along(df, last, n, terms)
+    if n > EXACT_LENGTH:
+        other = df.where((F.col(last) > 0) & (F.col(last) * 2 < n)).withColumns({last: F.lit(n) - F.col(last), "im": -F.col("im")})
+        df = fourier(df.unionByName(other), last, n, forward).withColumnRenamed("re", "value").drop("im")
+    else:
+        df = along(df, last, n, terms)
     return scaled(df, norm_factor(inorm, n * math.prod(shape[a] for a in axes[:-1])))
 
 
@@ -198,6 +244,9 @@ def _separable(df: DataFrame, shape: Shape, axes: Sequence[str] | None, inorm: i
     axes = checked_axes(shape, axes)
     for axis in axes:
         n = shape[axis]
+        if n > EXACT_LENGTH:
+            df = fourier(_as_complex(df), axis, n).withColumn("value", F.col("re") + F.lit(sign) * F.col("im")).drop("re", "im")
+            continue
 
         def terms(i: Column, k: Column, n: int = n) -> dict[str, Column]:
             c, s = root(i * k, n, -1)
@@ -232,51 +281,60 @@ def genuine_fht(df: DataFrame, shape: Shape, axes: Sequence[str] | None = None,
     return _genuine(df, shape, axes, inorm, -1.0)
 
 
-def _cosine(kind: int, n: int, ortho: bool) -> Callable[[Column, Column], Column]:
-    half, two = math.sqrt(0.5), math.sqrt(2.0)
-    if kind == 1:
-        if n < 2:
-            raise ValueError("type 1 needs two values or more")
-        ends = lambda i: (i == 0) | (i == n - 1)
-        return lambda i, k: F.when(ends(i), two if ortho else 1.0).otherwise(2.0) * F.cos(F.pmod(i * k, F.lit(2 * n - 2)) * F.lit(math.pi / (n - 1))) * F.when(ends(k) & F.lit(ortho), half).otherwise(1.0)
-    if kind == 2:
-        return lambda i, k: 2 * F.cos(F.pmod(k * (i * 2 + 1), F.lit(4 * n)) * F.lit(math.pi / (2 * n))) * F.when((k == 0) & F.lit(ortho), half).otherwise(1.0)
-    if kind == 3:
-        return lambda i, k: F.when(i == 0, two if ortho else 1.0).otherwise(2.0) * F.cos(F.pmod(i * (k * 2 + 1), F.lit(4 * n)) * F.lit(math.pi / (2 * n)))
-    if kind == 4:
-        return lambda i, k: 2 * F.cos(F.pmod((i * 2 + 1) * (k * 2 + 1), F.lit(8 * n)) * F.lit(math.pi / (4 * n)))
-    raise ValueError("type must be 1, 2, 3 or 4")
-
-
-def _sine(kind: int, n: int, ortho: bool) -> Callable[[Column, Column], Column]:
-    half, two = math.sqrt(0.5), math.sqrt(2.0)
-    if kind == 1:
-        return lambda i, k: 2 * F.sin(F.pmod((i + 1) * (k + 1), F.lit(2 * n + 2)) * F.lit(math.pi / (n + 1)))
-    if kind == 2:
-        return lambda i, k: 2 * F.sin(F.pmod((k + 1) * (i * 2 + 1), F.lit(4 * n)) * F.lit(math.pi / (2 * n))) * F.when((k == n - 1) & F.lit(ortho), half).otherwise(1.0)
-    if kind == 3:
-        return lambda i, k: F.when(i == n - 1, two if ortho else 1.0).otherwise(2.0) * F.sin(F.pmod((i + 1) * (k * 2 + 1), F.lit(4 * n)) * F.lit(math.pi / (2 * n)))
-    if kind == 4:
-        return lambda i, k: 2 * F.sin(F.pmod((i * 2 + 1) * (k * 2 + 1), F.lit(8 * n)) * F.lit(math.pi / (4 * n)))
-    raise ValueError("type must be 1, 2, 3 or 4")
-
-
-def _trigonometric(df: DataFrame, shape: Shape, axes: Sequence[str] | None, inorm: int, kernel, kind: int, delta: int) -> DataFrame:
+def _weights(kind: int, n: int, sine: bool, ortho: bool) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """What inputs and outputs at the ends of the axis are multiplied by."""
+    half = math.sqrt(0.5)
+    last = n - 1
+    ends = {(1, False): (0, last), (2, False): (0,), (3, False): (0,), (2, True): (last,), (3, True): (last,)}.get((kind, sine), ())
+    less_in = (half if ortho else 0.5) if kind in (1, 3) else 1.0
+    less_out = half if ortho and kind in (1, 2) else 1.0
+    return tuple(lambda i, w=w: F.when(i.isin(*ends), w).otherwise(1.0) if ends and w != 1 else F.lit(1.0) for w in (less_in, less_out))
+
+
+def _wave(df: DataFrame, axis: str, n: int, kind: int, sine: bool, ortho: bool) -> DataFrame:
+    """Sums of 2 value cos(2 pi p q / length), or sin, where p and q are linear in the input's and output's index."""
+    if kind not in (1, 2, 3, 4):
+        raise ValueError("type must be 1, 2, 3 or 4")
+    if kind == 1 and not sine and n < 2:
+        raise ValueError("type 1 needs two values or more")
+    at_in, at_out = _weights(kind, n, sine, ortho)
+    from_one = [int(sine and kind in kinds) for kinds in ((1, 3), (1, 2))]  # sines count from 1 where no half steps are taken
+    if n <= EXACT_LENGTH:
+        length = {1: 2 * n + 2 if sine else 2 * n - 2, 2: 4 * n, 3: 4 * n, 4: 8 * n}[kind]
+        p = lambda i: i * 2 + 1 if kind in (2, 4) else i + from_one[0]
+        q = lambda k: k * 2 + 1 if kind in (3, 4) else k + from_one[1]
+        wave = F.sin if sine else F.cos
+        return along(df, axis, n, lambda i, k: {"value": F.col("value") * 2 * at_in(i) * at_out(k) * wave(F.pmod(p(i) * q(k), F.lit(length)) * F.lit(2 * math.pi / length))})
+    i = F.col(axis)
+    placed = df.withColumns({"value": F.col("value") * 2 * at_in(i), axis: i + F.lit(from_one[0])})
+    line = _as_complex(placed)
+    if kind in (3, 4):  # half a step of the output
+        line = _pair(line, root(i, 4 * n, -1))
+    line = fourier(line, axis, (2 * n + 2 if sine else 2 * n - 2) if kind == 1 else 2 * n)
+    if kind == 2:  # half a step of the input
+        line = _pair(line, root(i, 4 * n, -1))
+    elif kind == 4:
+        line = _pair(line, root(i * 2 + 1, 8 * n, -1))
+    value = -F.col("im") if sine else F.col("re")
+    out = line.withColumn("value", value).drop("re", "im").withColumn(axis, i - F.lit(from_one[1])).where((i >= 0) & (i < n))
+    return out.withColumn("value", F.col("value") * at_out(i))
+
+
+def _trigonometric(df: DataFrame, shape: Shape, axes: Sequence[str] | None, inorm: int, sine: bool, kind: int, delta: int) -> DataFrame:
     axes = checked_axes(shape, axes)
     for axis in axes:
-        weight = kernel(kind, shape[axis], inorm == 1)
-        df = along(df, axis, shape[axis], lambda i, k, weight=weight: {"value": F.col("value") * weight(i, k)})
+        df = _wave(df, axis, shape[axis], kind, sine, inorm == 1)
     return scaled(df, norm_factor(inorm, math.prod(2 * (shape[a] + (delta if kind == 1 else 0)) for a in axes)))
 
 
 def dct(df: DataFrame, shape: Shape, kind: int = 2, axes: Sequence[str] | None = None, inorm: int = 0) -> DataFrame:
     """Cosine transform of type 1 to 4; ``inorm`` 1 also makes it orthogonal."""
-    return _trigonometric(df, shape, axes, inorm, _cosine, kind, -1)
+    return _trigonometric(df, shape, axes, inorm, False, kind, -1)
 
 
 def dst(df: DataFrame, shape: Shape, kind: int = 2, axes: Sequence[str] | None = None, inorm: int = 0) -> DataFrame:
     """Sine transform of type 1 to 4; ``inorm`` 1 also makes it orthogonal."""
-    return _trigonometric(df, shape, axes, inorm, _sine, kind, 1)
+    return _trigonometric(df, shape, axes, inorm, True, kind, 1)
 
 
 def convolve_axis(df: DataFrame, shape: Shape, axis: str, kernel: DataFrame, n_out: int) -> DataFrame:
@@ -289,18 +347,13 @@ def convolve_axis(df: DataFrame, shape: Shape, axis: str, kernel: DataFrame, n_o
     data = r2c(df, {axis: n}, [axis])
     spectrum = r2c(kernel.select(F.col("n").alias(axis), "value"), {axis: n}, [axis]).select(F.col(axis).alias("_k"), F.col("re").alias("_re"), F.col("im").alias("_im"))
     short = min(n, n_out)
-    kept = data.where(F.col(axis) <= short // 2).join(F.broadcast(spectrum), F.col(axis) == F.col("_k"))  # the kernel's spectrum is one axis long
-    re, im = times((F.col("re"), F.col("im")), (F.col("_re"), F.col("_im")))
-    rest = [c for c in data.columns if c not in (axis, "re", "im")]
-    product = kept.select(*rest, axis, re.alias("re"), im.alias("im"))
-
-    def terms(k: Column, i: Column) -> dict[str, Column]:
-        c, s = root(i * k, n_out, 1)
-        at_nyquist = (k * 2 == short) & F.lit(short % 2 == 0)
-        weight = F.when(k == 0, 1.0).when(at_nyquist, 2.0 if n_out < n else 1.0).otherwise(2.0)
-        return {"value": weight * (F.col("re") * c - F.col("im") * s) / n}
-
-    return along(product, axis, n_out, terms)
+    if n <= EXACT_LENGTH:
+        spectrum = F.broadcast(spectrum)  # at most half of EXACT_LENGTH rows
+    kept = _pair(data.where(F.col(axis) <= short // 2).join(spectrum, F.col(axis) == F.col("_k")), (F.col("_re"), F.col("_im")))
+    if short % 2 == 0 and n_out != n:
+        at_nyquist = F.when(F.col(axis) * 2 == short, 2.0 if n_out < n else 0.5).otherwise(1.0)
+        kept = kept.withColumns({c: F.col(c) * at_nyquist for c in ("re", "im")})
+    return scaled(c2r(kept.drop("_k", "_re", "_im"), {axis: n_out // 2 + 1}, [axis], n_out), 1 / n)
 
 
 def smooth_numbers(limit: int, real: bool = False) -> list[int]:
@@ -334,4 +387,4 @@ def dense(spark: SparkSession, df: DataFrame, axis: str, n: int, column: str = "
     return spark.range(n).select(F.col("id").alias(axis)).join(df, axis, "left").withColumn(column, F.coalesce(column, F.lit(0.0)))
 
 
-__all__ = ["c2c", "c2r", "cis", "convolve_axis", "dct", "dst", "genuine_fht", "genuine_hartley", "good_size", "good_sizes", "lines", "long_line", "power_spectrum", "r2c", "r2r", "r2r_fftpack", "r2r_fftw", "real_c2c", "separable_fht", "separable_hartley"]
+__all__ = ["c2c", "c2r", "chirped", "cis", "convolve_axis", "dct", "dst", "fourier", "genuine_fht", "genuine_hartley", "good_size", "good_sizes", "lines", "long_line", "power_spectrum", "r2c", "r2r", "r2r_fftpack", "r2r_fftw", "real_c2c", "separable_fht", "separable_hartley"]

@@ -141,6 +141,29 @@ def _resample_sql(n_out: int) -> str:
 for _n_out in (80, 150):
     _add(f"convolve_axis_to_{_n_out}", lambda s, d, m=_n_out: S.convolve_axis(T.real_hourly(s, d, SMALL), {"n": SMALL}, "n", _kernel(s, d), m), out(_resample_sql(_n_out), "n", "value"))
 
+#: Long axes: with many divisors, a prime, and the one of the waves.
+LONG, PRIME, WAVES = 10_080, 10_007, 6_000
+
+
+def _add_long(name, query, sql, index, values):
+    QUERIES[name] = lambda spark, sf_dir: rounded(query(spark, sf_dir), 3)
+    SQL[name] = f"SELECT {index}, " + ", ".join(f"{rnd(v, 3)} AS {v}" for v in values.split(", ")) + f" FROM ({sql})"
+
+
+def _prices_complex(n: int) -> str:
+    return f"SELECT n, value AS re, 0.0::DOUBLE AS im FROM ({T.prices_sql(n)})"
+
+
+_add_long("fft_c2c_long_axis", lambda s, d: S.c2c(T.prices(s, d, LONG), {"n": LONG}), dft_sql(_prices_complex(LONG), LONG), "n", "re, im")
+_add_long("fft_c2c_prime_axis", lambda s, d: S.c2c(T.prices(s, d, PRIME), {"n": PRIME}, forward=False), dft_sql(_prices_complex(PRIME), PRIME, 1), "n", "re, im")
+_add_long("fft_r2c_long_axis", lambda s, d: S.r2c(T.prices(s, d, LONG), {"n": LONG}), dft_sql(_prices_complex(LONG), LONG, -1, "1.0::DOUBLE", LONG // 2 + 1), "n", "re, im")
+_add_long("fft_c2r_long_axis", lambda s, d: S.c2r(T.prices(s, d, 5041).select("n", F.col("value").alias("re"), (F.col("value") * F.col("n") / 1000).alias("im")), {"n": 5041}, lastsize=LONG), _c2r_sql(f"SELECT n, value AS re, value * n / 1000 AS im FROM ({T.prices_sql(5041)})", LONG, 1), "n", "value")
+_add_long("fft_hartley_long_axis", lambda s, d: S.separable_hartley(T.prices(s, d, LONG), {"n": LONG}), f"SELECT n, re + im AS value FROM ({dft_sql(_prices_complex(LONG), LONG)})", "n", "value")
+_add_long("dct2_long_axis", lambda s, d: S.dct(T.prices(s, d, WAVES), {"n": WAVES}, 2), f"SELECT k AS n, sum(value * 2 * cos({PI}::DOUBLE * ((k * (2 * n + 1)) % {4 * WAVES}) / {2 * WAVES})) AS value FROM ({T.prices_sql(WAVES)}), {_ks(WAVES)} GROUP BY k", "n", "value")
+_add_long("dst3_long_axis", lambda s, d: S.dst(T.prices(s, d, WAVES), {"n": WAVES}, 3), f"SELECT k AS n, sum(value * CASE WHEN n = {WAVES - 1} THEN 1 ELSE 2 END * sin({PI}::DOUBLE * (((n + 1) * (2 * k + 1)) % {4 * WAVES}) / {2 * WAVES})) AS value FROM ({T.prices_sql(WAVES)}), {_ks(WAVES)} GROUP BY k", "n", "value")
+_LONG_KERNEL = f"SELECT range AS n, 1 / (2.0::DOUBLE + range % 3) AS value FROM range({LONG}) WHERE range IN (0, 1, {LONG - 1})"
+_add_long("convolve_long_axis", lambda s, d: S.convolve_axis(T.prices(s, d, LONG), {"n": LONG}, "n", s.range(LONG).where(F.col("id").isin(0, 1, LONG - 1)).select(F.col("id").alias("n"), (1 / (2.0 + F.col("id") % 3)).alias("value")), LONG), f"SELECT k AS n, coalesce(value, 0) AS value FROM {_ks(LONG)} LEFT JOIN (SELECT (a.n + b.n) % {LONG} AS n, sum(a.value * b.value) AS value FROM ({T.prices_sql(LONG)}) a, ({_LONG_KERNEL}) b GROUP BY 1) c ON c.n = k", "n", "value")
+
 
 def _smooth_sql(limit: int, real: bool) -> str:
     powers = " * ".join(f"pow({p}, e{p})" for p in S.PRIMES[: 3 if real else 5])

@@ -44,6 +44,15 @@ def real_hourly_sql(n: int = HOURS) -> str:
     return f"SELECT n, re AS value FROM ({hourly_sql(n)})"
 
 
+def prices(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """line(n, value): prices of all order lines in millions, summed by order number modulo ``n``."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_orderkey", F.lit(n)).cast("long").alias("n")).agg((F.sum("l_extendedprice").cast("double") / 1e6).alias("value"))
+
+
+def prices_sql(n: int) -> str:
+    return f"SELECT (l_orderkey % {n})::BIGINT AS n, sum(l_extendedprice)::DOUBLE / 1e6 AS value FROM lineitem GROUP BY 1"
+
+
 def grid(spark: SparkSession, sf_dir: str, days: int = 12, hours: int = 10) -> DataFrame:
     """grid(d, h, re, im): the same by day and hour, both wrapped to small sizes."""
     hour = F.floor(micros() / 3_600_000_000)
