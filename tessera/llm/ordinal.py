@@ -62,6 +62,7 @@ def _parts(column: pa.Array, kinds: Sequence[str]) -> Iterator[tuple[np.ndarray,
             hashes, first = words
             if kind == "repeats":  # one feature: a word that repeats the one before it
                 same = np.r_[False, hashes[1:] == hashes[:-1]] if len(hashes) else np.zeros(0, bool)
+                same[first[:-1][first[:-1] < len(hashes)]] = False  # a text's first word has none before it
                 hashes = np.where(same, _U(1), _U(0))
         yield (mix(hashes + _U(k + 1 << 32)) >> _U(64 - BUCKET_BITS)).astype(np.int64), first
 
