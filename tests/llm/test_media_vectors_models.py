@@ -3,9 +3,12 @@
 import hashlib
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from tessera.llm import ordinal, quality, tiff, topk, toxicity
 
@@ -166,21 +169,85 @@ def test_classifiers_without_ratings_and_on_edges(spark, module):
         assert quality.select(docs, labels).columns == docs.columns
 
 
+def graded_docs(spark):
+    """Texts whose marked words, capitals and repeated words go with grades 0 to 2, and unrated, empty and null ones."""
+    rng, rows, labels = np.random.default_rng(12), [], []
+    for i in range(240):
+        grade = int(rng.integers(0, 3))
+        w = [f"w{x}" for x in rng.integers(0, 60, 20)]
+        w += [f"Mark{grade}!"] * int(rng.random() < 0.8) + ["so", "so"] * int(grade == 0) + ["w1"] * int(rng.integers(0, 2))
+        rows.append((i, " ".join(w if i % 2 else w[::-1])))
+        if i % 4:
+            labels.append((i, grade, 2 - grade))
+    rows += [(500, None), (501, ""), (502, "so"), (503, "so"), (504, "so so"), (None, "Mark2! w1")]
+    labels += [(500, 1, 1), (None, 0, 0), (7, None, None), (999, 2, 2)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("module,grade", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_of_three_grades_equal_a_plain_version(spark, module, grade):
+    docs, labels = graded_docs(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    grades = {r.doc_id: r[grade] for r in labels.collect() if r[grade] is not None and r.doc_id is not None}
+    tails = S.plain_tails(rows, grades, module.KINDS, module is toxicity)
+    assert tails.shape[1] == 2 and tails.std() > 0.1
+    for parts in (1, 5):
+        key = lambda x: (x[0] is None, x[0] or 0)
+        got = sorted((tuple(r) for r in module.rated(docs.repartition(parts), labels).collect()), key=key)
+        expect = sorted(((i, t.sum(), t[0], t[0] >= module.LEAST_TAIL) for (i, _), t in zip(rows, tails)), key=key)
+        for mine, plain in zip(got, expect, strict=True):
+            assert mine[0] == plain[0] and mine[1:3] == pytest.approx(plain[1:3], abs=1e-6) and mine[3] == plain[3]
+
+
+def check_stage(name, before, after, sf_dir, spark):
+    """The rows of a stage against a plain version on the stage's own input."""
+    texts = [(r.doc_id, r.text) for r in before]
+    if name == "quality classifier":
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null and doc_id is not null").collect()
+        tails = S.plain_tails(texts, {r.doc_id: r.quality for r in labels}, quality.KINDS, False)
+        assert Counter(after) == Counter(r for r, t in zip(before, tails) if t[0] >= 0.5)
+    elif name == "MinHash near-dedup":
+        expect = S.brute_components(texts, 5)
+        assert Counter(after) == Counter(r for r in before if expect[r.doc_id][1] == r.doc_id)
+    elif name == "substring dedup":
+        assert sorted((i, w) for i, _, w in S.brute_removed(texts)) == sorted((r.doc_id, S.words(r.text)) for r in after)
+    elif name == "mixing":
+        size = {r: len(S.words(r.text)) for r in before}
+        totals, served = Counter(), Counter()
+        for r in before:
+            totals[r.source] += size[r]
+        for r in after:
+            served[r.source] += size[r]
+        assert max(Counter(after).values()) <= 3
+        assert all(abs(served[s] - t) <= max(size.values()) for s, t in S.brute_targets(totals).items())
+    else:
+        library, wanted, found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter(), Counter()
+        for r in before:
+            ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+            for at in range(len(ids)):
+                wanted[r.doc_id, at] += 1
+        for r in after:
+            for at in range(r.start, r.start + r.length):
+                found[r.doc_id, at] += 1
+        assert found == wanted
+        held = Counter()
+        for r in after:
+            held[r.sequence_id] += r.length
+        assert max(held.values()) <= 2048
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
+    sf_dir = "/root/testdata/sf0.001"
     docs = S.documents(spark)
     for k, (name, step) in enumerate(P.STAGES):
-        before = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
-        out = step(spark, docs, "/root/testdata/sf0.001")
+        before = docs.collect()
+        out = step(spark, docs, sf_dir)
+        assert k == 4 or out.columns == docs.columns, name
         if k < 4:
-            assert out.columns == docs.columns, name
-            after = {(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()}
-            assert after and {i for i, _ in after} <= {i for i, _ in before}
-            if name == "MinHash near-dedup":
-                expect = S.brute_components(before, 5)
-                assert {i for i, _ in after} == {i for i, (_, c) in expect.items() if i == c}
-            docs = P.stage(out, "test")
-    tokens = out.groupBy("sequence_id").sum("length").collect()
-    assert tokens and all(r[1] <= 2048 for r in tokens)
-    assert P.run(spark, "/root/testdata/sf0.001").count() == out.count()
+            out = docs = P.stage(out, "test")
+        after = out.collect()
+        assert after
+        check_stage(name, before, after, sf_dir, spark)
+    assert P.run(spark, sf_dir).count() == len(after)
