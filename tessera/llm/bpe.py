@@ -15,6 +15,8 @@ import functools
 import hashlib
 import json
 import re
+import string
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import _byte_letters
 from .words import portions
 
 #: Stands after the last letter of a word.
@@ -44,11 +47,11 @@ class PrefixEncoder:
         self.suffix = suffix
         mark = lambda t: t[: -len(suffix)] + END if t.endswith(suffix) and len(t) > len(suffix) else t
         self.ids = {mark(t): i for t, i in vocab.items()}
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(merges):
             x, y, whole = self.ids[mark(a)], self.ids[mark(b)], self.ids[mark(a + b)]
-            self.rank.setdefault((x, y), rank)
+            self.rank.setdefault(x << 32 | y, rank)
             if whole in self.parts or any(self.parts.get(p, (0, 0, -1))[2] >= rank for p in (x, y)):
                 raise ValueError("each token must be made by one merge, after its parts")
             self.parts[whole] = (x, y, rank)
@@ -58,34 +61,42 @@ class PrefixEncoder:
             if base(t) or i in self.parts:
                 self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        self._lefts: dict[int, list[tuple[int, int]]] = {}
-        self._rights: dict[int, list[tuple[int, int]]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._lefts: dict[int, list[tuple[int, int, int]]] = {}
+        self._rights: dict[int, list[tuple[int, int, int]]] = {}
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
-    def _edge(self, token: int, right: bool) -> list[tuple[int, int]]:
-        """The pieces at a token's right or left end as it grows, each with the rank of the merge that takes it in."""
+    def _edge(self, token: int, right: bool) -> list[tuple[int, int, int]]:
+        """The pieces at a token's right or left end, last first, each with the rank of the merge that takes it in and of the one that made it."""
         held = self._rights if right else self._lefts
         if (out := held.get(token)) is None:
             out, up, piece = [], _NEVER, token
-            while True:
-                out.append((piece, up))
-                if piece not in self.parts:
-                    break
-                x, y, up = self.parts[piece]
-                piece = y if right else x
+            while piece is not None:
+                x, y, born = self.parts.get(piece, (None, None, -1))
+                out.append((piece, up, born))
+                piece, up = (y if right else x), born
             held[token] = out
         return out
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' texts put together is these two tokens."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            rank = self.rank
-            known = not any(rank.get((p, q), _NEVER) < up_p and rank.get((p, q), _NEVER) <= up_q and (p, q) in rank for p, up_p in self._edge(a, True) for q, up_q in self._edge(b, False))
-            if len(self._pairs) >= MEMO_PAIRS:
-                self._pairs.clear()
-            self._pairs[a, b] = known
+        rank, lefts, rights, known = self.rank.get, self._edge(b, False), self._edge(a, True), True
+        i, j = 0, 0  # the pieces at the seam, from the last ones back in time; of two made by one rank the left came first
+        while True:
+            (p, up_p, born_p), (q, up_q, born_q) = rights[i], lefts[j]
+            merged = rank(p << 32 | q)
+            if merged is not None and merged < up_p and merged <= up_q:
+                known = False
+                break
+            if born_p < 0 and born_q < 0:
+                break
+            if born_p > born_q:
+                i += 1
+            else:
+                j += 1
+        if len(self._pairs) >= MEMO_PAIRS:
+            self._pairs.clear()
+        self._pairs[a << 32 | b] = known
         return known
 
     def whole(self, token: int) -> bool:
@@ -95,7 +106,7 @@ class PrefixEncoder:
             known = True
             if token in self.parts:
                 x, y, rank = self.parts[token]
-                seam = any(r < up_p and r <= up_q and (p, q) != (x, y) for p, up_p in self._edge(x, True) for q, up_q in self._edge(y, False) if (r := self.rank.get((p, q), _NEVER)) < rank)
+                seam = any(r < up_p and r <= up_q and (p, q) != (x, y) for p, up_p, _ in self._edge(x, True) for q, up_q, _ in self._edge(y, False) if (r := self.rank.get(p << 32 | q, _NEVER)) < rank)
                 known = self.whole(x) and self.whole(y) and not seam
             self._whole[token] = known
         return known
@@ -103,21 +114,24 @@ class PrefixEncoder:
     def encode_word(self, letters: str) -> list[int]:
         """The ids of a word of byte letters, without its end mark."""
         text = letters + END
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
+        n = len(text)
+        last, size_of, pairs = [-1] * (n + 1), [0] * (n + 1), self._pairs
         for at, (token, size) in self.automaton.iter(text):
-            start = at + 1 - size
-            if start == 0:
-                if self.whole(token):
-                    last[at + 1] = (token, size)
-            elif (before := last[start]) is not None and self.compatible(before[0], token):
-                last[at + 1] = (token, size)
-        out, place = [], len(text)
+            if last[at + 1] >= 0:  # a prefix has one last token
+                continue
+            before = last[at + 1 - size]
+            if before >= 0:
+                fits = pairs.get(before << 32 | token)
+                if fits if fits is not None else self.compatible(before, token):
+                    last[at + 1], size_of[at + 1] = token, size
+            elif size == at + 1 and self.whole(token):
+                last[at + 1], size_of[at + 1] = token, size
+        out, place = [], n
         while place:
-            found = last[place]
-            if found is None:
+            if last[place] < 0:
                 raise ValueError("the vocabulary has no token for a letter of this word")
-            out.append(found[0])
-            place -= found[1]
+            out.append(last[place])
+            place -= size_of[place]
         out.reverse()
         return out
 
@@ -145,14 +159,21 @@ class Codec:
         self._literal = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         strings = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.strings = [strings.get(i, "") for i in range(max(strings) + 1)]
+        self._letters = _byte_letters()
         self._memo: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
     def _chunk(self, chunk: str) -> bytes:
         ids = self._memo.get(chunk)
         if ids is None:
-            clean = self.tokenizer.normalizer.normalize_str(chunk)
-            ids = b"".join([self._word(w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)])
+            core = chunk.rstrip(string.punctuation)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):  # one word, and what stands behind it is no letter
+                ids = self._word(core.lower().encode().decode("latin-1").translate(self._letters))
+                if core != chunk:
+                    ids += self._chunk(chunk[len(core) :])
+            else:
+                clean = self.tokenizer.normalizer.normalize_str(chunk)
+                ids = b"".join([self._word(w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)])
             if len(self._memo) >= MEMO_CHUNKS:
                 self._memo.clear()
             if len(chunk) < 200:
@@ -162,7 +183,8 @@ class Codec:
     def _word(self, letters: str) -> bytes:
         ids = self._words.get(letters)
         if ids is None:
-            ids = np.array(self.encoder.encode_word(letters), "<u4").tobytes()
+            found = self.encoder.encode_word(letters)
+            ids = struct.pack(f"<{len(found)}I", *found)
             if len(self._words) >= MEMO_CHUNKS:
                 self._words.clear()
             if len(letters) < 200:

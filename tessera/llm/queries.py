@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, licenses, mixing, neardup, packing, quality, substring, tiff, topk, toxicity
+from . import bitpack, bpe, licenses, mixing, neardup, packing, quality, repair, substring, tiff, topk, toxicity, variants
 
 
 def vocabulary(name: str) -> str:
@@ -61,6 +61,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("matches")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(_read(spark, sf_dir, "conversations"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bitpack": op2_bitpack,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_substring": op9_substring,
     "op10_licenses": op10_licenses,
+    "op11_variants": op11_variants,
+    "op12_repair": op12_repair,
+    "op13_bpe": op13_bpe,
 }
 
 SQL: dict[str, str] = {
