@@ -46,17 +46,17 @@ class PrefixEncoder:
 
         self.suffix = suffix
         mark = lambda t: t[: -len(suffix)] + END if t.endswith(suffix) and len(t) > len(suffix) else t
+        base = lambda t: len(t) == 1 and t != END or len(t) == 2 and t[1] == END
         self.ids = {mark(t): i for t, i in vocab.items()}
         self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(merges):
             x, y, whole = self.ids[mark(a)], self.ids[mark(b)], self.ids[mark(a + b)]
             self.rank.setdefault(x << 32 | y, rank)
-            if whole in self.parts or any(self.parts.get(p, (0, 0, -1))[2] >= rank for p in (x, y)):
+            if whole in self.parts or any(p not in self.parts and not base(t) for p, t in ((x, mark(a)), (y, mark(b)))):
                 raise ValueError("each token must be made by one merge, after its parts")
             self.parts[whole] = (x, y, rank)
         self.automaton = ahocorasick.Automaton()
-        base = lambda t: len(t) == 1 and t != END or len(t) == 2 and t[1] == END
         for t, i in self.ids.items():
             if base(t) or i in self.parts:
                 self.automaton.add_word(t, (i, len(t)))
