@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import tempfile
 import uuid
@@ -53,6 +54,14 @@ def packed(df: DataFrame, **named: Column) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"), *[v.alias(k) for k, v in named.items()])
 
 
+def corpus_seeds(docs: DataFrame, n: int = 2) -> tuple[list[int], int]:
+    """``n`` 64-bit seeds from a digest of all texts in any order, and the texts' bytes. One scan; two numbers come back."""
+    part = lambda k: F.conv(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), k, 15), 16, 10).cast("decimal(38,0)")
+    row = docs.agg(F.sum(part(1)), F.sum(part(16)), F.sum(F.octet_length("text"))).first()
+    digest = hashlib.sha512(f"{row[0]} {row[1]}".encode()).digest()
+    return [int.from_bytes(digest[8 * k : 8 * k + 8], "little") for k in range(n)], int(row[2] or 0)
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,7 +8,8 @@ with counts that stop at two, and answers each list with one bit a cell: whether
 only be repeated if all of its cells did.
 
 In the second pass the groups send just these windows, each once with the first document of the group that holds it, to
-ranges of the windows' hashes. There they are grouped exactly, by 96 bits of hash, and the groups that hold a window
+ranges of the windows' hashes. There they are grouped by 128 bits, from two hashes of each word whose keys come from a
+digest of all texts, so that no window can be made to meet another's, and the groups that hold a window
 also in a later document get its first document back. The third pass removes words by these answers. A window that
 a third of all documents hold is sent once by each group, so it needs no task of its own; no range or slice is capped.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Sequence
 from itertools import compress
 
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .words import mix, portions, window_hashes, word_hashes
+from .common import corpus_seeds
+from .words import keyed_hashes, mix, portions, window_hashes
 
 WINDOW = 13
 DEPTH = 2
@@ -39,6 +41,7 @@ BYTES_PER_GROUP = 4_000_000
 BYTES_PER_RANGE = 32_000_000
 
 _U = np.uint64
+Seeds = Sequence[int]
 
 
 def cell_bits(n_bytes: int) -> int:
@@ -55,15 +58,14 @@ def cells(windows: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(windows + _U((row + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> _U(64 - bits)).astype(np.int64)
 
 
-def _windows(column: pa.Array, n: int, second: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(column: pa.Array, n: int, seeds: Seeds, second: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of each window of a batch, its document's number, its first word among the batch's words, and each document's first word."""
-    words, first = word_hashes(column)
+    words, first = keyed_hashes(column, seeds if second else seeds[:1])
     counts = np.maximum(0, np.diff(first) - n + 1)
     doc = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(len(doc)) + np.repeat(first[:-1] - np.cumsum(counts) + counts, counts)
-    every = window_hashes(words, n)
-    other = (window_hashes(words, n, 7)[at] >> _U(32)).astype(np.uint32) if second else np.zeros(0, np.uint32)
-    return every[at], other, doc, at, first
+    other = window_hashes(words[1], n, 7)[at] if second else np.zeros(0, np.uint64)
+    return window_hashes(words[0], n)[at], other, doc, at, first
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -77,13 +79,13 @@ def _known(texts: pa.Table) -> pa.Table:
     return texts.filter(ids.is_valid()) if ids.null_count else texts
 
 
-def _group_windows(texts: pa.Table, n: int, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _group_windows(texts: pa.Table, n: int, seeds: Seeds, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both hashes and the doc_id of all windows of a group."""
     texts = _known(texts)
     column, ids = _column(texts, "_text"), _column(texts, "_doc").to_numpy(zero_copy_only=False).astype(np.int64)
-    parts = [(np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    parts = [(np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))]
     for low, count in portions(column):
-        h1, h2, doc, _, _ = _windows(column.slice(low, count), n, second)
+        h1, h2, doc, _, _ = _windows(column.slice(low, count), n, seeds, second)
         parts.append((h1, h2, ids[low + doc]))
     h1, h2, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
     return h1, h2, doc
@@ -112,10 +114,10 @@ def decode_cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps), np.unpackbits(np.frombuffer(data, np.uint8, -1, at + 8 * n_wide), count=k).astype(bool)
 
 
-def _cells_met(texts: pa.Table, n: int, bits: int, size: int) -> pa.Table:
+def _cells_met(texts: pa.Table, n: int, seeds: Seeds, bits: int, size: int) -> pa.Table:
     """For each slice that a group meets, the cells of it."""
     keys, lists = [], []
-    windows = _group_windows(texts, n, second=False)[0]
+    windows = _group_windows(texts, n, seeds, second=False)[0]
     for row in range(DEPTH):
         met = cells(windows, row, bits)
         met.sort()
@@ -176,11 +178,11 @@ def _grouped(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
 
 
-def _asked(texts: pa.Table, answers: pa.Table, n: int, bits: int, size: int, range_bits: int) -> pa.Table:
+def _asked(texts: pa.Table, answers: pa.Table, n: int, seeds: Seeds, bits: int, size: int, range_bits: int) -> pa.Table:
     """The windows of a group that pass the sketch, for each range of hashes: the hashes, the first document and whether a later one holds it too."""
     keys, lists = [], []
     if texts.num_rows and answers.num_rows:
-        h1, h2, doc = _group_windows(texts, n, second=True)
+        h1, h2, doc = _group_windows(texts, n, seeds, second=True)
         at = np.flatnonzero(_passed(h1, answers, bits, size))
         h1, h2, doc = h1[at], h2[at], doc[at]
         order, head = _grouped(h1, h2)
@@ -208,9 +210,9 @@ def _firsts(lists: pa.Table) -> pa.Table:
         k = int.from_bytes(data[:4].to_pybytes(), "little")
         sizes.append(k)
         parts[0].append(np.frombuffer(data, "<u8", k, 4))
-        parts[1].append(np.frombuffer(data, "<u4", k, 4 + 8 * k))
-        parts[2].append(np.frombuffer(data, "<i8", k, 4 + 12 * k))
-        parts[3].append(np.unpackbits(np.frombuffer(data, np.uint8, -1, 4 + 20 * k), count=k).astype(bool))
+        parts[1].append(np.frombuffer(data, "<u8", k, 4 + 8 * k))
+        parts[2].append(np.frombuffer(data, "<i8", k, 4 + 16 * k))
+        parts[3].append(np.unpackbits(np.frombuffer(data, np.uint8, -1, 4 + 24 * k), count=k).astype(bool))
     h1, h2, low, more = (np.concatenate(x) for x in parts)
     order, head = _grouped(h1, h2)
     first = np.empty(len(h1), np.int64)
@@ -228,11 +230,11 @@ def _firsts(lists: pa.Table) -> pa.Table:
 
 def _first_docs(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and first documents of a group's repeated windows, in order."""
-    parts: list[list[np.ndarray]] = [[np.zeros(0, _U)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, _U)], [np.zeros(0, _U)], [np.zeros(0, np.int64)]]
     for block in answers.column("firsts"):
         data = block.as_buffer()
-        k = len(data) // 20
-        for held, kind, at in zip(parts, ("<u8", "<u4", "<i8"), (0, 8 * k, 12 * k), strict=True):
+        k = len(data) // 24
+        for held, kind, at in zip(parts, ("<u8", "<u8", "<i8"), (0, 8 * k, 16 * k), strict=True):
             held.append(np.frombuffer(data, kind, k, at))
     h1, h2, first = (np.concatenate(x) for x in parts)
     order = np.lexsort((h2, h1))
@@ -258,7 +260,7 @@ def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, known: tuple[np.ndar
     return np.concatenate(out) if out else at
 
 
-def _cut(texts: pa.Table, answers: pa.Table, n: int, with_text: bool) -> pa.Table:
+def _cut(texts: pa.Table, answers: pa.Table, n: int, seeds: Seeds, with_text: bool) -> pa.Table:
     """A group's texts without the words that a repeated window covers."""
     known, ids, column = _first_docs(answers), _column(texts, "_doc"), _column(texts, "_text")
     valid = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -266,7 +268,7 @@ def _cut(texts: pa.Table, answers: pa.Table, n: int, with_text: bool) -> pa.Tabl
     counts, lost, shas, kept_texts = [], [], [], []
     for low, rows in portions(column):
         part = column.slice(low, rows)
-        h1, h2, doc, at, first = _windows(part, n)
+        h1, h2, doc, at, first = _windows(part, n, seeds)
         marked = _later(h1, h2, numbers[low + doc], known)
         marked = at[marked[valid[low + doc[marked]]]]
         depth = np.bincount(marked, minlength=first[-1] + 1) - np.bincount(marked + n, minlength=first[-1] + 1)
@@ -286,13 +288,13 @@ def _cut(texts: pa.Table, answers: pa.Table, n: int, with_text: bool) -> pa.Tabl
     })
 
 
-def repeated_windows(rows: DataFrame, n: int, n_bytes: int) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(rows: DataFrame, n: int, n_bytes: int, seeds: Seeds) -> tuple[DataFrame, DataFrame]:
     """The answers of the sketch (grp, slice, bits) and of the exact pass (grp, firsts) to the groups of ``rows`` (_doc, _text, grp)."""
     bits = cell_bits(n_bytes)
     size, range_bits = slice_bits(bits), max(0, math.ceil(math.log2(max(1.0, n_bytes / BYTES_PER_RANGE))))
-    met = rows.groupBy("grp").applyInArrow(lambda t: _cells_met(t, n, bits, size), "slice long, grp long, cells binary")
+    met = rows.groupBy("grp").applyInArrow(lambda t: _cells_met(t, n, seeds, bits, size), "slice long, grp long, cells binary")
     answers = met.groupBy("slice").applyInArrow(lambda t: _answers(t, size), "grp long, slice long, bits binary")
-    asked = rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda a, b: _asked(a, b, n, bits, size, range_bits), "range long, grp long, windows binary")
+    asked = rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda a, b: _asked(a, b, n, seeds, bits, size, range_bits), "range long, grp long, windows binary")
     return answers, asked.groupBy("range").applyInArrow(lambda t: _firsts(t), "grp long, firsts binary")
 
 
@@ -305,15 +307,15 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, with_text: bool = True) ->
     not count against each other; a row whose doc_id is null neither loses words nor causes a loss. Texts of any length
     are read whole. An empty table gives an empty result.
     """
-    n_bytes = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    seeds, n_bytes = corpus_seeds(docs)
     groups = max(1, math.ceil(n_bytes / BYTES_PER_GROUP))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if with_text and c != "text" or c == "doc_id"])
     rows = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text.alias("_text"))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("_doc", "_text"), F.lit(groups)))
-    _, firsts = repeated_windows(rows, n, n_bytes)
+    _, firsts = repeated_windows(rows, n, n_bytes, seeds)
     schema = StructType([rows.schema["_row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())])
-    return rows.groupBy("grp").cogroup(firsts.groupBy("grp")).applyInArrow(lambda a, b: _cut(a, b, n, with_text), schema)
+    return rows.groupBy("grp").cogroup(firsts.groupBy("grp")).applyInArrow(lambda a, b: _cut(a, b, n, seeds, with_text), schema)
 
 
 def digest(docs: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +67,8 @@ def word_hashes(column: pa.Array, lower: bool = False, blank: np.ndarray = _BLAN
     """The hash of each word of a batch of UTF-8 texts, and where each document's words begin (and all end).
 
     A word is read in parts of eight bytes. Each part is mixed with its number in the word before the parts are summed,
-    so words of up to eight bytes and one length never hash alike, and in longer ones no pattern of letters makes sums agree.
+    so words of up to eight bytes and one length never hash alike. Longer words can be made so that they do: this hash
+    serves features, where that only costs accuracy; ``keyed_hashes`` serves comparisons.
     """
     data, offsets = raw(column)
     starts, ends, first = spans(data, offsets, blank)
@@ -87,6 +88,52 @@ def word_hashes(column: pa.Array, lower: bool = False, blank: np.ndarray = _BLAN
     return mix(total + size.astype(np.uint64) * _U(0xA0761D6478BD642F)), first
 
 
+def keyed_hashes(column: pa.Array, seeds: Sequence[int], lower: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """A 64-bit hash of each word of a batch for each seed, and where each document's words begin (and all end).
+
+    Each part of eight bytes is mixed with a key of its place, twice, and the two results are multiplied, so that a part
+    does not follow from its term. Seeds come from a digest of the whole input (``corpus_seeds``): who changes a word
+    to meet another one's hash changes the keys.
+    """
+    data, offsets = raw(column)
+    starts, ends, first = spans(data, offsets)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    head_part = eight[starts] & _MASK[np.minimum(size, 8)]
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        count = size[more] - 1 >> 3
+        head = np.cumsum(count) - count
+        nth = np.arange(int(count.sum())) - np.repeat(head, count) + 1
+        at, left = np.repeat(starts[more], count) + 8 * nth, np.repeat(size[more], count) - 8 * nth
+        parts, nth = eight[at] & _MASK[np.minimum(left, 8)], nth.astype(np.uint64)
+
+    def terms(part: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+        key = mix(_U(seed) + place * _U(0x9E3779B97F4A7C15))
+        return mix(part ^ key) * (mix(part + mix(key + _U(0xD1342543DE82EF95))) | _U(1))
+
+    out = []
+    for seed in seeds:
+        total = terms(head_part, np.zeros(1, np.uint64), seed)
+        if len(more):
+            total[more] += np.add.reduceat(terms(parts, nth, seed), head)
+        out.append(mix(total + size.astype(np.uint64) * _U(0xA0761D6478BD642F)))
+    return out, first
+
+
+def lowered(text: bytes) -> list[bytes]:
+    """The words of a text with A-Z in lower case."""
+    return text.translate(_LOWER.tobytes()).split()
+
+
+def exact_shingles(text: bytes, n: int) -> set[bytes]:
+    """The shingles of ``n`` lower-cased words themselves; words hold no blank, so a joined shingle is told by its bytes."""
+    words = lowered(text)
+    return {b" ".join(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else {b" ".join(words)} if words else set()
+
+
 def window_hashes(words: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """The hash of the ``n`` words from each place on, for the places that have so many after them in ``words``.
 
@@ -108,12 +155,13 @@ def window_hashes(words: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
         width *= 2
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, n: int, seed: int = 0, bits: int = 64) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each document's shingles of ``n`` lower-cased words; fewer words are one shingle."""
-    words, first = word_hashes(column, lower=True)
-    every = window_hashes(words, n)
+    (words,), first = keyed_hashes(column, [seed], lower=True)
+    short = (lambda x: x) if bits == 64 else lambda x: mix(x >> _U(64 - bits))
+    every = short(window_hashes(words, n))
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= n:
             yield np.unique(every[a : b - n + 1])
         else:
-            yield window_hashes(words[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64)
+            yield short(window_hashes(words[a:b], int(b - a))) if b > a else np.zeros(0, np.uint64)

@@ -273,6 +273,52 @@ def test_words_of_a_pattern_are_told_apart(spark):
     assert got == {i: c for i, (_, c) in S.brute_components(pairs(docs), 2).items()} and got[2] == 2
 
 
+def _older_hash(word):
+    """The hash by which words were compared before: sums of parts mixed without a key, which can be solved for a part."""
+    data = np.frombuffer(word, np.uint8)
+    import pyarrow as pa
+
+    from tessera.llm.words import word_hashes
+
+    return int(word_hashes(pa.array([data.tobytes()], pa.binary()))[0][0])
+
+
+#: Words of one old hash each: two of 16 letters, and pairs with the same parts before and behind.
+SAME = [(b"passagesremember", b"ftyhqusv/z512+wb"), (b"passagesrememberand", b"ftyhqusv/z512+wband"), (b"passagesremember" + b"overmuch" * 2, b"ftyhqusv/z512+wb" + b"overmuch" * 2)]
+
+
+def test_words_made_to_meet_are_told_apart(spark):
+    assert _older_hash(SAME[0][0]) == _older_hash(SAME[0][1])
+    rows, twelve = [], " ".join(S.BASE[:12])
+    for k, (a, b) in enumerate(SAME):
+        rows += [(10 * k + 1, a.decode()), (10 * k + 2, b.decode()), (10 * k + 3, f"{k} {twelve} {a.decode()}"), (10 * k + 4, f"{k} {twelve} {b.decode()}"), (10 * k + 5, f"{k} {twelve} {b.decode()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.digest(docs).collect()}
+    assert got == {i: (n, n - len(left)) for i, n, left in S.brute_removed(rows)}
+    for shingle in (1, 2):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, shingle).collect()}
+        assert got == {i: c for i, (_, c) in S.brute_components(rows, shingle).items()}
+
+
+def test_hashes_that_meet_by_accident_do_not_decide(spark):
+    """With few bits of hash, sets of different shingles fall into one class and pairs look alike; the words tell them apart."""
+    rng = random.Random(8)
+    rows = [(k, f"a{rng.randrange(10**6)}") for k in range(120)] + [(200 + k, " ".join(f"b{rng.randrange(10**6)}" for _ in range(2))) for k in range(80)] + [(300, "x y x y"), (301, "x y x y x"), (302, "X y x"), (303, "y x y x y x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expect = {i: (n, c) for i, (n, c) in S.brute_components(rows, 2).items()}
+    for bits in (6, 20, 64):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 2, bits=bits).collect()} == expect
+
+
+def test_rows_of_one_document_join_its_groups(spark):
+    """Rows (2, A), (5, A), (5, B), (7, B) are one group by way of document 5."""
+    a, b = " ".join(S.BASE[:30]), " ".join(S.BASE[50:80])
+    docs = spark.createDataFrame([(2, a), (5, a), (5, b), (7, b), (8, "alone"), (5, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 2).collect()]
+    assert {g[:2] for g in got if g[0] != 5} == {(2, 2), (7, 2), (8, 8)}
+    assert sorted(got) == [(2, 2, True), (5, 2, False), (5, 2, False), (5, 2, False), (7, 2, False), (8, 8, True)]
+
+
 @pytest.mark.parametrize("n_bytes", [10**8, 10**9, 10**12, 10**14])
 def test_the_sketch_grows_with_the_input(n_bytes):
     """Cells for each window stay as many at any size, and a slice stays within a task's memory."""
@@ -297,7 +343,7 @@ def test_share_of_windows_that_pass_the_sketch(spark):
         docs = spark.range(k).select(F.col("id").alias("_doc"), F.expr("array_join(transform(sequence(1, 200), x -> md5(concat(id, '-', x))), ' ')").cast("binary").alias("_text"))
         n_bytes = docs.agg(F.sum(F.length("_text"))).first()[0]
         rows = docs.withColumn("grp", F.pmod(F.xxhash64("_doc"), F.lit(7)))
-        answers, _ = substring.repeated_windows(rows, 13, n_bytes)
+        answers, _ = substring.repeated_windows(rows, 13, n_bytes, [3, 5])
         count = functools.partial(_count_passed, n_bytes)
         passed = rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda a, b: count(a, b), "n long, of long").toPandas().sum()  # noqa: B023
         assert passed.of == k * 188 and passed.n < 0.02 * passed.of
@@ -306,7 +352,7 @@ def test_share_of_windows_that_pass_the_sketch(spark):
 def _count_passed(n_bytes, texts, answers):
     import pyarrow as pa
 
-    h1, bits = substring._group_windows(texts, 13, second=False)[0], substring.cell_bits(n_bytes)
+    h1, bits = substring._group_windows(texts, 13, [3, 5], second=False)[0], substring.cell_bits(n_bytes)
     return pa.table({"n": pa.array([int(substring._passed(h1, answers, bits, substring.slice_bits(bits)).sum())]), "of": pa.array([len(h1)])})
 
 
