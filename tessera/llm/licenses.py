@@ -6,8 +6,8 @@ name the license. Each template's tokens are ordered by their number in all docu
 matching block must hold one of the first |T| - need + 1 of them (prefix filter), must have ``need`` of the tokens in
 all (length filter), and, when the first one it holds is at place i, at least ``need`` must be left from there on
 (position filter). Only texts that pass are searched, so no match is lost and few texts are looked at. Of blocks of a
-template that overlap the one with the most tokens counts, then the shortest; of blocks of several templates that
-overlap, the one with the most tokens. Templates are a table of a stated size that goes to every task; documents never
+template that overlap the one with the most tokens counts, then the shortest. Blocks of several templates may overlap
+and all count; one gives way only where its license is named as part of a longer name (``Index.matches``). Templates are a table of a stated size that goes to every task; documents never
 leave theirs.
 """
 
@@ -71,7 +71,11 @@ License as published by the Free Software Foundation, either version 3 of the Li
 is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
 FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""", ("gnu", "general")),
     Template("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
-Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""", ("lesser",)),
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""", ("gnu", "lesser", "general")),
+    Template("agpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""", ("gnu", "affero", "general")),
     Template("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""", ("mozilla",)),
     Template("mit", "Released under the MIT License.", ("mit", "license")),
@@ -80,7 +84,8 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
     Template("gpl", "Licensed under the GNU General Public License, version 3.", ("gnu", "general")),
     Template("gpl", "Released under the GPL License.", ("gpl",)),
     Template("gpl", "Licensed under the GPL License.", ("gpl",)),
-    Template("lgpl", "Licensed under the GNU Lesser General Public License.", ("lesser",)),
+    Template("lgpl", "Licensed under the GNU Lesser General Public License.", ("gnu", "lesser", "general")),
+    Template("agpl", "Licensed under the GNU Affero General Public License.", ("gnu", "affero", "general")),
     Template("bsd", "Licensed under the BSD License.", ("bsd",)),
     Template("bsd", "Released under the BSD License.", ("bsd",)),
     Template("mpl", "Licensed under the Mozilla Public License.", ("mozilla",)),
@@ -93,6 +98,12 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
     Template("cc-by", "Licensed under the Creative Commons Attribution License.", ("creative", "commons")),
     Template("cc-by-sa", "Licensed under the Creative Commons Attribution-ShareAlike License.", ("creative", "commons", "sharealike")),
     Template("cc-by-nc", "Licensed under the Creative Commons Attribution-NonCommercial License.", ("creative", "commons", "noncommercial")),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative", "commons")),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("creative", "commons", "sharealike")),
+    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("creative", "commons", "noncommercial")),
+    Template("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ("creative", "commons", "noderivatives")),
+    Template("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ("creative", "commons", "noncommercial", "sharealike")),
+    Template("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", ("creative", "commons", "noncommercial", "noderivatives")),
 )
 THRESHOLD = 0.8
 #: More templates than this are refused, as all go to every task.
@@ -171,13 +182,34 @@ class Index:
         if best:
             yield Match(k, -best[2], -best[1], best[0])
 
+    def naming_spans(self, words: list[bytes], m: Match) -> list[tuple[int, int]]:
+        """The shortest runs of a block's words that hold all tokens that name its license: first and last word."""
+        named, last, out = self.named[m.template], {}, []
+        for at in range(m.first, m.first + m.n_words):
+            if words[at] in named:
+                last[words[at]] = at
+                if len(last) == len(named):
+                    start = min(last.values())
+                    if out and out[-1][0] == start:
+                        continue  # an earlier run with this start is shorter
+                    out.append((start, at))
+        return out
+
     def matches(self, words: list[bytes]) -> list[Match]:
-        """Blocks that overlap no block with more tokens of its own template."""
-        kept: list[Match] = []
-        for m in sorted(self.blocks(words), key=lambda m: (-m.shared, -m.shared / len(self.tokens[m.template]), m.template, m.first)):
-            if all(m.first >= o.first + o.n_words or o.first >= m.first + m.n_words for o in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: m.first)
+        """All blocks, but for those whose license is named only as part of a longer name that another block has.
+
+        CC BY is named by CC BY-SA, and the GNU General License by its Lesser one: a block gives way where each run of words
+        that names it lies within one that names a license with all of its naming tokens and more.
+        """
+        found = self.blocks(words)
+        spans = [self.naming_spans(words, m) for m in found]
+
+        def stands(k: int) -> bool:
+            own = self.named[found[k].template]
+            longer = [x for o, held in zip(found, spans, strict=True) if self.named[o.template] > own for x in held]
+            return not spans[k] or any(all(a < c or d < b for c, d in longer) for a, b in spans[k])
+
+        return sorted((m for k, m in enumerate(found) if stands(k)), key=lambda m: (m.first, m.template))
 
 
 def token_counts(docs: DataFrame, templates: Sequence[Template]) -> dict[bytes, int]:

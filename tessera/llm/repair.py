@@ -26,7 +26,9 @@ from .common import drop_staged, stage
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 #: Rows and bytes of text of a block; a longer row stands alone.
-BLOCK_ROWS, BLOCK_BYTES = 20_000, 8_000_000
+BLOCK_ROWS, BLOCK_BYTES = 4_000, 4_000_000
+#: Rows whose conversations are planned in one group, a byte each; a longer conversation adds its own.
+ROWS_A_BUCKET = 20_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: States of the pattern (s?(ua)+)?: nothing yet, after s, after u, after a. Kinds of role: s, u, a, other.
@@ -207,26 +209,38 @@ _PLAN = "_conv string, part long, block long, pieces long, letters string, state
 
 
 def _plan(table: pa.Table) -> pa.Table:
-    """The letters of one conversation, cut where its blocks are cut."""
-    table = table.sort_by([("part", "ascending"), ("block", "ascending")])
-    codes = [c.as_py() for c in table.column("codes")]
-    whole = b"".join(codes)
-    dist = distances(whole)
-    letters, starts = walk(whole, dist)
-    cuts = [0, *np.cumsum([len(c) for c in codes]).tolist()]
-    at = [starts[c] for c in cuts[:-1]] + [len(letters)]
-    state, states = 0, []
-    for k in range(len(codes)):
-        states.append(state)
-        state = _state_after(whole[cuts[k] : cuts[k + 1]], letters[at[k] : at[k + 1]], state)
-    held = np.frombuffer(whole, np.uint8)
-    faults, roles = np.bincount(held >> 2, minlength=4), held & 3
-    pairs = roles[:-1] * 4 + roles[1:]
-    illegal = int((~np.isin(pairs, [1, 6, 9])).sum())  # su, ua, au
-    n = len(codes)
-    same = {"pieces": n, "blank": int(faults[1]), "duplicate": int(faults[2]), "truncated": int(faults[3]), "illegal": illegal, "cost": int(dist[0])}
-    columns = {"_conv": table.column("_conv").combine_chunks(), "part": table.column("part").combine_chunks(), "block": table.column("block").combine_chunks(), "pieces": pa.array([n] * n, pa.int64()), "letters": pa.array([letters[a:b] for a, b in zip(at, at[1:], strict=False)], pa.string()), "state": pa.array(states, pa.int32())}
-    return pa.table(columns | {c: pa.array([same[c]] * n, pa.int64()) for c in ("blank", "duplicate", "truncated", "illegal", "cost")})
+    """The letters of some conversations, cut where their blocks are cut."""
+    table = table.sort_by([("_conv", "ascending"), ("part", "ascending"), ("block", "ascending")])
+    conv, every = table.column("_conv").to_pylist(), table.column("codes").to_pylist()
+    out: dict[str, list] = {c: [] for c in ("pieces", "letters", "state", "blank", "duplicate", "truncated", "illegal", "cost")}
+    for a, b in _runs(conv):
+        codes = every[a:b]
+        whole = b"".join(codes)
+        dist = distances(whole)
+        letters, starts = walk(whole, dist)
+        state, row = 0, 0
+        illegal = _illegal(whole)
+        faults = [whole.count(bytes([4 * f + r])) for f in range(4) for r in range(4)]
+        for k, piece in enumerate(codes):
+            last = row + len(piece)
+            own = letters[starts[row] : starts[last] if k + 1 < len(codes) else None]
+            values = (b - a, own, state, sum(faults[4:8]), sum(faults[8:12]), sum(faults[12:]), illegal, int(dist[0]))
+            for c, v in zip(out, values, strict=True):
+                out[c].append(v)
+            if k + 1 < len(codes):
+                state = _state_after(piece, own, state)
+            row = last
+    kinds = {"letters": pa.string(), "state": pa.int32()}
+    return pa.table({c: table.column(c) for c in ("_conv", "part", "block")} | {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
+
+
+def _illegal(codes: bytes) -> int:
+    """Neighbours whose roles are not system and user, user and assistant, or assistant and user."""
+    roles = codes.translate(_ROLE)
+    return max(0, len(codes) - 1) - sum(roles.count(pair) for pair in (b"\x00\x01", b"\x01\x02", b"\x02\x01"))
+
+
+_ROLE = bytes(b & 3 for b in range(256))
 
 
 def _state_after(codes: bytes, letters: str, q: int) -> int:
@@ -313,7 +327,8 @@ def repair(conversations: DataFrame) -> DataFrame:
     faulty = with_faults(rows).repartitionByRange(*order).sortWithinPartitions(*order)
     blocked = stage(faulty.drop("turn").mapInArrow(_blocks, _BLOCKED), "repair-blocks")
     codes = blocked.drop("role", "text").groupBy("part", "block").applyInArrow(_codes, "_conv string, part long, block long, codes binary")
-    plan = codes.groupBy("_conv").applyInArrow(_plan, _PLAN)
+    buckets = max(1, blocked.count() // ROWS_A_BUCKET)
+    plan = codes.groupBy(F.pmod(F.xxhash64("_conv"), F.lit(buckets)).alias("_bucket")).applyInArrow(_plan, _PLAN)
     written = blocked.groupBy("part", "block").cogroup(plan.groupBy("part", "block")).applyInArrow(_written, _WRITTEN)
     written = stage(written, "repair-written")
     whole = written.where("pieces = 1").select("_conv", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.col("sha").alias("repaired_sha256"))
