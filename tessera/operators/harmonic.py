@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GEOMETRIES = ("CC", "F1", "F2", "DH", "MW", "MWflip", "GL")
@@ -60,47 +60,116 @@ def rings_2d(spark: SparkSession, geometry: str, n: int, nphi: int, phi0: float
     return spark.createDataFrame(rows, "ring long, theta double, nphi long, phi0 double")
 
 
+#: Values of the recurrences are kept as numbers of about one times 2**(SCALE * n), n an integer for each angle.
+SCALE = 400
+
+
+def _power(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """x**n as a number from a half to one and a power of two, by repeated squares; 0 has the power 0."""
+    base, power = np.frexp(x)
+    base, power = base, power.astype(np.int64)
+    out, exponent = np.ones_like(x), np.zeros(len(x), np.int64)
+    while n:
+        if n & 1:
+            out, more = np.frexp(out * base)
+            exponent = exponent + power + more
+        base, more = np.frexp(base * base)
+        power = 2 * power + more
+        n >>= 1
+    return out, np.where(out == 0, 0, exponent)
+
+
+def _root(n: int) -> tuple[float, int]:
+    """The square root of a whole number of any size, as a number and a power of two."""
+    shift = max(0, n.bit_length() - 120) & ~1
+    return math.sqrt(n >> shift), shift // 2
+
+
+def _started(value: np.ndarray, exponent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """value * 2**exponent in the form of the recurrences."""
+    steps = np.minimum(0, np.round(exponent / SCALE).astype(np.int64))
+    return np.ldexp(value, (exponent - SCALE * steps).astype(np.int32)), steps
+
+
+class _Scaled:
+    """A pair of neighbours of a recurrence over l, whose values grow from far below the smallest double to about one."""
+
+    def __init__(self, value: np.ndarray, exponent: np.ndarray):
+        self.now, self.steps = _started(value, exponent)
+        self.before = np.zeros_like(self.now)
+        self.low = np.flatnonzero(self.steps < 0)
+
+    def value(self) -> np.ndarray:
+        if not len(self.low):
+            return self.now
+        out = self.now.copy()
+        out[self.low] = np.where(self.steps[self.low] < -3, 0.0, np.ldexp(self.now[self.low], (SCALE * np.maximum(self.steps[self.low], -4)).astype(np.int32)))
+        return out
+
+    def move(self, following: np.ndarray) -> None:
+        self.now, self.before = following, self.now
+        if len(self.low):
+            grown = self.low[np.abs(self.now[self.low]) > 2.0 ** (SCALE // 2)]
+            if len(grown):
+                self.now[grown] = np.ldexp(self.now[grown], -SCALE)
+                self.before[grown] = np.ldexp(self.before[grown], -SCALE)
+                self.steps[grown] += 1
+                self.low = np.flatnonzero(self.steps < 0)
+
+
 def legendre(m: int, lmax: int, theta: np.ndarray):
-    """Yields l and the normalised associated Legendre function of (l, m) at all angles, for l from m to lmax."""
+    """Yields l and the normalised associated Legendre function of (l, m) at all angles, for l from m to lmax.
+
+    The first, of l = m, may be far too small for a double; it is kept with a power of two of its own until it has grown.
+    """
     x, s = np.cos(theta), np.sin(theta)
-    log_norm = 0.5 * (math.log((2 * m + 1) / (4 * math.pi)) + math.lgamma(2 * m + 1) - 2 * math.lgamma(m + 1) - 2 * m * math.log(2))
-    with np.errstate(divide="ignore"):
-        now = np.where(s > 0, np.exp(log_norm + m * np.log(np.maximum(s, 1e-300))), math.exp(log_norm) if m == 0 else 0.0) * (-1) ** m
-    before = np.zeros_like(now)
+    root, two = _root(math.comb(2 * m, m))
+    power, exponent = _power(s, m)
+    pair = _Scaled(power * (root * math.sqrt((2 * m + 1) / (4 * math.pi)) * (-1) ** m), exponent + two - m)
     eps = lambda l: math.sqrt((l * l - m * m) / (4.0 * l * l - 1))  # noqa: E731, E741
     for l in range(m, lmax + 1):  # noqa: E741
-        yield l, now
-        now, before = (x * now - (eps(l) * before if l > m else 0.0)) / eps(l + 1), now
+        yield l, pair.value()
+        pair.move((x * pair.now - (eps(l) * pair.before if l > m else 0.0)) / eps(l + 1))
 
 
 def spin_functions(m: int, spin: int, lmax: int, theta: np.ndarray):
     """Yields l and the functions lambda plus and minus of a positive spin."""
     c, s, x = np.cos(theta / 2), np.sin(theta / 2), np.cos(theta)
     hi, lo = max(m, spin), min(m, spin)
-    p = math.exp(0.5 * (math.lgamma(2 * hi + 1) - math.lgamma(hi + lo + 1) - math.lgamma(hi - lo + 1)))
-    plus, minus = p * c ** (hi + lo) * s ** (hi - lo), p * s ** (hi + lo) * c ** (hi - lo)
-    if m >= spin:
-        plus, minus = plus * (-1) ** (m - spin), minus * (-1) ** (m - spin)
-    else:
-        minus = minus * (-1) ** (m + spin)
-    if spin % 2:
-        plus = -plus
-    plus0, minus0 = np.zeros_like(plus), np.zeros_like(minus)
+    root, two = _root(math.comb(2 * hi, hi - lo))
+    odd = (-1) ** (m + spin)
+    pairs = []
+    for a, b, factor in ((c, s, (-1) ** spin * (odd if m >= spin else 1)), (s, c, odd)):
+        (p, e), (q, f) = _power(a, hi + lo), _power(b, hi - lo)
+        pairs.append(_Scaled(p * q * (root * factor), e + f + two))
+    plus, minus = pairs
     for l in range(hi, lmax + 1):  # noqa: E741
-        yield l, plus, minus
+        yield l, plus.value(), minus.value()
         t = math.sqrt(((l + 1.0) ** 2 - m * m) * ((l + 1.0) ** 2 - spin * spin))
         a, shift = (l + 1) * (2 * l + 1) / t, m * spin / (l * (l + 1.0))
         b = (l + 1.0) / l * math.sqrt((l * l - m * m) * (l * l - spin * spin * 1.0)) / t
-        plus, plus0 = a * (x - shift) * plus - b * plus0, plus
-        minus, minus0 = a * (x + shift) * minus - b * minus0, minus
+        plus.move(a * (x - shift) * plus.now - b * plus.before)
+        minus.move(a * (x + shift) * minus.now - b * minus.before)
 
 
 def _spin_norm(l: int, spin: int) -> float:  # noqa: E741
     return (1 if spin % 2 else -1) * 0.5 * math.sqrt((2 * l + 1) / (4 * math.pi))
 
 
-def _by_m(rings: DataFrame, mmax: int) -> DataFrame:
-    return rings.select("ring", "theta", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mmax).cast("long"))).alias("m"))
+#: Rings of one m that one group holds.
+RINGS_A_GROUP = 50_000
+
+
+def _blocks(rings: DataFrame) -> int:
+    return max(1, math.ceil(rings.count() / RINGS_A_GROUP))
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("ring"), F.lit(blocks)).cast("int")
+
+
+def _by_m(rings: DataFrame, mmax: int, blocks: int) -> DataFrame:
+    return rings.select("ring", "theta", _block(blocks).alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mmax).cast("long"))).alias("m"))
 
 
 def _complex(table: pa.Table) -> np.ndarray:
@@ -135,7 +204,9 @@ def alm2leg(alm: DataFrame, rings: DataFrame, lmax: int, mmax: int, spin: int =
 
     comp = "comp" if "comp" in alm.columns else F.lit(0).alias("comp")
     picked = alm.where((F.col("m") <= F.col("l")) & (F.col("l") <= lmax)).select(F.col("m").cast("long"), F.col("l").cast("long"), comp, "re", "im")
-    return picked.groupBy("m").cogroup(_by_m(rings, mmax).groupBy("m")).applyInArrow(run, "comp long, ring long, m long, re double, im double")
+    blocks = _blocks(rings)
+    picked = picked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return picked.groupBy("m", "_block").cogroup(_by_m(rings, mmax, blocks).groupBy("m", "_block")).applyInArrow(run, "comp long, ring long, m long, re double, im double")
 
 
 def leg2alm(leg: DataFrame, rings: DataFrame, lmax: int, spin: int = 0) -> DataFrame:
@@ -162,7 +233,9 @@ def leg2alm(leg: DataFrame, rings: DataFrame, lmax: int, spin: int = 0) -> DataF
 
     comp = "comp" if "comp" in leg.columns else F.lit(0).cast("long").alias("comp")
     met = leg.select(comp, "ring", "m", "re", "im").join(rings.select("ring", "theta"), "ring")
-    return met.groupBy("m").applyInArrow(run, "comp long, l long, m long, re double, im double")
+    blocks = _blocks(rings)
+    parts = met.withColumn("_block", _block(blocks)).groupBy("m", "_block").applyInArrow(run, "comp long, l long, m long, re double, im double")
+    return parts if blocks == 1 else parts.groupBy("comp", "l", "m").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def leg2map(leg: DataFrame, rings: DataFrame) -> DataFrame:
@@ -316,17 +389,26 @@ def synthesis_2d_deriv1(alm: DataFrame, geometry: str, n: int, nphi: int, lmax:
     return synthesis_deriv1(alm, rings_2d(alm.sparkSession, geometry, n, nphi, phi0), lmax, mmax)
 
 
+def _as_rings(points: DataFrame, key: str) -> DataFrame:
+    return points.select(F.col(key).alias("ring"), "theta", F.col("phi").alias("phi0"))
+
+
 def synthesis_general(alm: DataFrame, points: DataFrame, lmax: int, mmax: int, spin: int = 0, key: str = "id") -> DataFrame:
-    """comp, key, value at any directions: each is a ring of one pixel."""
-    rings = points.select(F.col(key).alias("ring"), "theta", F.lit(1).cast("long").alias("nphi"), F.col("phi").alias("phi0"))
-    return synthesis(alm, rings, lmax, mmax, spin).select("comp", F.col("ring").alias(key), "value")
+    """comp, key, value at any directions, by the exact sums: each is a ring of its own, whose phases are columns."""
+    rings = _as_rings(points, key)
+    met = alm2leg(alm, rings, lmax, mmax, spin).join(rings.select("ring", "phi0"), "ring")
+    angle = F.col("m") * F.col("phi0")
+    term = F.when(F.col("m") == 0, 1.0).otherwise(2.0) * (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle))
+    return met.groupBy("comp", F.col("ring").alias(key)).agg(F.sum(term).alias("value"))
 
 
 def adjoint_synthesis_general(points: DataFrame, lmax: int, mmax: int, spin: int = 0, key: str = "id") -> DataFrame:
     """The adjoint of ``synthesis_general``; ``points`` holds key, theta, phi, value and, with spin, comp."""
-    rings = points.select(F.col(key).alias("ring"), "theta", F.lit(1).cast("long").alias("nphi"), F.col("phi").alias("phi0")).distinct()
-    comp = [c for c in ("comp",) if c in points.columns]
-    return adjoint_synthesis(points.select(*comp, F.col(key).alias("ring"), F.lit(0).cast("long").alias("ipix"), "value"), rings, lmax, mmax, spin)
+    rings = _as_rings(points, key).distinct()
+    comp = "comp" if "comp" in points.columns else F.lit(0).cast("long").alias("comp")
+    every = points.select(comp, F.col(key).alias("ring"), "phi", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mmax).cast("long"))).alias("m"))
+    angle = F.col("m") * F.col("phi")
+    return leg2alm(every.select("comp", "ring", "m", (F.col("value") * F.cos(angle)).alias("re"), (-F.col("value") * F.sin(angle)).alias("im")), rings, lmax, spin)
 
 
 def to_full(alm: DataFrame, spin: int = 0) -> DataFrame:
