@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import harmonic as A
+from ..operators import interpolated as I
 from ..operators import rotation as R
 from ..sources import tables as T
 from .spectral import out, rounded
@@ -38,24 +39,24 @@ STEPS = f"(SELECT range AS s FROM range({2 * LMAX + 1}))"
 _tilt = _turn_sql("l", "a.m", "b.m", f"{THETA}::DOUBLE")
 _spin = f"(a.m * {PHI}::DOUBLE + b.m * {PSI}::DOUBLE)"
 ROTATED = f"SELECT 0::BIGINT AS comp, l, a.m, sum({_tilt} * (re * cos{_spin} + im * sin{_spin})) AS re, sum({_tilt} * (im * cos{_spin} - re * sin{_spin})) AS im FROM ({_full_sql(_alm_sql())}) b JOIN (SELECT range AS m FROM range({LMAX + 1})) a ON a.m <= l, {STEPS} GROUP BY l, a.m"
-_add("sht_rotate_alm", lambda s, d: R.rotate_alm(_alm(s), PSI, THETA, PHI), out(ROTATED, "comp, l, m", "re, im"))
+_add("sht_rotate_alm", lambda s, d: R.rotate_alm(_alm(s, d), PSI, THETA, PHI), out(ROTATED, "comp, l, m", "re, im"))
 
 _slope = "(lam.l * cos(theta) * cur - sqrt((2.0::DOUBLE * lam.l + 1) * (lam.l * lam.l - lam.m * lam.m) / (2 * lam.l - 1)) * prev) / sin(theta)"
 _down = f"SELECT lam.ring, a.m, sum(a.re * {_slope}) AS re, sum(a.im * {_slope}) AS im FROM ({_alm_sql()}) a JOIN lam ON a.l = lam.l AND a.m = lam.m GROUP BY lam.ring, a.m"
 _across = f"SELECT g.ring, g.m, -g.im * g.m / sin(r.theta) AS re, g.re * g.m / sin(r.theta) AS im FROM ({LEG}) g JOIN (SELECT DISTINCT ring, theta FROM lam) r ON g.ring = r.ring"
 _both = f"SELECT 0::BIGINT AS comp, ring, m, re, im FROM ({_down}) UNION ALL SELECT 1::BIGINT, ring, m, re, im FROM ({_across})"
 DERIVED = f"SELECT comp, ring, ipix, sum(CASE WHEN m = 0 THEN 1 ELSE 2 END * (re * cos({_ANGLE}) - im * sin({_ANGLE}))) AS value FROM ({_both}), (SELECT range AS ipix FROM range({NPHI})) GROUP BY comp, ring, ipix"
-_add("sht_synthesis_deriv1", lambda s, d: A.synthesis_deriv1(_alm(s), _rings(s), LMAX, LMAX), f"{LAMBDA} {out(DERIVED, 'comp, ring, ipix', 'value')}")
+_add("sht_synthesis_deriv1", lambda s, d: A.synthesis_deriv1(_alm(s, d), _rings(s), LMAX, LMAX), f"{LAMBDA} {out(DERIVED, 'comp, ring, ipix', 'value')}")
 
 for _geometry, _n, _s in (("CC", LMAX + 2, 0), ("F1", LMAX + 1, 2), ("MW", LMAX + 1, 2), ("MWflip", LMAX + 1, 0)):
     _comps = 2 if _s else 1
-    _add(f"sht_analysis_{_geometry.lower()}_few_rings", lambda s, d, g=_geometry, n=_n, sp=_s, c=_comps: A.analysis_2d(A.synthesis_2d(_alm(s, sp, c), g, n, NPHI, LMAX, LMAX, sp), g, n, NPHI, LMAX, LMAX, sp), out(_alm_sql(_s, _comps), "comp, l, m", "re, im"))
+    _add(f"sht_analysis_{_geometry.lower()}_few_rings", lambda s, d, g=_geometry, n=_n, sp=_s, c=_comps: A.analysis_2d(A.synthesis_2d(_alm(s, d, sp, c), g, n, NPHI, LMAX, LMAX, sp), g, n, NPHI, LMAX, LMAX, sp), out(_alm_sql(_s, _comps), "comp, l, m", "re, im"))
 
 KMAX = 2
 
 
-def _beam(spark):
-    return _alm(spark).where(F.col("m") <= KMAX).select("comp", "l", "m", *[(F.col(c) / (1 + F.col("l"))).alias(c) for c in ("re", "im")])
+def _beam(spark, sf_dir):
+    return _alm(spark, sf_dir).where(F.col("m") <= KMAX).select("comp", "l", "m", *[(F.col(c) / (1 + F.col("l"))).alias(c) for c in ("re", "im")])
 
 
 def _pointings(spark, sf_dir):
@@ -67,6 +68,8 @@ POINTINGS = f"SELECT id, theta, phi, (id * 0.37::DOUBLE) % 6.0::DOUBLE AS psi, v
 _tilt = _turn_sql("a.l", "a.m", "b.m", "theta")
 _spin = "(a.m * phi + b.m * psi)"
 SEEN = f"SELECT id, sum({_tilt} * ((a.re * b.re + a.im * b.im) * cos{_spin} - (a.im * b.re - a.re * b.im) * sin{_spin})) AS value FROM ({_full_sql(_alm_sql())}) a JOIN ({_full_sql(BEAM)}) b ON a.l = b.l, ({POINTINGS}), {STEPS} GROUP BY id"
-_add("totalconvolve", lambda s, d: R.convolved(_alm(s), _beam(s), _pointings(s, d), LMAX, KMAX), out(SEEN, "id", "value"))
+_add("totalconvolve", lambda s, d: R.convolved(_alm(s, d), _beam(s, d), _pointings(s, d), LMAX, KMAX), out(SEEN, "id", "value"))
 GIVEN = f"SELECT 0::BIGINT AS comp, a.l, a.m, sum({_tilt} * value * (b.re * cos{_spin} + b.im * sin{_spin})) AS re, sum({_tilt} * value * (b.im * cos{_spin} - b.re * sin{_spin})) AS im FROM (SELECT DISTINCT l, m FROM ({_alm_sql()})) a JOIN ({_full_sql(BEAM)}) b ON a.l = b.l, ({POINTINGS}), {STEPS} GROUP BY a.l, a.m"
-_add("totalconvolve_adjoint", lambda s, d: R.convolved_adjoint(_pointings(s, d), _beam(s), LMAX, KMAX), _out(GIVEN, "comp, l, m", "re, im", 4), 4)
+_add("totalconvolve_adjoint", lambda s, d: R.convolved_adjoint(_pointings(s, d), _beam(s, d), LMAX, KMAX), _out(GIVEN, "comp, l, m", "re, im", 4), 4)
+_add("totalconvolve_interpolated", lambda s, d: I.convolved(_alm(s, d), _beam(s, d), _pointings(s, d), LMAX, KMAX, epsilon=1e-11), _out(SEEN, "id", "value", 4), 4)
+_add("totalconvolve_adjoint_interpolated", lambda s, d: I.convolved_adjoint(_pointings(s, d), _beam(s, d), LMAX, KMAX, 1e-11), _out(GIVEN, "comp, l, m", "re, im", 3), 3)

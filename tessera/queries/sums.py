@@ -45,6 +45,17 @@ def _grid_sql(shape):
     return f"SELECT {', '.join(shape)}, sin({x}) AS re, cos(2 * {x}) AS im FROM " + ", ".join(f"(SELECT range AS {a} FROM range({n}))" for a, n in shape.items())
 
 
+def scattered(spark, sf_dir):
+    """pid, x0, x1, x2, re, im: customers at multiples of irrational numbers, with values of about one."""
+    c = T.table(spark, sf_dir, "customer")
+    part = lambda k: F.col("c_custkey") * F.lit(math.sqrt(k)) - F.floor(F.col("c_custkey") * F.lit(math.sqrt(k)))
+    return c.select(F.col("c_custkey").alias("pid"), part(2).alias("x0"), part(3).alias("x1"), part(5).alias("x2"), (F.col("c_acctbal") / 100000).alias("re"), (F.pmod("c_custkey", F.lit(7)) / 100 - 0.03).alias("im"))
+
+
+_part = lambda k: f"c_custkey * {math.sqrt(k)!r}::DOUBLE - floor(c_custkey * {math.sqrt(k)!r}::DOUBLE)"
+SCATTERED = f"SELECT c_custkey AS pid, {_part(2)} AS x0, {_part(3)} AS x1, {_part(5)} AS x2, c_acctbal / 100000 AS re, (c_custkey % 7) / 100.0::DOUBLE - 0.03::DOUBLE AS im FROM customer"
+
+
 for _d, _shape in enumerate(SHAPES, 1):
     _coords = list(COORDS[:_d])
     _turn = " + ".join(f"({a} - {n // 2}) * {c}" for (a, n), c in zip(_shape.items(), _coords, strict=True))
@@ -54,9 +65,11 @@ for _d, _shape in enumerate(SHAPES, 1):
     _from = f"SELECT pid, sum(g.re * {_c} - g.im * {_s}) AS re, sum(g.im * {_c} + g.re * {_s}) AS im FROM ({POINTS}) p, ({_grid_sql(_shape)}) g GROUP BY pid"
     _add(f"nufft_nu2u_{_d}d", lambda s, d, c=_coords, sh=_shape: N.nu2u(T.points(s, d), c, sh, True, 1.0), _out(_to, _index, "re, im"))
     _add(f"nufft_u2nu_{_d}d", lambda s, d, c=_coords, sh=_shape: N.u2nu(_grid(s, sh), sh, T.points(s, d), c, "pid", False, 1.0), _out(_from, "pid", "re, im"))
-    if _d < 3:
-        _add(f"nufft_nu2u_{_d}d_spread", lambda s, d, c=_coords, sh=_shape: N.nu2u_spread(T.points(s, d), c, sh, 1e-9, True, 1.0), _out(_to, _index, "re, im", 3), 3)
-        _add(f"nufft_u2nu_{_d}d_spread", lambda s, d, c=_coords, sh=_shape: N.u2nu_spread(_grid(s, sh), sh, T.points(s, d), c, "pid", 1e-9, False, 1.0), _out(_from, "pid", "re, im", 3), 3)
+    # customers at places that lie on no lattice; values of about one and 1e-11 of accuracy leave six digits that agree
+    _to = _to.replace(f"({POINTS})", f"({SCATTERED})")
+    _from = _from.replace(f"({POINTS})", f"({SCATTERED})")
+    _add(f"nufft_nu2u_{_d}d_spread", lambda s, d, c=_coords, sh=_shape: N.nu2u_spread(scattered(s, d), c, sh, 1e-11, True, 1.0), _out(_to, _index, "re, im", 6), 6)
+    _add(f"nufft_u2nu_{_d}d_spread", lambda s, d, c=_coords, sh=_shape: N.u2nu_spread(_grid(s, sh), sh, scattered(s, d), c, "pid", 1e-11, False, 1.0), _out(_from, "pid", "re, im", 6), 6)
 
 
 def _baselines(spark, sf_dir):
@@ -90,6 +103,8 @@ def _image(spark):
 
 
 _add("wgridder_dirty2vis", lambda s, d: G.dirty2vis(_baselines(s, d), _channels(s), _image(s), NPIX, SIZE, _vis(s, d)), _out(PREDICT, "row, chan", "re, im"))
+_add("wgridder_vis2dirty_spread", lambda s, d: G.vis2dirty_spread(_baselines(s, d), _channels(s), _vis(s, d), NPIX, SIZE, 1e-11), _out(DIRTY, "ix, iy", "value", 4), 4)
+_add("wgridder_dirty2vis_spread", lambda s, d: G.dirty2vis_spread(_baselines(s, d), _channels(s), _image(s), NPIX, SIZE, _vis(s, d), 1e-11), _out(PREDICT, "row, chan", "re, im", 5), 5)
 _add("wgridder_w_histogram", lambda s, d: G.w_histogram(_baselines(s, d), _channels(s), _vis(s, d), 20), f"SELECT coalesce(least(floor((w - low) / (high - low) * 20), 19), 0)::BIGINT AS bin, count(*) AS n FROM (SELECT abs(w) AS w, min(abs(w)) OVER () AS low, max(abs(w)) OVER () AS high FROM ({VIS}) WHERE mask) GROUP BY 1")
 
 
@@ -133,12 +148,14 @@ PAIR = f"SELECT re AS ar, im AS ai, re * cos(n::DOUBLE) AS br, im AS bi FROM ({S
 _add("vdot", lambda s, d: M.vdot(*_two(s, d), ["n"]), f"SELECT round(sum(ar * br + ai * bi) / 1e6, 6) AS re, round(sum(ar * bi - ai * br) / 1e6, 6) + 0.0::DOUBLE AS im FROM ({PAIR})")
 QUERIES["vdot"] = lambda s, d: rounded(M.vdot(*_two(s, d), ["n"]).select((F.col("re") / 1e6).alias("re"), (F.col("im") / 1e6).alias("im")))
 _add("l2error", lambda s, d: M.l2error(*_two(s, d), ["n"]), f"SELECT round(sqrt(sum((ar - br) * (ar - br)) / greatest(sum(ar * ar + ai * ai), sum(br * br + bi * bi))), 6) AS l2error FROM ({PAIR})")
-_add("gl_moments", lambda s, d: M.gl_table(s, 12).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long")))).groupBy("k").agg(F.sum(F.col("weight") * F.pow(F.cos("theta"), F.col("k"))).alias("value")), "SELECT range AS k, CASE WHEN range % 2 = 0 THEN round(2.0::DOUBLE / (range + 1), 6) ELSE 0.0::DOUBLE END AS value FROM range(21)")
+_add("gl_moments", lambda s, d: T.table(s, d, "lineitem").select(F.pmod(F.col("l_quantity").cast("long"), F.lit(21)).cast("long").alias("k")).distinct().crossJoin(M.gl_table(s, 12)).groupBy("k").agg(F.sum(F.col("weight") * F.pow(F.cos("theta"), F.col("k"))).alias("value")), "SELECT DISTINCT l_quantity::BIGINT % 21 AS k, CASE WHEN l_quantity::BIGINT % 21 % 2 = 0 THEN round(2.0::DOUBLE / (l_quantity::BIGINT % 21 + 1), 6) ELSE 0.0::DOUBLE END AS value FROM lineitem")
 _add("integrate", lambda s, d: M.integrate(s, 20, 0.0, 2.0, "exp(-x) * x"), "SELECT round(1 - 3 * exp(-2.0::DOUBLE), 6) AS value")
 _add("roll_resize_roll", lambda s, d: M.roll_resize_roll(T.real_grid(s, d), {"d": (12, 15, 4, -2), "h": (10, 7, -3, 1)}), _out(f"SELECT ((d + 4) % 12 + 13) % 15 AS d, ((h + 7) % 10 + 1) % 7 AS h, value FROM ({T.real_grid_sql()}) WHERE (h + 7) % 10 < 7", "d, h", "value"))
 _add("scatter_add", lambda s, d: M.scatter_add(T.real_hourly(s, d), T.table(s, d, "lineitem").select((F.col("l_partkey") % 720).alias("n"), F.col("l_quantity").alias("value")), ["n"]), f"SELECT n, round(sum(value), 6) AS value FROM (SELECT n, value FROM ({T.real_hourly_sql()}) UNION ALL SELECT l_partkey % 720, l_quantity FROM lineitem) GROUP BY n")
 _add("coloured_noise", lambda s, d: M.coloured_noise(T.table(s, d, "events"), "user_id", ["ts", "event_id"], "value", 0.1, 1e-4, 0.1, 10.0, -1.7).select("user_id", "event_id", "filtered"), None)
-_triples = lambda s: s.range(5).select(F.col("id").alias("l2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("l3")).withColumn("m2", F.explode(F.sequence(-F.col("l2"), "l2"))).withColumn("m3", F.explode(F.sequence(-F.col("l3"), "l3")))
+_l2, _l3 = "l_partkey % 5", "l_suppkey % 5"
+TRIPLES = f"SELECT DISTINCT {_l2} AS l2, {_l3} AS l3, l_orderkey % (2 * ({_l2}) + 1) - ({_l2}) AS m2, (l_linenumber * 3) % (2 * ({_l3}) + 1) - ({_l3}) AS m3 FROM lineitem"
+_triples = lambda s, d: T.table(s, d, "lineitem").select(*[F.expr(e).cast("long").alias(n) for e, n in ((_l2, "l2"), (_l3, "l3"), (f"l_orderkey % (2 * ({_l2}) + 1) - ({_l2})", "m2"), (f"(l_linenumber * 3) % (2 * ({_l3}) + 1) - ({_l3})", "m3"))]).distinct()
 _fac = lambda x: f"gamma({x} + 1::DOUBLE)"
 
 
@@ -155,16 +172,17 @@ def _racah(rows):
 
 
 _range = lambda name, a, b: f"(SELECT range AS {name} FROM range({a}, {b}))"
-_every = f"SELECT * FROM {_range('l1', 0, 9)}, {_range('l2', 0, 5)}, {_range('l3', 0, 5)}, {_range('m2', -4, 5)}, {_range('m3', -4, 5)}"
-_add("wigner3j", lambda s, d: M.wigner_table(_triples(s)), _out(_racah(_every), "l1, l2, l3, m2, m3", "value"))
-_spectra = lambda s: s.range(9).select(F.lit(0).cast("long").alias("ispec"), F.col("id").alias("l"), (1 / (1.0 + F.col("id"))).alias("value"))
+_every = f"SELECT * FROM {_range('l1', 0, 9)}, ({TRIPLES})"
+_add("wigner3j", lambda s, d: M.wigner_table(_triples(s, d)), _out(_racah(_every), "l1, l2, l3, m2, m3", "value"))
+_spectra = lambda s, d: T.table(s, d, "lineitem").groupBy(F.pmod("l_orderkey", F.lit(9)).cast("long").alias("l")).agg((F.avg("l_quantity") / (10 * (1 + F.first(F.pmod("l_orderkey", F.lit(9)))))).cast("double").alias("value")).select(F.lit(0).cast("long").alias("ispec"), "l", "value")
+SPECTRUM = "(SELECT (l_orderkey % 9)::BIGINT AS sl, (avg(l_quantity) / (10 * (1 + l_orderkey % 9)))::DOUBLE AS sv FROM lineitem GROUP BY l_orderkey % 9)"
 _G = "((l1 + l2 + l) // 2)"
 _W = f"gamma(2 * {_G} - 2 * l1 + 1) * gamma(2 * {_G} - 2 * l2 + 1) * gamma(2 * {_G} - 2 * l + 1) / gamma(2 * {_G} + 2) * pow(gamma({_G} + 1) / (gamma({_G} - l1 + 1) * gamma({_G} - l2 + 1) * gamma({_G} - l + 1)), 2)"
-_add("coupling_matrix_00", lambda s, d: M.coupling_matrix(_spectra(s), 4, ["00"]), f"SELECT 0::BIGINT AS ispec, '00' AS kind, l1, l2, round(sum((2 * l + 1) / (4 * {PI}::DOUBLE) / (1.0::DOUBLE + l) * {_W}), 6) AS value FROM (SELECT range AS l1 FROM range(5)), (SELECT range AS l2 FROM range(5)), (SELECT range AS l FROM range(9)) WHERE l1 <= l2 AND l BETWEEN l2 - l1 AND l1 + l2 AND (l1 + l2 + l) % 2 = 0 GROUP BY l1, l2")
+_add("coupling_matrix_00", lambda s, d: M.coupling_matrix(_spectra(s, d), 4, ["00"]), f"SELECT 0::BIGINT AS ispec, '00' AS kind, l1, l2, round(sum((2 * l + 1) / (4 * {PI}::DOUBLE) * sv * {_W}), 6) AS value FROM (SELECT range AS l1 FROM range(5)), (SELECT range AS l2 FROM range(5)), (SELECT sl AS l, sv FROM {SPECTRUM}) WHERE l1 <= l2 AND l BETWEEN l2 - l1 AND l1 + l2 AND (l1 + l2 + l) % 2 = 0 GROUP BY l1, l2")
 _zero = _racah(f"SELECT l AS l1, l1 AS l2, l2 AS l3, m2, -m2 AS m3 FROM {_range('l', 0, 9)}, {_range('l1', 0, 5)}, {_range('l2', 0, 5)}, (SELECT unnest([0, -2]) AS m2) WHERE l1 <= l2")
 _w = f"SELECT l1 AS l, l2 AS l1, l3 AS l2, sum(CASE WHEN m2 = 0 THEN value ELSE 0 END) AS w0, sum(CASE WHEN m2 <> 0 THEN value ELSE 0 END) AS w2 FROM ({_zero}) GROUP BY 1, 2, 3"
 _kinds = " UNION ALL ".join(f"SELECT l, l1, l2, '{k}' AS kind, {v} AS w FROM ({_w})" for k, v in {"00": "w0 * w0", "02": "w0 * w2", "++": "CASE WHEN (l + l1 + l2) % 2 = 0 THEN w2 * w2 ELSE 0 END", "--": "CASE WHEN (l + l1 + l2) % 2 = 0 THEN 0 ELSE w2 * w2 END"}.items())
-_add("coupling_matrix_spin2", lambda s, d: M.coupling_matrix(_spectra(s), 4), _out(f"SELECT 0::BIGINT AS ispec, kind, l1, l2, sum((2 * l + 1) / (4 * {PI}::DOUBLE) / (1.0::DOUBLE + l) * w) AS value FROM ({_kinds}) GROUP BY kind, l1, l2", "ispec, kind, l1, l2", "value"))
+_add("coupling_matrix_spin2", lambda s, d: M.coupling_matrix(_spectra(s, d), 4), _out(f"SELECT 0::BIGINT AS ispec, kind, l1, l2, sum((2 * l + 1) / (4 * {PI}::DOUBLE) * sv * w) AS value FROM ({_kinds}) k JOIN {SPECTRUM} ON sl = l GROUP BY kind, l1, l2", "ispec, kind, l1, l2", "value"))
 _bits = " + ".join(f"((l_partkey >> {b}) & 1) * {1 << 2 * b} + ((l_suppkey >> {b}) & 1) * {2 << 2 * b}" for b in range(20))
 _add("morton", lambda s, d: T.table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().withColumn("code", M.morton(["l_partkey", "l_suppkey"])).withColumn("back", M.unmorton("code", 2, 1)), f"SELECT DISTINCT l_partkey, l_suppkey, {_bits} AS code, l_suppkey AS back FROM lineitem")
 _vectors = lambda s, d: S.ang2vec(T.directions(s, d)).select("id", *[(F.col(c) * (1 + F.col("id") % 3)).alias(c) for c in "xyz"], F.lit(0.6).alias("p"), F.lit(0.0).alias("q"), F.lit(-0.8).alias("r"))
