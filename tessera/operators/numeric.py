@@ -69,39 +69,70 @@ def scatter_add(base: DataFrame, updates: DataFrame, on: Sequence[str]) -> DataF
 def noise_stages(f_min: float, f_knee: float, f_samp: float, slope: float) -> list[tuple[float, float, float]]:
     """Coefficients (x, x before, y before) of first-order stages whose cascade's power goes as f**slope between both frequencies (1/f noise: -1).
 
-    Poles and zeros alternate at even ratios of frequency, two pairs a decade (Keshner, 1/f noise, Proc. IEEE 70, 1982);
-    each pair (s + zero) / (s + pole) becomes a digital stage by the bilinear transform s = 2 f_samp (1 - q) / (1 + q).
+    Poles and zeros alternate at even ratios of frequency (Keshner, 1/f noise, Proc. IEEE 70, 1982), as many pairs a decade
+    as keep the ripple of the power's logarithm small: a step of half a decade between pairs leaves some 0.1 decades of
+    it at the steepest slope, so the number of pairs is rounded up to that.
+    Each pair (s + zero) / (s + pole) becomes a digital stage by the bilinear transform s = 2 f_samp (1 - q) / (1 + q).
     """
-    n = max(1, int(2 * math.log10(f_knee / f_min)))
+    n = math.ceil(2 * math.log10(f_knee / f_min)) if f_knee > f_min else 1
     ratio = (f_knee / f_min) ** (1 / n)
     pole = 2 * math.pi * f_min * ratio ** (np.arange(n) + 0.5 + slope / 4)
     zero, rate = pole * ratio ** (-slope / 2), 2 * f_samp
     return list(zip(((rate + zero) / (rate + pole)).tolist(), ((zero - rate) / (rate + pole)).tolist(), ((rate - pole) / (rate + pole)).tolist(), strict=True))
 
 
+#: Samples that one step of a filter takes at once.
+FILTER_BLOCK = 128
+
+
+def filtered(stages: Sequence[tuple[float, float, float]], values: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A cascade of first-order stages over samples in order, and its state after them (sample and result before, a stage).
+
+    Within a block, results are a triangular matrix of powers times the stage's input, plus what the last result still adds.
+    """
+    state = np.zeros((len(stages), 2)) if state is None else state.copy()
+    x = np.asarray(values, float)
+    for k, (a, b, c) in enumerate(stages):
+        if not len(x):
+            break
+        z = a * x + b * np.r_[state[k, 0], x[:-1]]
+        state[k, 0] = x[-1]
+        powers = c ** np.arange(FILTER_BLOCK + 1)
+        lag = np.arange(FILTER_BLOCK)[:, None] - np.arange(FILTER_BLOCK)
+        matrix = np.where(lag >= 0, powers[np.maximum(lag, 0)], 0.0)
+        y, last = np.empty_like(z), state[k, 1]
+        for low in range(0, len(z), FILTER_BLOCK):
+            part = z[low : low + FILTER_BLOCK]
+            y[low : low + len(part)] = matrix[: len(part), : len(part)] @ part + powers[1 : len(part) + 1] * last
+            last = y[low + len(part) - 1]
+        state[k, 1] = last
+        x = y
+    return x, state
+
+
 def coloured_noise(df: DataFrame, key: str, order: Sequence[str], value: str, sigma: float, f_min: float, f_knee: float, f_samp: float, slope: float) -> DataFrame:
     """Filters each stream's white samples, in order, into noise whose power goes as f**slope; the columns key, order and ``filtered``.
 
     The state runs along a stream, so a stream is filtered in order; samples arrive sorted, in Arrow batches of bounded
     size, and only the state (two numbers a stage) is carried from one batch to the next. Streams share the tasks.
+    ``tessera.streaming.noise`` carries the state between the micro-batches of a stream.
     """
     stages = noise_stages(f_min, f_knee, f_samp, slope)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
-            keys, values = batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            out = []
-            for k, v in zip(keys, values, strict=True):
+            keys = batch.column(0)
+            values = batch.column(batch.num_columns - 1).fill_null(0.0).to_numpy()
+            _, number = np.unique(np.array([str(k) for k in keys.to_pylist()], object).astype(str), return_inverse=True) if batch.num_rows else (None, np.zeros(0, int))
+            cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if batch.num_rows else [0]
+            out = np.empty(batch.num_rows)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                k = keys[int(a)].as_py()
                 if state is None or k != current:
-                    current, state = k, [[0.0, 0.0] for _ in stages]
-                x = float(v or 0.0)
-                for (a, b, c), held in zip(stages, state, strict=True):
-                    y = a * x + b * held[0] + c * held[1]
-                    held[0], held[1] = x, y
-                    x = y
-                out.append(x * sigma)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "filtered"])
+                    current, state = k, None
+                out[a:b], state = filtered(stages, values[a:b], state)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out * sigma)], names=[*batch.schema.names[:-1], "filtered"])
 
     picked = df.select(key, *order, F.col(value).cast("double").alias("_x"))
     placed = picked.repartition(F.col(key)).sortWithinPartitions(key, *order)

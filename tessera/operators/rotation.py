@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import harmonic as H
+from .staging import Steps
 
 
 def _bessel(x: float) -> np.ndarray:
@@ -115,16 +115,6 @@ def convolved_adjoint(pointings: DataFrame, beam: DataFrame, lmax: int, kmax: in
     return reduce(DataFrame.unionByName, parts).groupBy("comp", "l", "m").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The table, written in the shared checkpoint folder, so that the next step's plan starts there."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def _plus(a: DataFrame, b: DataFrame, scale: float, keys: Sequence[str]) -> DataFrame:
     """a + scale * b; cells that one of them lacks are zero there."""
     values = [c for c in a.columns if c not in keys]
@@ -147,6 +137,8 @@ def least_squares(data: DataFrame, forward: Callable[[DataFrame], DataFrame], ad
     Conjugate gradients on the normal equations. A step costs one transform each way; only two sums reach the driver.
     """
     keys = ["comp", "l", "m"]
+    steps = Steps(data.sparkSession, "least-squares")
+    _cut = steps.put
     rest = _cut(data.select(*cells, "value"))
     step = slope = _cut(adjoint(rest))
     x, first = step.select(*keys, F.lit(0.0).alias("re"), F.lit(0.0).alias("im")), _square(slope)
@@ -160,6 +152,7 @@ def least_squares(data: DataFrame, forward: Callable[[DataFrame], DataFrame], ad
         slope = _cut(adjoint(rest))
         now = _square(slope)
         step, left, done = _cut(_plus(slope, step, now / left, keys)), now, done + 1
+        steps.keep_only(x, rest, step)
     return x, done, math.sqrt(left / first) if first else 0.0
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import harmonic as A
 from ..operators import interpolated as I
 from ..operators import rotation as R
+from ..operators import solvers as L
 from ..sources import tables as T
 from .spectral import out, rounded
 from .sphere import _ANGLE, LAMBDA, LEG, LMAX, NPHI, _alm, _alm_sql, _rings
@@ -73,3 +74,5 @@ GIVEN = f"SELECT 0::BIGINT AS comp, a.l, a.m, sum({_tilt} * value * (b.re * cos{
 _add("totalconvolve_adjoint", lambda s, d: R.convolved_adjoint(_pointings(s, d), _beam(s, d), LMAX, KMAX), _out(GIVEN, "comp, l, m", "re, im", 4), 4)
 _add("totalconvolve_interpolated", lambda s, d: I.convolved(_alm(s, d), _beam(s, d), _pointings(s, d), LMAX, KMAX, epsilon=1e-11), _out(SEEN, "id", "value", 4), 4)
 _add("totalconvolve_adjoint_interpolated", lambda s, d: I.convolved_adjoint(_pointings(s, d), _beam(s, d), LMAX, KMAX, 1e-11), _out(GIVEN, "comp, l, m", "re, im", 3), 3)
+_uneven = lambda s: A.rings_2d(s, "F1", 7, NPHI, 0.03).withColumn("theta", F.col("theta") ** 0.9)
+_add("sht_pseudo_analysis", lambda s, d: L.pseudo_analysis(A.synthesis(_alm(s, d), _uneven(s), LMAX, LMAX), _uneven(s), LMAX, LMAX, maxiter=40, epsilon=1e-10).alm, _out(_alm_sql(), "comp, l, m", "re, im", 4), 4)

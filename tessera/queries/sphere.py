@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import curves as V
 from ..operators import harmonic as A
 from ..operators import interpolated as I
 from ..operators import ranges as R
@@ -68,6 +69,7 @@ _add("healpix_map", lambda s, d: P.ang2pix(T.directions(s, d), NSIDE).groupBy("p
 _add("healpix_round_trip", lambda s, d: P.vec2pix(P.pix2vec(P.nest2ring(P.ring2nest(_pixels(s, d).select("pix"), NSIDE).select("nest"), NSIDE), NSIDE), NSIDE, "RING", "back").select("pix", "back"), f"SELECT pix, pix AS back FROM ({PIXELS})")
 _bits = lambda k: " + ".join(f"((pix >> {2 * b + k}) & 1) * {1 << b}" for b in range(3))
 _add("healpix_nest_xyf", lambda s, d: P.pix2xyf(_pixels(s, d).select("pix"), NSIDE, "NEST"), f"SELECT pix, {_bits(0)} AS ix, {_bits(1)} AS iy, pix // 64 AS face FROM ({PIXELS})")
+_add("healpix_peano", lambda s, d: _pixels(s, d).select("pix").withColumn("peano", V.nest2peano("pix", NSIDE)).withColumn("back", V.peano2nest("peano", NSIDE)), f"SELECT a AS pix, a // 64 * 64 + d AS peano, a AS back FROM (" + T.curve_sql(f"SELECT pix AS a, 0 AS b, {_bits(0)} AS x, {_bits(1)} AS y FROM ({PIXELS})", 3) + ")")
 # a point of a face at (x, y) from 0 to 1, and the corners of NEST pixels, by the published map from faces to the sphere
 _down = "(face // 4 + 2 - x - y)"
 _near = f"CASE WHEN {_down} < 1 THEN {_down} WHEN {_down} > 3 THEN 4 - {_down} ELSE 1.0::DOUBLE END"

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..operators import circles as C
+from ..operators import curves as V
 from ..operators import gridding as G
 from ..operators import nonuniform as N
 from ..operators import numeric as M
@@ -189,3 +191,18 @@ _vectors = lambda s, d: S.ang2vec(T.directions(s, d)).select("id", *[(F.col(c) *
 _add("ang2vec", lambda s, d: S.ang2vec(T.directions(s, d)).select("id", "x", "y", "z"), _out(f"SELECT id, sin(theta) * cos(phi) AS x, sin(theta) * sin(phi) AS y, cos(theta) AS z FROM ({T.directions_sql()})", "id", "x, y, z"))
 _add("vec2ang", lambda s, d: S.vec2ang(_vectors(s, d)).select("id", F.cos("theta").alias("c"), F.sin("phi").alias("s")), _out(f"SELECT id, cos(theta) AS c, sin(phi) AS s FROM ({T.directions_sql()})", "id", "c, s"))
 _add("v_angle", lambda s, d: S.v_angle(_vectors(s, d), "xyz", "pqr").select("id", "angle"), _out(f"SELECT id, acos(least(1, greatest(-1, 0.6::DOUBLE * sin(theta) * cos(phi) - 0.8::DOUBLE * cos(theta)))) AS angle FROM ({T.directions_sql()})", "id", "angle"))
+
+
+_add("hilbert", lambda s, d: T.table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().withColumn("code", V.hilbert(["l_partkey", "l_suppkey"], 20)).withColumn("back", V.unhilbert("code", 2, 20)["y"]), "SELECT a AS l_partkey, b AS l_suppkey, d AS code, b AS back FROM (" + T.curve_sql("SELECT DISTINCT l_partkey AS a, l_suppkey AS b, l_partkey AS x, l_suppkey AS y FROM lineitem", 20) + ")")
+
+
+def _narrow(spark, sf_dir):
+    """Customers' directions, drawn together around the north pole, as vectors."""
+    return S.ang2vec(T.directions(spark, sf_dir).withColumn("theta", F.col("theta") / 5)).select("x", "y", "z")
+
+
+def _circle(spark, sf_dir):
+    return spark.createDataFrame([C.enclosing_circle(_narrow(spark, sf_dir))], "theta double, phi double, radius double")
+
+
+_add("enclosing_circle", _circle, None)

@@ -97,3 +97,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points_sql() -> str:
     part = lambda m, q: f"((s_suppkey * {m}) % {q}) / {q}.0::DOUBLE"
     return f"SELECT s_suppkey AS pid, {part(37, 101)} AS x0, {part(53, 103)} AS x1, {part(71, 107)} AS x2, s_acctbal / 1000 AS re, (s_suppkey % 7) - 3.0::DOUBLE AS im FROM supplier"
+
+
+def curve_sql(rows: str, bits: int) -> str:
+    """Adds ``d`` to rows (a, b, x, y): the number along the curve, by the well-known loop over squares of halved sides."""
+    turn = lambda own, other: f"CASE WHEN (y >> k) & 1 = 1 THEN {own} WHEN (x >> k) & 1 = 1 THEN {(1 << bits) - 1} - {other} ELSE {other} END"
+    more = "(CASE WHEN (x >> k) & 1 = 0 THEN (y >> k) & 1 ELSE 3 - ((y >> k) & 1) END)::BIGINT << (2 * k)"
+    return f"WITH RECURSIVE h(a, b, x, y, k, d) AS (SELECT a, b, x::BIGINT, y::BIGINT, {bits - 1}, 0::BIGINT FROM ({rows}) UNION ALL SELECT a, b, {turn('x', 'y')}, {turn('y', 'x')}, k - 1, d + ({more}) FROM h WHERE k >= 0) SELECT a, b, d FROM h WHERE k < 0"
