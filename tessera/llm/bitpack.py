@@ -14,7 +14,6 @@ Files follow each other in ascending doc_id order, by part number.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import stage, staged_path
 from .tokens import END_ID, tokenizer
 
 HEADER = 128
@@ -160,8 +159,13 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from files written below the shared folder."""
+    """doc_id, start, n_tokens and ids_crc32 of every row, from files written below the shared folder.
+
+    Null and empty texts have the end id alone. Rows go by doc_id, a null one first, and rows of one doc_id by a hash of their text,
+    so that reruns agree; repeated rows are documents of their own. Texts of any length are read whole; extra columns are
+    not looked at; an empty table gives an empty result. ``common.clean`` deletes the files.
+    """
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/packed-ids-{uuid.uuid4().hex}"
+    path = staged_path(spark, "packed-ids")
     write_packed(docs, path, tokenizer_path)
     return read_packed(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -26,10 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Staged folders that this process has not deleted yet; see ``clean``.
+_STAGED: set[str] = set()
+
+
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.add(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that the operators have staged in this process. Results of operators may read it: write them first."""
+    for path in sorted(_STAGED):
+        drop_path(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet below the shared folder and reads it again, which cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staged_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -40,6 +57,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a staged folder through Hadoop's file system, whatever store it is in."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _STAGED.discard(path)
 
 
 def drop_staged(*tables: DataFrame) -> None:

@@ -135,8 +135,9 @@ def _crumb_pieces(batches: Iterator[pa.RecordBatch], total: int, first: int) ->
 def pack_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``keep_ids`` its ids.
 
-    A null text is empty and has the end id alone; repeated rows are documents of their own; an empty table gives an
-    empty result. Pieces of a sequence are gapless from offset 0; each sequence is full or a power of two long.
+    A null text is empty and has the end id alone; a null doc_id stays null, and repeated rows are documents of their own,
+    told apart by their place among equal ones. Texts of any length are cut into as many pieces as they need; extra columns
+    are not looked at; an empty table gives an empty result. Pieces of a sequence are gapless from offset 0; each sequence is full or a power of two long.
     """
     spark, units = docs.sparkSession, WINDOW // UNIT
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

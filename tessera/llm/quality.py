@@ -21,7 +21,8 @@ def rated(docs: DataFrame, labels: DataFrame, least_grade: int = LEAST_GRADE, le
     """doc_id, expected_grade, p_good = P(grade >= least_grade) and kept of each row.
 
     Null and empty texts are rated by the thresholds alone. Without ratings, or if all are alike, numbers are null and
-    every row is kept. Repeated rows are rated alike.
+    every row is kept. Repeated rows are rated alike; a null doc_id is scored but has no rating.
+    Texts of any length are read whole; extra columns are not looked at; an empty table gives an empty result.
     """
     scored = ordinal.score(docs, model(docs, labels), ["doc_id"])
     tail = F.coalesce(F.get("tails", F.lit(least_grade - 1)), F.when(F.col("tails").isNotNull(), 0.0))  # no document reaches a grade beyond the rated ones
