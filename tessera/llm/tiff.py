@@ -1,8 +1,10 @@
 """TIFF columns: reading every page of binary TIFF images, and writing bytes as grey images.
 
-The reader walks the chain of image directories of either byte order, decodes strips or tiles that are stored plain or
-by PackBits, LZW or deflate, undoes horizontal differencing and gives one row per page. The writer stores bytes as 8-bit
-grey pages, with a compression and layout that depend on the bytes alone.
+The reader walks the chain of image directories of either byte order, with offsets of 32 or 64 bits, decodes strips or
+tiles that are stored plain or by PackBits, LZW or deflate, in either order of bits, undoes differencing of whole numbers
+and of floating-point bytes, and gives one row per page. Samples are whole numbers of 1, 2, 4, 8, 16, 32 or 64 bits, with
+or without a sign from 8 on, or floating-point numbers of 16, 32 or 64 bits. The writer stores bytes as 8-bit grey pages,
+with a compression and layout that depend on the bytes alone.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from .common import stage
 from .words import portions
 
 #: Fixed values of the format: tags, field sizes and compression schemes.
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
-FIELDS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 16: "Q"}
+FIELDS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I", 16: "Q", 18: "Q"}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 LZW_CLEAR, LZW_END, LZW_FIRST = 256, 257, 258
 
@@ -180,44 +182,76 @@ class Page:
     compression: int
     predictor: int
     tiled: bool
+    #: The type of a sample as it comes out, such as uint8 or float32.
+    kind: str
     pixels: bytes
 
 
-def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, ...]], int]:
-    count = struct.unpack_from(order + "H", data, at)[0]
+#: The bytes with their bits in reversed order.
+_REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
+
+def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, tuple[int, ...]], int]:
+    """The fields of a directory and where the next one is; offsets and counts have 64 bits if ``big``."""
+    count_kind, entry_kind, offset_kind = ("Q", "HHQ", "Q") if big else ("H", "HHI", "I")
+    head, step, room = struct.calcsize("<" + count_kind), struct.calcsize("<" + entry_kind + offset_kind), struct.calcsize("<" + offset_kind)
+    count = struct.unpack_from(order + count_kind, data, at)[0]
     tags: dict[int, tuple[int, ...]] = {}
     for k in range(count):
-        entry = at + 2 + 12 * k
-        tag, kind, n = struct.unpack_from(order + "HHI", data, entry)
+        entry = at + head + step * k
+        tag, kind, n = struct.unpack_from(order + entry_kind, data, entry)
+        value = entry + step - room
         if kind in FIELDS:
             size = struct.calcsize(FIELDS[kind]) * n
-            place = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
+            place = value if size <= room else struct.unpack_from(order + offset_kind, data, value)[0]
+            if place + size > len(data):
+                raise ValueError(f"field {tag} lies beyond the file's end")
             tags[tag] = struct.unpack_from(f"{order}{n}{FIELDS[kind]}", data, place)
-    return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
+    return tags, struct.unpack_from(order + offset_kind, data, at + head + step * count)[0]
 
 
 def pages(data: bytes) -> Iterator[Page]:
-    """Each page of a TIFF; samples are 8 or 16 bits, 16-bit pixels come out in little-endian order."""
-    if data[:4] not in (b"II*\0", b"MM\0*"):
+    """Each page of a TIFF. Samples of fewer than 8 bits come out as a byte each, others in little-endian order."""
+    if data[:4] not in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+"):
         raise ValueError("not a TIFF")
-    order = "<" if data[:1] == b"I" else ">"
-    at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
+    order, big = "<" if data[:1] == b"I" else ">", b"+" in data[:4]
+    if big and struct.unpack_from(order + "HH", data, 4) != (8, 0):
+        raise ValueError("offsets of a size that is not known")
+    at, seen = struct.unpack_from(order + "Q", data, 8)[0] if big else struct.unpack_from(order + "I", data, 4)[0], set()
     while at:
         if at in seen:
             raise ValueError("the directories form a circle")
         seen.add(at)
-        tags, at = _directory(data, at, order)
+        tags, at = _directory(data, at, order, big)
         yield _page(data, tags, order)
 
 
+#: SampleFormat to the letter of a type: unsigned, signed, floating-point, and undefined, which is taken as unsigned.
+_KINDS = {1: "u", 2: "i", 3: "f", 4: "u"}
+
+
+def _undone(block: np.ndarray, kind: np.dtype, predictor: int) -> np.ndarray:
+    """Rows of samples (rows, across, each) from rows of bytes, with differences added up."""
+    rows, across, each = block.shape[0], *block.shape[1:3]
+    if predictor == 3:  # differences of bytes, of which the highest of all a row's samples come first
+        flat = np.cumsum(block.reshape(rows, -1, each), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, across * each)
+        return np.ascontiguousarray(np.moveaxis(flat, 1, 2)).view(kind.newbyteorder(">")).reshape(rows, across, each)
+    values = block.reshape(rows, -1).view(kind).reshape(rows, across, each)
+    return np.cumsum(values, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else values
+
+
 def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, scheme, predictor = tags[WIDTH][0], tags[LENGTH][0], one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-    samples, planar, depth = one(SAMPLES, 1), one(PLANAR, 1), set(tags.get(BITS, (1,)))
-    if depth not in ({8}, {16}) or predictor not in (1, 2):
-        raise ValueError(f"samples of {sorted(depth)} bits with predictor {predictor} are not supported")
-    bits = depth.pop()
-    kind = np.dtype(f"{order}u{bits // 8}")
+    samples, planar, depth, form = one(SAMPLES, 1), one(PLANAR, 1), set(tags.get(BITS, (1,))), set(tags.get(SAMPLE_FORMAT, (1,)))
+    if len(depth) != 1 or len(form) != 1:
+        raise ValueError("samples of different kinds are not supported")
+    bits, letter = depth.pop(), _KINDS.get(form.pop())
+    allowed = {"u": (1, 2, 4, 8, 16, 32, 64), "i": (8, 16, 32, 64), "f": (16, 32, 64)}.get(letter, ())
+    if bits not in allowed or predictor not in ((1,) if bits < 8 else (1, 3) if letter == "f" else (1, 2)):
+        raise ValueError(f"samples of {bits} bits with predictor {predictor} are not supported")
+    kind = np.dtype(f"{order}{letter}{max(1, bits // 8)}")
+    turned = one(FILL_ORDER, 1) == 2
     if width * height * samples * kind.itemsize > LEAST_ROOM + MOST_GROWTH * len(data):
         raise ValueError(f"{width} x {height} pixels do not come from {len(data)} bytes")
     tiled = TILE_OFFSETS in tags
@@ -234,16 +268,24 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
         plane, k = divmod(k, per_row * per_column)
         y, x = k // per_row * down, k % per_row * across
         rows = down if tiled else min(down, height - y)
-        block = np.frombuffer(decompress(data[place : place + size], scheme, rows * across * each * kind.itemsize), kind).reshape(rows, across, each)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
+        stored = data[place : place + size]
+        line = -(-across * each * bits // 8)
+        raw = np.frombuffer(decompress(stored.translate(_REVERSED) if turned else stored, scheme, rows * line), np.uint8).reshape(rows, line)
+        if bits < 8:  # rows begin at whole bytes, the highest bits of which come first
+            parts = np.unpackbits(raw, axis=1)[:, : across * each * bits].reshape(rows, across, each, bits)
+            block = (parts << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+        else:
+            block = _undone(raw.reshape(rows, across, each, kind.itemsize), kind, predictor)
         high, wide = min(rows, height - y), min(across, width - x)
         image[plane, y : y + high, x : x + wide] = block[:high, :wide]
-    return Page(width, height, bits, samples, scheme, predictor, tiled, np.moveaxis(image, 0, 2).tobytes())
+    return Page(width, height, bits, samples, scheme, predictor, tiled, kind.name, np.moveaxis(image, 0, 2).tobytes())
 
 
 def _scheme(payload: bytes) -> tuple[int, int, bool]:
-    """Compression, predictor and whether in tiles, by a checksum of the payload: of 16 parts LZW and PackBits have two each."""
+    """Compression, predictor and whether in tiles, by a checksum of the payload: of 16 parts LZW and PackBits have two each.
+
+    The shares are chosen for cost, as encoders and decoders of these two are Python loops.
+    """
     turn = zlib.crc32(payload) % 16
     if turn < 4:
         return (LZW, PACKBITS)[turn % 2], 1 + turn // 2, turn == 3
@@ -319,8 +361,8 @@ def store(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(_write, "doc_id long, n_bytes long, media binary")
 
 
-_PAGE = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "bits": pa.int32(), "samples": pa.int32(), "compression": pa.int32(), "predictor": pa.int32(), "tiled": pa.bool_(), "pixels": pa.binary(), "error": pa.string()}
-_PAGE_DDL = "page int, width int, height int, bits int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
+_PAGE = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "bits": pa.int32(), "samples": pa.int32(), "compression": pa.int32(), "predictor": pa.int32(), "tiled": pa.bool_(), "kind": pa.string(), "pixels": pa.binary(), "error": pa.string()}
+_PAGE_DDL = "page int, width int, height int, bits int, samples int, compression int, predictor int, tiled boolean, kind string, pixels binary, error string"
 #: What a broken file can raise on its way through the reader.
 _BROKEN = (ValueError, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error)
 
@@ -345,7 +387,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 for p in pages(media.as_py()):
                     at.append(k)
-                    rows.append((nth, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None))
+                    rows.append((nth, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.kind, p.pixels, None))
                     held += len(p.pixels)
                     nth += 1
                     if held >= FLUSH:
@@ -353,7 +395,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         held = 0
             except _BROKEN as bad:
                 at.append(k)
-                rows.append((nth, *[None] * 8, f"{type(bad).__name__}: {bad}"))
+                rows.append((nth, *[None] * 9, f"{type(bad).__name__}: {bad}"))
         if rows:
             yield flush()
 

@@ -60,6 +60,96 @@ def tiny_tiff(tags, body=b"\0" * 64):
     return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + b"\0" * 4
 
 
+def _tiff(image, bits, letter, order="<", big=False, scheme=1, predictor=1, turned=False, rows=None, tile=None, planar=1):
+    """A TIFF of one page from an array (height, width, samples), by the published layout, in plain Python."""
+    import struct
+    import zlib
+
+    height, width, samples = image.shape
+    code = {"u": 1, "i": 2, "f": 3}[letter]
+
+    def coded(block):
+        out = b""
+        for line in block:
+            if bits < 8:
+                text = "".join(f"{int(v):0{bits}b}" for v in line.ravel())
+                out += int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+            elif predictor == 3:
+                parts = np.ascontiguousarray(line.ravel().astype(f">f{bits // 8}")).view(np.uint8).reshape(-1, bits // 8).T.reshape(-1, line.shape[1]).astype(int)
+                out += np.diff(parts, axis=0, prepend=np.zeros((1, line.shape[1]), int)).astype(np.uint8).tobytes()
+            else:
+                values = line.astype(f"{order}{letter}{bits // 8}")
+                if predictor == 2:
+                    values = np.concatenate([values[:1], values[1:] - values[:-1]]).astype(values.dtype)
+                out += values.tobytes()
+        out = {1: lambda d: d, 5: tiff.lzw_encode, 8: zlib.compress, 32773: tiff.packbits_encode}[scheme](out)
+        return bytes(int(f"{b:08b}"[::-1], 2) for b in out) if turned else out
+
+    across, down = tile or (width, rows or height)
+    planes = [image] if planar == 1 else [image[:, :, k : k + 1] for k in range(samples)]
+    blocks = []
+    for plane in planes:
+        for y in range(0, height, down):
+            for x in range(0, width, across):
+                block = plane[y : y + down, x : x + across]
+                if tile:
+                    block = np.pad(block, ((0, down - block.shape[0]), (0, across - block.shape[1]), (0, 0)))
+                blocks.append(coded(block))
+    head = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, 0) if big else struct.pack(order + "HI", 42, 0))
+    out, offsets = bytearray(head), []
+    for b in blocks:
+        offsets.append(len(out))
+        out += b
+    wide = 16 if big else 4
+    where = [(322, 3, [across]), (323, 3, [down]), (324, wide, offsets), (325, 4, [len(b) for b in blocks])] if tile else [(273, wide, offsets), (278, 3, [down]), (279, 4, [len(b) for b in blocks])]
+    tags = sorted([(256, 3, [width]), (257, 3, [height]), (258, 3, [bits] * samples), (259, 3, [scheme]), (266, 3, [2 if turned else 1]), (277, 3, [samples]), (284, 3, [planar]), (317, 3, [predictor]), (339, 3, [code] * samples), *where])
+    entries, kinds = b"", {3: "H", 4: "I", 16: "Q"}
+    room, offset = (8, "Q") if big else (4, "I")
+    for tag, kind, values in tags:
+        packed = struct.pack(f"{order}{len(values)}{kinds[kind]}", *values)
+        if len(packed) > room:
+            place = len(out)
+            out += packed
+            packed = struct.pack(order + offset, place)
+        entries += struct.pack(order + ("HHQ" if big else "HHI"), tag, kind, len(values)) + packed.ljust(room, b"\0")
+    at = len(out)
+    out[8:16] = struct.pack(order + "Q", at) if big else out[8:16]
+    if not big:
+        out[4:8] = struct.pack(order + "I", at)
+    return bytes(out) + struct.pack(order + ("Q" if big else "H"), len(tags)) + entries + struct.pack(order + offset, 0)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("big", [False, True])
+def test_tiff_of_every_kind_of_sample(order, big):
+    rng = np.random.default_rng(6)
+    for bits, letter in [(1, "u"), (2, "u"), (4, "u"), (8, "u"), (16, "u"), (32, "u"), (64, "u"), (8, "i"), (16, "i"), (32, "i"), (16, "f"), (32, "f"), (64, "f")]:
+        for scheme in (1, 5, 8, 32773):
+            for layout in ({"rows": 4}, {"tile": (16, 16)}, {"rows": 3, "planar": 2}):
+                shape = (int(rng.integers(1, 20)), int(rng.integers(1, 40)), int(rng.choice([1, 3])))
+                image = rng.normal(size=shape).astype(f"f{bits // 8}") if letter == "f" else rng.integers(0, 1 << min(bits, 62) - (letter == "i"), shape)
+                for predictor in (1,) if bits < 8 else (1, 3) if letter == "f" else (1, 2):
+                    turned = bool(rng.integers(2))
+                    (page,) = tiff.pages(_tiff(image, bits, letter, order, big, scheme, predictor, turned, **layout))
+                    kind = np.dtype(f"<{letter}{max(1, bits // 8)}")
+                    assert (page.width, page.height, page.samples, page.bits, page.kind) == (shape[1], shape[0], shape[2], bits, kind.name)
+                    assert page.pixels == image.astype(kind).tobytes(), (bits, letter, scheme, layout, predictor, turned)
+
+
+def test_tiff_kinds_that_are_not_read():
+    image = np.zeros((2, 3, 1))
+    for bits, letter, predictor in ((16, "f", 2), (32, "u", 3), (1, "u", 2)):
+        data = _tiff(image, bits, letter)
+        at = data.index(bytes([0x3D, 1, 3, 0, 1, 0, 0, 0, 1]))  # the predictor's field
+        with pytest.raises(ValueError):
+            list(tiff.pages(data[: at + 8] + bytes([predictor]) + data[at + 9 :]))
+    for cut in range(8, len(data) - 1, 7):
+        with pytest.raises(tiff._BROKEN):
+            for page in tiff.pages(data[:cut]):
+                assert len(page.pixels) == 6
+            raise ValueError("nothing was amiss")
+
+
 def test_tiff_pages_of_broken_files(spark):
     good = tiff.write(b"a" * 576 * 1200)
     size, strip = [(256, 4, 1, 8), (257, 4, 1, 8), (258, 3, 1, 8)], [(273, 4, 1, 8), (279, 4, 1, 64)]
