@@ -204,6 +204,16 @@ def dirty2vis_spread(baselines: DataFrame, channels: DataFrame, image: DataFrame
     return where.select("row", "chan").join(found, ["row", "chan"], "left").fillna(0.0, ["re", "im"])
 
 
+def ms2dirty(baselines: DataFrame, channels: DataFrame, ms: DataFrame, npix: tuple[int, int], pixsize: tuple[float, float], epsilon: float, do_wstacking: bool = False, **options) -> DataFrame:
+    """``vis2dirty_spread`` by its older names; the image is divided by n only where w is taken into account."""
+    return vis2dirty_spread(baselines, channels, ms, npix, pixsize, epsilon, do_wstacking, **options)
+
+
+def dirty2ms(baselines: DataFrame, channels: DataFrame, dirty: DataFrame, npix: tuple[int, int], pixsize: tuple[float, float], epsilon: float, do_wstacking: bool = False, ms: DataFrame | None = None, **options) -> DataFrame:
+    """``dirty2vis_spread`` by its older names."""
+    return dirty2vis_spread(baselines, channels, dirty, npix, pixsize, ms, epsilon, do_wstacking, **options)
+
+
 def facets(npix: tuple[int, int], pixsize: tuple[float, float], nx: int, ny: int, center: tuple[float, float] = (0.0, 0.0)) -> list[tuple[tuple[int, int], tuple[int, int], tuple[float, float]]]:
     """First pixel, size and centre of each tile of an image; sizes are even."""
     cuts = lambda n, k: [2 * (n // 2 * i // k) for i in range(k + 1)]

@@ -22,7 +22,7 @@ from ..functions.kernels import Kernel, best_epsilon
 from . import spectral
 from .spreading import interpolate, spread
 
-__all__ = ["Kernel", "Plan", "best_epsilon", "nu2u", "nu2u_spread", "periods", "u2nu", "u2nu_spread"]
+__all__ = ["Kernel", "Plan", "best_epsilon", "nu2u", "nu2u_real", "nu2u_spread", "periods", "u2nu", "u2nu_real", "u2nu_spread"]
 
 Shape = Mapping[str, int]
 
@@ -144,6 +144,18 @@ def u2nu_spread(modes: DataFrame, shape: Shape, points: DataFrame, coords: Seque
     return interpolate(grid, fine, placed(points.select(key, *coords), coords, fine, periods(coords, periodicity)), _places(fine), kernel, [key])
 
 
+def nu2u_real(points: DataFrame, coords: Sequence[str], shape: Shape, epsilon: float = 1e-8, **options) -> DataFrame:
+    """Index columns and value: as ``nu2u_spread`` for real samples ``value``, with the real parts of the modes."""
+    held = points.select(*coords, F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    return nu2u_spread(held, coords, shape, epsilon, **options).select(*shape, F.col("re").alias("value"))
+
+
+def u2nu_real(modes: DataFrame, shape: Shape, points: DataFrame, coords: Sequence[str], key: str = "pid", epsilon: float = 1e-8, **options) -> DataFrame:
+    """Key and value: as ``u2nu_spread`` for real modes ``value``, with the real parts of the results; the adjoint of ``nu2u_real``."""
+    held = modes.select(*shape, F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    return u2nu_spread(held, shape, points, coords, key, epsilon, **options).select(key, F.col("re").alias("value"))
+
+
 class Plan:
     """Points that are located once, for many sets of values by ``key`` or of modes. Keys are unique."""
 

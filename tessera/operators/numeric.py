@@ -210,6 +210,30 @@ def coupling_matrix(spectra: DataFrame, lmax: int, kinds: Sequence[str] = ("00",
     return met.groupBy("ispec", "e.kind", "l1", "l2").agg(F.sum((2 * F.col("l") + 1) / F.lit(4 * math.pi) * F.col("value") * F.col("e.w")).alias("value"))
 
 
+def pure_coupling_matrix(spectra: DataFrame, lmax: int) -> DataFrame:
+    """ispec, kind, l1, l2, value: mode coupling of pure estimators, by the mask spectra (ispec, kind, l, value) of the kinds 00, 02, 20, 22.
+
+    In place of the spin-2 symbol stands what purification makes of it (Smith 2006): with a = l1 the estimated and b = l2
+    the true degree, (b a l; -2 2 0) + 2 sqrt(l (l + 1) / ((a - 1) (a + 2))) (b a l; -2 1 1) + sqrt((l + 2)! / (l - 2)! *
+    (a - 2)! / (a + 2)!) (b a l; -2 0 2). Sums run over l with an even l + l1 + l2; below a = 2 only the first term is left.
+    """
+    spark = spectra.sparkSession
+    pairs = spark.range(lmax + 1).withColumnRenamed("id", "a").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lmax).cast("long"))))
+    orders = F.explode(F.array(*[F.struct(F.lit(m2).alias("m2"), F.lit(m3).alias("m3")) for m2, m3 in ((0, 0), (-2, 2), (-2, 1), (-2, 0))]))
+    asked = pairs.select(F.col("b").alias("l2"), F.col("a").alias("l3"), orders.alias("o")).select("l2", "l3", "o.m2", "o.m3")
+    of = lambda m2, m3: F.sum(F.when((F.col("m2") == m2) & (F.col("m3") == m3), F.col("value")).otherwise(0.0))
+    found = wigner_table(asked).groupBy(F.col("l3").alias("a"), F.col("l2").alias("b"), F.col("l1").alias("l"))
+    held = found.agg(of(0, 0).alias("w0"), of(-2, 2).alias("w2"), of(-2, 1).alias("w1"), of(-2, 0).alias("wz")).where((F.col("a") + F.col("b") + F.col("l")) % 2 == 0)
+    a, n = F.col("a").cast("double"), F.col("l").cast("double")
+    once = F.when(a > 1, 2 * F.sqrt(n * (n + 1) / ((a - 1) * (a + 2)))).otherwise(0.0)
+    twice = F.when(a > 1, F.sqrt(F.greatest((n + 2) * (n + 1) * n * (n - 1), F.lit(0.0)) / ((a + 2) * (a + 1) * a * (a - 1)))).otherwise(0.0)
+    held = held.withColumn("pure", F.col("w2") + once * F.col("w1") + twice * F.col("wz"))
+    share = F.when(F.col("kind") == "00", F.col("w0") * F.col("w0")).when(F.col("kind") == "22", F.col("pure") * F.col("pure")).otherwise(F.col("w0") * F.col("pure"))
+    met = held.join(spectra.where(F.col("kind").isin("00", "02", "20", "22")).select("ispec", "kind", "l", "value"), "l")
+    factor = (2 * F.col("l") + 1) * (2 * F.col("b") + 1) / F.lit(4 * math.pi)
+    return met.groupBy("ispec", "kind", F.col("a").alias("l1"), F.col("b").alias("l2")).agg(F.sum(factor * F.col("value") * share).alias("value"))
+
+
 def morton(columns: Sequence[str], bits: int = 20):
     """The bits of two or three integer columns, interleaved from the lowest."""
     n = len(columns)

@@ -185,6 +185,15 @@ _zero = _racah(f"SELECT l AS l1, l1 AS l2, l2 AS l3, m2, -m2 AS m3 FROM {_range(
 _w = f"SELECT l1 AS l, l2 AS l1, l3 AS l2, sum(CASE WHEN m2 = 0 THEN value ELSE 0 END) AS w0, sum(CASE WHEN m2 <> 0 THEN value ELSE 0 END) AS w2 FROM ({_zero}) GROUP BY 1, 2, 3"
 _kinds = " UNION ALL ".join(f"SELECT l, l1, l2, '{k}' AS kind, {v} AS w FROM ({_w})" for k, v in {"00": "w0 * w0", "02": "w0 * w2", "++": "CASE WHEN (l + l1 + l2) % 2 = 0 THEN w2 * w2 ELSE 0 END", "--": "CASE WHEN (l + l1 + l2) % 2 = 0 THEN 0 ELSE w2 * w2 END"}.items())
 _add("coupling_matrix_spin2", lambda s, d: M.coupling_matrix(_spectra(s, d), 4), _out(f"SELECT 0::BIGINT AS ispec, kind, l1, l2, sum((2 * l + 1) / (4 * {PI}::DOUBLE) * sv * w) AS value FROM ({_kinds}) k JOIN {SPECTRUM} ON sl = l GROUP BY kind, l1, l2", "ispec, kind, l1, l2", "value"))
+_pure_spectra = lambda s, d: _spectra(s, d).crossJoin(s.createDataFrame([("00", 1.0), ("02", 0.7), ("20", -0.4), ("22", 2.0)], "kind string, f double")).select("ispec", "kind", "l", (F.col("value") * F.col("f")).alias("value"))
+_orders = "(SELECT * FROM (VALUES (0, 0), (-2, 2), (-2, 1), (-2, 0)) o(m2, m3))"
+_symbols = _racah(f"SELECT l AS l1, b AS l2, a AS l3, m2, m3 FROM {_range('l', 0, 9)}, {_range('a', 0, 5)}, {_range('b', 0, 5)}, {_orders}")
+_by_order = ", ".join(f"sum(CASE WHEN m2 = {p} AND m3 = {q} THEN value ELSE 0 END) AS {n}" for p, q, n in ((0, 0, "w0"), (-2, 2, "w2"), (-2, 1, "w1"), (-2, 0, "wz")))
+_w = f"SELECT l1 AS l, l2 AS b, l3 AS a, {_by_order} FROM ({_symbols}) GROUP BY 1, 2, 3"
+_pure = "w2 + CASE WHEN a > 1 THEN 2 * sqrt(l * (l + 1) / ((a - 1.0::DOUBLE) * (a + 2))) * w1 + sqrt((l + 2) * (l + 1) * l * abs(l - 1) / ((a + 2) * (a + 1) * a * (a - 1.0::DOUBLE))) * wz ELSE 0 END"
+_kinds = "(SELECT * FROM (VALUES ('00', 1.0::DOUBLE), ('02', 0.7::DOUBLE), ('20', -0.4::DOUBLE), ('22', 2.0::DOUBLE)) k(kind, f))"
+_terms = f"SELECT a, b, kind, (2 * l + 1) * (2 * b + 1) / (4 * {PI}::DOUBLE) * sv * f * CASE kind WHEN '00' THEN w0 * w0 WHEN '22' THEN pure * pure ELSE w0 * pure END AS v FROM (SELECT *, {_pure} AS pure FROM ({_w}) WHERE (a + b + l) % 2 = 0) JOIN {SPECTRUM} ON sl = l, {_kinds}"
+_add("coupling_matrix_pure", lambda s, d: M.pure_coupling_matrix(_pure_spectra(s, d), 4), _out(f"SELECT 0::BIGINT AS ispec, kind, a AS l1, b AS l2, sum(v) AS value FROM ({_terms}) GROUP BY kind, a, b", "ispec, kind, l1, l2", "value"))
 _bits = " + ".join(f"((l_partkey >> {b}) & 1) * {1 << 2 * b} + ((l_suppkey >> {b}) & 1) * {2 << 2 * b}" for b in range(20))
 _add("morton", lambda s, d: T.table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().withColumn("code", M.morton(["l_partkey", "l_suppkey"])).withColumn("back", M.unmorton("code", 2, 1)), f"SELECT DISTINCT l_partkey, l_suppkey, {_bits} AS code, l_suppkey AS back FROM lineitem")
 _vectors = lambda s, d: S.ang2vec(T.directions(s, d)).select("id", *[(F.col(c) * (1 + F.col("id") % 3)).alias(c) for c in "xyz"], F.lit(0.6).alias("p"), F.lit(0.0).alias("q"), F.lit(-0.8).alias("r"))

@@ -78,3 +78,12 @@ def test_channels_histogram_and_compaction(spark):
     assert sum(r.n for r in G.w_histogram(base, freq, vis, 7).collect()) == vis.where("mask and wgt <> 0").count()
     both = spark.createDataFrame([(0, 0, "xx", 1.0, 2.0, 1.0, False), (0, 0, "yy", 3.0, 0.0, 3.0, False), (1, 0, "xx", 5.0, 5.0, 1.0, True)], "row long, chan long, corr string, re double, im double, wgt double, flag boolean")
     assert [tuple(r) for r in G.compact(both).collect()] == [(0, 0, 2.5, 0.5, 4.0)]
+
+
+def test_older_names(spark):
+    base, freq, vis = _vis(spark, rows=12)
+    exact = _image(G.vis2dirty(base, freq, vis, NPIX, SIZE, wgridding=False))
+    assert _error(_image(G.ms2dirty(base, freq, vis, NPIX, SIZE, 1e-5)), exact) < 1e-5
+    image = spark.createDataFrame([(i, j, float(i - j)) for i in range(NPIX[0]) for j in range(NPIX[1])], "ix long, iy long, value double")
+    exact = _found(G.dirty2vis(base, freq, image, NPIX, SIZE, vis))
+    assert _error(_found(G.dirty2ms(base, freq, image, NPIX, SIZE, 1e-5, True, vis)), exact) < 1e-5

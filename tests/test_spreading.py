@@ -107,3 +107,18 @@ def test_no_points_and_no_modes(spark):
     some = spark.createDataFrame([(1, 0.5, 1.0, 0.0)], "pid long, x0 double, re double, im double")
     assert [tuple(r) for r in N.u2nu_spread(modes, {"k0": 5}, some, ["x0"]).collect()] == [(1, 0.0, 0.0)]
     assert N.u2nu_spread(modes, {"k0": 5}, empty, ["x0"]).collect() == []
+
+
+def test_real_sums_in_three_dimensions(spark):
+    rng, shape = np.random.default_rng(9), {"a": 5, "b": 6, "c": 4}
+    x, re, _ = _points(rng, 60, 3)
+    points = _frame(spark, x, re, re).select("pid", "x0", "x1", "x2", "re").withColumnRenamed("re", "value")
+    coords, k = ["x0", "x1", "x2"], _modes(tuple(shape.values()))
+    given = rng.normal(size=len(k))
+    rows = [(*[int(v + n // 2) for v, n in zip(row, shape.values(), strict=True)], float(v)) for row, v in zip(k.tolist(), given, strict=True)]
+    modes = spark.createDataFrame(rows, "a long, b long, c long, value double")
+    there = {r.pid: r.value for r in N.u2nu_real(modes, shape, points, coords, "pid", 1e-9).collect()}
+    exact = (np.exp(-1j * (x @ k.T)) @ given).real
+    assert np.linalg.norm(np.array([there[i] for i in range(60)]) - exact) <= 1e-9 * np.linalg.norm(np.exp(-1j * (x @ k.T)) @ given)
+    back = {(r.a, r.b, r.c): r.value for r in N.nu2u_real(points, coords, shape, 1e-9).collect()}
+    assert sum(there[i] * re[i] for i in range(60)) == pytest.approx(sum(back[r[:3]] * r[3] for r in rows), rel=1e-8)
