@@ -140,11 +140,65 @@ def query_disc(discs: DataFrame, nside: int, scheme: str = "RING", key: str = "i
                     yield pa.RecordBatch.from_arrays([pa.array([ident] * len(found), pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["key", "lo", "hi"])
 
     picked = discs.select(F.col(key).cast("long").alias("key"), *[F.col(c).cast("double").alias(c) for c in ("theta", "phi", "radius")]).dropna()
-    ranges = picked.mapInArrow(run, "key long, lo long, hi long").withColumnRenamed("key", key)
     if scheme == "NEST":
-        pixels = ring2nest(ranges.select(key, F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pix")), nside)
-        ranges = pixels.select(key, F.col("nest").alias("lo"), (F.col("nest") + 1).alias("hi"))
-    return normalise(ranges, [key])
+        sine = F.sin("theta")
+        cap = F.struct((sine * F.cos("phi")).alias("x"), (sine * F.sin("phi")).alias("y"), F.cos("theta").alias("z"), "radius")
+        ranges = descended(picked.select("key", F.array(cap).alias("caps")), nside)
+    else:
+        ranges = picked.mapInArrow(run, "key long, lo long, hi long")
+    return normalise(ranges.withColumnRenamed("key", key), [key])
+
+
+#: Depth at which the cells of regions are dealt out over tasks, and cells that a task looks at together.
+DEAL_ORDER, CELLS = 3, 1 << 15
+
+
+def _within(nside: int, pixels: np.ndarray, caps: np.ndarray, slack: float) -> np.ndarray:
+    """Whether NEST pixels' centres lie in all caps (x, y, z, radius), each made wider by ``slack``."""
+    v = np.stack(H.pix2vec(nside, pixels, "NEST"), axis=1)
+    out = np.ones(len(pixels), bool)
+    for c in caps:
+        angle = np.arctan2(np.linalg.norm(np.cross(v, c[:3]), axis=1), v @ c[:3])
+        out &= angle <= c[3] + slack
+    return out
+
+
+def _cells_within(order: int, depth: int, cell: int, caps: np.ndarray) -> Iterator[np.ndarray]:
+    """Ranges of a cell's NEST pixels in all caps: a cell that is whole in or out is not looked into."""
+    stack = [(depth, np.array([cell], np.int64))]
+    while stack:
+        d, cells = stack.pop()
+        if d == order:
+            found = cells[_within(1 << d, cells, caps, 1e-13)]
+            yield np.stack([found, found + 1], axis=1)
+            continue
+        reach = H.max_pixrad(1 << d)
+        some = cells[_within(1 << d, cells, caps, reach)]
+        whole = _within(1 << d, some, caps, -reach)
+        shift = 2 * (order - d)
+        yield np.stack([some[whole] << shift, (some[whole] + 1) << shift], axis=1)
+        children = (some[~whole][:, None] * 4 + np.arange(4)).ravel()
+        stack += [(d + 1, children[k : k + CELLS]) for k in range(0, len(children), CELLS)]
+
+
+def descended(regions: DataFrame, nside: int) -> DataFrame:
+    """key, lo, hi: NEST ranges of the pixels whose centres lie in all of a region's caps (key, caps), by the hierarchy of cells.
+
+    Regions are dealt out by cells of a coarse map; within these, only cells that a border crosses are divided.
+    """
+    order = H.order(nside)
+    depth = min(order, DEAL_ORDER)
+    dealt = regions.select("key", "caps", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(H.npix(1 << depth) - 1).cast("long"))).alias("cell"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, caps, cell in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = np.array([[c[n] for n in ("x", "y", "z", "radius")] for c in caps])
+                for found in _cells_within(order, depth, cell, held):
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["key", "lo", "hi"])
+
+    return dealt.repartition("key", "cell").mapInArrow(run, "key long, lo long, hi long")
 
 
 def query_disc_inclusive(discs: DataFrame, nside: int, scheme: str = "RING", key: str = "id") -> DataFrame:
@@ -166,11 +220,13 @@ def query_strip(spark: SparkSession, nside: int, theta1: float, theta2: float, i
     return normalise(found)
 
 
-def query_polygon(spark: SparkSession, nside: int, corners: list[tuple[float, float]], inclusive: bool = False) -> DataFrame:
-    """RING ranges of the pixels whose centres lie within a convex polygon of (theta, phi) corners.
+def query_polygon(spark: SparkSession, nside: int, corners: list[tuple[float, float]], inclusive: bool = False, scheme: str = "RING") -> DataFrame:
+    """Ranges of the pixels whose centres lie within a convex polygon of (theta, phi) corners.
 
-    ``inclusive`` adds all that overlap it, and perhaps a few that nearly do.
+    The polygon is where the hemispheres behind all its sides meet: on each ring the places that all of their arcs cover,
+    or by descent through cells for NEST. ``inclusive`` adds all that overlap it, and perhaps a few that nearly do.
     """
+    H.checked(nside, scheme)
     points = np.array([H.ang2vec(t, p) for t, p in corners])
     sides = np.cross(points, np.roll(points, -1, axis=0))
     sides /= np.linalg.norm(sides, axis=1)[:, None]
@@ -178,11 +234,25 @@ def query_polygon(spark: SparkSession, nside: int, corners: list[tuple[float, fl
     if len(corners) < 3 or (np.abs(turn) < 1e-10).any() or not (np.sign(turn) == np.sign(turn[0])).all():
         raise ValueError("the polygon is not convex or has a corner of no turn")
     sides *= np.sign(turn[0])
-    reach = math.sin(H.max_pixrad(nside)) if inclusive else 0.0
-    pixels = pix2vec(spark.range(H.npix(nside)).withColumnRenamed("id", "pix"), nside)
-    for a, b, c in sides.tolist():
-        pixels = pixels.where(F.col("x") * a + F.col("y") * b + F.col("z") * c >= -reach)
-    return normalise(pixels.select(F.col("pix").alias("lo"), (F.col("pix") + 1).alias("hi")))
+    radius = math.pi / 2 + (H.max_pixrad(nside) if inclusive else 0.0)
+    if scheme == "NEST":
+        caps = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("xyz", side, strict=True)], F.lit(radius).alias("radius")) for side in sides])
+        return normalise(descended(spark.range(1).select(F.col("id").alias("key"), caps.alias("caps")), nside).drop("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = list(zip(*H.vec2ang(*sides.T), strict=True))
+        for batch in batches:
+            ring = batch.column(0).to_numpy()
+            for low in range(0, len(ring), 4096):
+                some = ring[low : low + 4096]
+                arcs = np.concatenate([_arc(nside, some, phi, _half_widths(nside, some, theta, radius)) for theta, phi in centers])
+                at = np.concatenate([arcs[:, 0], arcs[:, 1]])
+                order = np.argsort(at, kind="stable")
+                cover, at = np.cumsum(np.repeat([1, -1], len(arcs))[order]), at[order]
+                inside = np.flatnonzero((cover == len(centers)) & (at < np.r_[at[1:], 0]))
+                yield pa.RecordBatch.from_arrays([pa.array(at[inside]), pa.array(at[inside + 1])], names=["lo", "hi"])
+
+    return normalise(spark.range(1, 4 * nside).mapInArrow(run, "lo long, hi long"))
 
 
 def _other_order(df: DataFrame, nside: int, scheme: str, pix: str) -> DataFrame:
