@@ -178,6 +178,21 @@ def _grouped(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
 
 
+def encode_ids(ids: np.ndarray) -> bytes:
+    """Whole numbers as the least one and the others' distances from it, in four bytes each if they fit."""
+    least = int(ids.min(initial=0 if not len(ids) else ids[0]))
+    away = (ids - np.int64(least)).view(np.uint64)  # a distance beyond 63 bits wraps around, and back
+    wide = 4 if not len(ids) or int(away.max()) < 1 << 32 else 8
+    return bytes([wide]) + least.to_bytes(8, "little", signed=True) + away.astype(f"<u{wide}").tobytes()
+
+
+def decode_ids(data: bytes | pa.Buffer, at: int, k: int) -> tuple[np.ndarray, int]:
+    """The numbers that stand in ``data`` from ``at`` on, and where they end."""
+    view = memoryview(data)
+    wide, least = view[at], np.int64(int.from_bytes(view[at + 1 : at + 9], "little", signed=True))
+    return np.frombuffer(view, f"<u{wide}", k, at + 9).astype(np.uint64).view(np.int64) + least, at + 9 + wide * k
+
+
 def _asked(texts: pa.Table, answers: pa.Table, n: int, seeds: Seeds, bits: int, size: int, range_bits: int) -> pa.Table:
     """The windows of a group that pass the sketch, for each range of hashes: the hashes, the first document and whether a later one holds it too."""
     keys, lists = [], []
@@ -192,7 +207,7 @@ def _asked(texts: pa.Table, answers: pa.Table, n: int, seeds: Seeds, bits: int,
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             keys.append(int(part[a]))
-            lists.append(b"".join([int(b - a).to_bytes(4, "little"), h1[a:b].tobytes(), h2[a:b].tobytes(), low[a:b].tobytes(), np.packbits(high[a:b] > low[a:b]).tobytes()]))
+            lists.append(b"".join([int(b - a).to_bytes(4, "little"), h1[a:b].tobytes(), h2[a:b].tobytes(), encode_ids(low[a:b]), np.packbits(high[a:b] > low[a:b]).tobytes()]))
     group = texts.column("grp")[0].as_py() if texts.num_rows else 0
     return _table(range=(keys, pa.int64()), grp=([group] * len(keys), pa.int64()), windows=(lists, pa.binary()))
 
@@ -211,8 +226,9 @@ def _firsts(lists: pa.Table) -> pa.Table:
         sizes.append(k)
         parts[0].append(np.frombuffer(data, "<u8", k, 4))
         parts[1].append(np.frombuffer(data, "<u8", k, 4 + 8 * k))
-        parts[2].append(np.frombuffer(data, "<i8", k, 4 + 16 * k))
-        parts[3].append(np.unpackbits(np.frombuffer(data, np.uint8, -1, 4 + 24 * k), count=k).astype(bool))
+        ids, end = decode_ids(data, 4 + 16 * k, k)
+        parts[2].append(ids)
+        parts[3].append(np.unpackbits(np.frombuffer(data, np.uint8, -1, end), count=k).astype(bool))
     h1, h2, low, more = (np.concatenate(x) for x in parts)
     order, head = _grouped(h1, h2)
     first = np.empty(len(h1), np.int64)
@@ -224,7 +240,7 @@ def _firsts(lists: pa.Table) -> pa.Table:
         a += k
         if len(at):
             groups.append(group)
-            found.append(h1[at].tobytes() + h2[at].tobytes() + first[at].tobytes())
+            found.append(len(at).to_bytes(4, "little") + h1[at].tobytes() + h2[at].tobytes() + encode_ids(first[at]))
     return _table(grp=(groups, pa.int64()), firsts=(found, pa.binary()))
 
 
@@ -233,9 +249,9 @@ def _first_docs(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts: list[list[np.ndarray]] = [[np.zeros(0, _U)], [np.zeros(0, _U)], [np.zeros(0, np.int64)]]
     for block in answers.column("firsts"):
         data = block.as_buffer()
-        k = len(data) // 24
-        for held, kind, at in zip(parts, ("<u8", "<u8", "<i8"), (0, 8 * k, 16 * k), strict=True):
-            held.append(np.frombuffer(data, kind, k, at))
+        k = int.from_bytes(data[:4].to_pybytes(), "little")
+        for held, found in zip(parts, (np.frombuffer(data, "<u8", k, 4), np.frombuffer(data, "<u8", k, 4 + 8 * k), decode_ids(data, 4 + 16 * k, k)[0]), strict=True):
+            held.append(found)
     h1, h2, first = (np.concatenate(x) for x in parts)
     order = np.lexsort((h2, h1))
     return h1[order], h2[order], first[order]

@@ -335,6 +335,15 @@ def test_lists_of_cells_round_trip():
         assert (back == at).all() and (flags == more).all()
 
 
+def test_ids_of_windows_round_trip():
+    top = (1 << 63) - 1
+    for ids in ([], [5], [0, 1 << 31, (1 << 32) - 1], [-3, 7], [-top - 1, top, 0], [10**12, 10**12 + 5], [0, 1 << 32]):
+        data = substring.encode_ids(np.array(ids, np.int64))
+        back, end = substring.decode_ids(b"xx" + data + b"y", 2, len(ids))
+        assert back.tolist() == ids and end == 2 + len(data)
+    assert len(substring.encode_ids(np.arange(100))) == 409
+
+
 def test_share_of_windows_that_pass_the_sketch(spark):
     """Hardly any window of texts without repeats passes, at any size of the table."""
     import pyspark.sql.functions as F
