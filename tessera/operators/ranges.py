@@ -83,29 +83,32 @@ def contains(a: DataFrame, points: DataFrame, column: str, keys: Sequence[str] =
     return last.where("_kind = 1").select(*keys, F.col("_p").alias(column), F.coalesce(F.col("_x") < F.col("_last"), F.lit(False)).alias("inside"))
 
 
+def _numbers(lo: str, hi: str) -> Column:
+    return F.expr(f"CASE WHEN {lo} < {hi} THEN sequence({lo}, {hi} - 1) ELSE CAST(array() AS ARRAY<BIGINT>) END")
+
+
 def to_uniq(ranges: DataFrame, order: int, keys: Sequence[str] = ()) -> DataFrame:
     """NEST ranges of depth ``order`` as the fewest whole cells, numbered 4**(depth + 1) + cell.
 
-    A range is cut into the largest aligned cells; each depth takes what is left at both ends.
+    At each depth from the first whose cells fit, a range holds the whole cells that the depth above has left at both
+    ends. Integers that no pixel of that depth has, from 12 * 4**order on, stay cells of depth ``order``, a row each;
+    their numbers are above those of all pixels. Negative integers raise.
     """
-    out = None
-    left = normalise(ranges, keys)
-    for depth in range(order + 1):
-        shift = 2 * (order - depth)
-        size = 1 << shift
-        lo, hi = F.ceil(F.col("lo") / size).cast("long"), F.floor(F.col("hi") / size).cast("long")
-        cut = left.withColumn("_a", lo).withColumn("_b", hi)
-        cells = cut.where("_a < _b").select(*keys, F.explode(F.sequence("_a", F.col("_b") - 1)).alias("_cell"))
-        cells = cells.select(*keys, (F.col("_cell") + F.lit(4 << 2 * depth)).alias("uniq"))
-        out = cells if out is None else out.unionByName(cells)
-        whole = F.col("_a") < F.col("_b")
-        ends = F.array(F.struct(F.col("lo"), F.when(whole, F.col("_a") * size).otherwise(F.col("hi")).alias("hi")), F.struct(F.when(whole, F.col("_b") * size).otherwise(F.col("hi")).alias("lo"), F.col("hi")))
-        left = cut.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.lo", "e.hi").where("lo < hi")
-    return out
+    end = 12 << 2 * order
+    known = F.when(F.col("lo") >= 0, F.col("lo")).otherwise(F.raise_error(F.lit("cells are numbered from 0 on")))
+    left = normalise(ranges, keys).withColumn("lo", known).withColumns({"_lo": F.least("lo", F.lit(end)), "_hi": F.least("hi", F.lit(end))})
+    first = F.expr(f"greatest(0, {order} - (length(bin(_hi - _lo)) - 1) div 2)").cast("int")
+    at = left.withColumn("_d", F.explode(F.sequence(first, F.lit(order)))).withColumn("_s", 2 * (order - F.col("_d")))
+    at = at.withColumns({"_a": F.expr("-shiftright(-_lo, _s)"), "_b": F.expr("shiftright(_hi, _s)"), "_up": F.expr("-shiftright(-_lo, _s + 2)"), "_down": F.expr("shiftright(_hi, _s + 2)")})
+    above = (F.col("_d") > 0) & (F.col("_up") < F.col("_down"))
+    at = at.withColumns({"_up": F.when(above, F.col("_up") * 4).otherwise(F.col("_b")), "_down": F.when(above, F.col("_down") * 4).otherwise(F.col("_b"))})
+    at = at.withColumns({"_x": F.greatest("lo", F.lit(end)), "_y": F.when(F.col("_d") == order, F.col("hi")).otherwise(F.lit(end))})
+    cells = F.explode(F.concat(_numbers("_a", "_up"), _numbers("_down", "_b"), _numbers("_x", "_y")))
+    return at.select(*keys, "_d", cells.alias("_cell")).select(*keys, (F.col("_cell") + F.expr("shiftleft(4L, 2 * _d)")).alias("uniq"))
 
 
 def from_uniq(cells: DataFrame, order: int, keys: Sequence[str] = ()) -> DataFrame:
     """The inverse of ``to_uniq``."""
-    depth = (F.floor((F.length(F.bin("uniq")) - 1) / 2) - 1).cast("int")
+    depth = F.least(F.floor((F.length(F.bin("uniq")) - 1) / 2) - 1, F.lit(order)).cast("int")
     at = cells.withColumn("_d", depth).withColumn("_c", F.expr("uniq - shiftleft(4L, 2 * _d)")).withColumn("_s", F.expr(f"shiftleft(1L, 2 * ({order} - _d))"))
     return normalise(at.select(*keys, (F.col("_c") * F.col("_s")).alias("lo"), ((F.col("_c") + 1) * F.col("_s")).alias("hi")), keys)

@@ -102,3 +102,32 @@ def test_statistics_and_medians(spark):
     assert row["n"] == len(known) if "n" in row else True
     assert any(x == pytest.approx(known.mean()) for x in row.values() if isinstance(x, float))
     assert any(x == pytest.approx(np.abs(known).max()) for x in row.values() if isinstance(x, float))
+
+
+def _cells(lo, hi, order):
+    """The fewest whole cells of a range by the definition, and the integers beyond the last pixel one by one."""
+    out, end = [], 12 << 2 * order
+    while lo < hi:
+        depth = next(d for d in range(order + 1) if d == order or (lo < end and lo % 4 ** (order - d) == 0 and lo + 4 ** (order - d) <= min(hi, end)))
+        out.append(4 ** (depth + 1) + lo // 4 ** (order - depth))
+        lo += 4 ** (order - depth)
+    return out
+
+
+@pytest.mark.parametrize("order", [0, 1, 3, 6, 29])
+def test_cells_and_integers_beyond_the_last_pixel(spark, order):
+    """Keys above 12 * 4**order once took numbers of deeper cells, and came back wrong or overflowed."""
+    rng, end = np.random.default_rng(order), 12 << 2 * order
+    most = min(end, 5000)
+    rows = [(1, max(0, end - 21), end + 30), (2, end, end + 3), (3, 16 * end // 12, 16 * end // 12 + 2), (4, 0, end if order < 4 else 4**4)] if order < 29 else [(1, end - 21, end), (4, 0, 4**29)]
+    rows += [(5, int(a), int(a + n)) for a, n in zip(rng.integers(0, most, 30), rng.integers(0, 90, 30), strict=True)]
+    sets = spark.createDataFrame(rows, "k long, lo long, hi long")
+    plain = sorted(tuple(r) for r in R.normalise(sets, ["k"]).collect())
+    cells = R.to_uniq(sets, order, ["k"])
+    assert sorted(tuple(r) for r in cells.collect()) == sorted((k, u) for k, lo, hi in plain for u in _cells(lo, hi, order))
+    assert sorted(tuple(r) for r in R.from_uniq(cells, order, ["k"]).collect()) == plain
+
+
+def test_negative_integers_have_no_cell(spark):
+    with pytest.raises(Exception, match="numbered from 0"):
+        R.to_uniq(spark.createDataFrame([(-3, 4)], "lo long, hi long"), 2).collect()
