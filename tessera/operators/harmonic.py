@@ -8,6 +8,7 @@ by ring. So a transform shuffles numbers in proportion to its input and output,
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -168,8 +169,8 @@ def _block(blocks: int) -> Column:
     return F.pmod(F.xxhash64("ring"), F.lit(blocks)).cast("int")
 
 
-def _by_m(rings: DataFrame, mmax: int, blocks: int) -> DataFrame:
-    return rings.select("ring", "theta", _block(blocks).alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mmax).cast("long"))).alias("m"))
+def _by_m(rings: DataFrame, mmax: int, blocks: int, keep: Sequence[str] = ()) -> DataFrame:
+    return rings.select("ring", "theta", *keep, _block(blocks).alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mmax).cast("long"))).alias("m"))
 
 
 def _complex(table: pa.Table) -> np.ndarray:
@@ -182,10 +183,20 @@ def _leg_table(rings: np.ndarray, m: int, values: list[np.ndarray]) -> pa.Table:
     return pa.table({"comp": np.repeat(np.arange(len(values)), n), "ring": np.tile(rings, len(values)), "m": np.full(len(every), m), "re": every.real.copy(), "im": every.imag.copy()})
 
 
-def alm2leg(alm: DataFrame, rings: DataFrame, lmax: int, mmax: int, spin: int = 0) -> DataFrame:
-    """comp, ring, m, re, im: sums over l. ``alm`` has comp too (0 for spin 0; gradient 0 and curl 1 otherwise)."""
+def alm2leg(alm: DataFrame, rings: DataFrame, lmax: int, mmax: int, spin: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """comp, ring, m, re, im: sums over l. ``alm`` has comp too (0 for spin 0; gradient 0 and curl 1 otherwise).
+
+    Doubles of ``rings`` named in ``keep`` are added, which spares a join where each point is a ring.
+    """
 
     def run(a: pa.Table, r: pa.Table) -> pa.Table:
+        out = legs(a, r)
+        for c in keep:
+            values = r.column(c).combine_chunks()
+            out = out.append_column(c, pa.concat_arrays([values] * (out.num_rows // len(values))) if out.num_rows else pa.array([], pa.float64()))
+        return out
+
+    def legs(a: pa.Table, r: pa.Table) -> pa.Table:
         if not r.num_rows:
             return _leg_table(np.zeros(0, np.int64), 0, [])
         m, theta, rows = r.column("m")[0].as_py(), r.column("theta").to_numpy(), r.column("ring").to_numpy()
@@ -206,11 +217,17 @@ def alm2leg(alm: DataFrame, rings: DataFrame, lmax: int, mmax: int, spin: int =
     picked = alm.where((F.col("m") <= F.col("l")) & (F.col("l") <= lmax)).select(F.col("m").cast("long"), F.col("l").cast("long"), comp, "re", "im")
     blocks = _blocks(rings)
     picked = picked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return picked.groupBy("m", "_block").cogroup(_by_m(rings, mmax, blocks).groupBy("m", "_block")).applyInArrow(run, "comp long, ring long, m long, re double, im double")
+    return picked.groupBy("m", "_block").cogroup(_by_m(rings, mmax, blocks, keep).groupBy("m", "_block")).applyInArrow(run, ", ".join(["comp long, ring long, m long, re double, im double", *[f"`{c}` double" for c in keep]]))
 
 
 def leg2alm(leg: DataFrame, rings: DataFrame, lmax: int, spin: int = 0) -> DataFrame:
     """comp, l, m, re, im: the adjoint of ``alm2leg``, sums over rings."""
+    comp = "comp" if "comp" in leg.columns else F.lit(0).cast("long").alias("comp")
+    return _ring_sums(leg.select(comp, "ring", "m", "re", "im").join(rings.select("ring", "theta"), "ring"), _blocks(rings), lmax, spin)
+
+
+def _ring_sums(met: DataFrame, blocks: int, lmax: int, spin: int) -> DataFrame:
+    """``leg2alm`` of rows that have the theta of their ring."""
 
     def run(t: pa.Table) -> pa.Table:
         m, comp = t.column("m")[0].as_py(), t.column("comp").to_numpy()
@@ -231,9 +248,6 @@ def leg2alm(leg: DataFrame, rings: DataFrame, lmax: int, spin: int = 0) -> DataF
         v = np.array(v, complex)
         return pa.table({"comp": pa.array(comp_, pa.int64()), "l": pa.array(l_, pa.int64()), "m": pa.array(m_, pa.int64()), "re": v.real.copy(), "im": v.imag.copy()})
 
-    comp = "comp" if "comp" in leg.columns else F.lit(0).cast("long").alias("comp")
-    met = leg.select(comp, "ring", "m", "re", "im").join(rings.select("ring", "theta"), "ring")
-    blocks = _blocks(rings)
     parts = met.withColumn("_block", _block(blocks)).groupBy("m", "_block").applyInArrow(run, "comp long, l long, m long, re double, im double")
     return parts if blocks == 1 else parts.groupBy("comp", "l", "m").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
@@ -393,22 +407,24 @@ def _as_rings(points: DataFrame, key: str) -> DataFrame:
     return points.select(F.col(key).alias("ring"), "theta", F.col("phi").alias("phi0"))
 
 
+def leg_value() -> Column:
+    """The share of a row of ``alm2leg`` in the value at phi0."""
+    angle = F.col("m") * F.col("phi0")
+    return F.when(F.col("m") == 0, 1.0).otherwise(2.0) * (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle))
+
+
 def synthesis_general(alm: DataFrame, points: DataFrame, lmax: int, mmax: int, spin: int = 0, key: str = "id") -> DataFrame:
     """comp, key, value at any directions, by the exact sums: each is a ring of its own, whose phases are columns."""
-    rings = _as_rings(points, key)
-    met = alm2leg(alm, rings, lmax, mmax, spin).join(rings.select("ring", "phi0"), "ring")
-    angle = F.col("m") * F.col("phi0")
-    term = F.when(F.col("m") == 0, 1.0).otherwise(2.0) * (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle))
-    return met.groupBy("comp", F.col("ring").alias(key)).agg(F.sum(term).alias("value"))
+    met = alm2leg(alm, _as_rings(points, key), lmax, mmax, spin, ["phi0"])
+    return met.groupBy("comp", F.col("ring").alias(key)).agg(F.sum(leg_value()).alias("value"))
 
 
 def adjoint_synthesis_general(points: DataFrame, lmax: int, mmax: int, spin: int = 0, key: str = "id") -> DataFrame:
     """The adjoint of ``synthesis_general``; ``points`` holds key, theta, phi, value and, with spin, comp."""
-    rings = _as_rings(points, key).distinct()
     comp = "comp" if "comp" in points.columns else F.lit(0).cast("long").alias("comp")
-    every = points.select(comp, F.col(key).alias("ring"), "phi", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mmax).cast("long"))).alias("m"))
+    every = points.select(comp, F.col(key).alias("ring"), "theta", "phi", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(mmax).cast("long"))).alias("m"))
     angle = F.col("m") * F.col("phi")
-    return leg2alm(every.select("comp", "ring", "m", (F.col("value") * F.cos(angle)).alias("re"), (-F.col("value") * F.sin(angle)).alias("im")), rings, lmax, spin)
+    return _ring_sums(every.select("comp", "ring", "m", "theta", (F.col("value") * F.cos(angle)).alias("re"), (-F.col("value") * F.sin(angle)).alias("im")), _blocks(points), lmax, spin)
 
 
 def to_full(alm: DataFrame, spin: int = 0) -> DataFrame:

@@ -94,10 +94,10 @@ def _phase(k: Column | int, comp: Column) -> Column:
 
 def convolved(sky: DataFrame, beam: DataFrame, pointings: DataFrame, lmax: int, kmax: int, key: str = "id") -> DataFrame:
     """key, value: the sky's integral over the beam turned to each pointing (key, theta, phi, psi), by the exact sums."""
-    points = pointings.select(key, "theta", "phi")
-    seen = [H.synthesis_general(beam_coefficients(sky, beam, k), points, lmax, lmax, k, key).withColumn("k", F.lit(k).cast("long")) for k in range(kmax + 1)]
-    met = reduce(DataFrame.unionByName, seen).join(pointings.select(key, "psi"), key)
-    return met.groupBy(key).agg(F.sum(F.col("value") * _phase(F.col("k"), F.col("comp"))).alias("value"))
+    rings = pointings.select(F.col(key).alias("ring"), "theta", F.col("phi").alias("phi0"), "psi")
+    legs = [H.alm2leg(beam_coefficients(sky, beam, k), rings, lmax, lmax, k, ["phi0", "psi"]) for k in range(kmax + 1)]
+    seen = [leg.select("ring", (H.leg_value() * _phase(F.lit(k), F.col("comp"))).alias("value")) for k, leg in enumerate(legs)]
+    return reduce(DataFrame.unionByName, seen).groupBy(F.col("ring").alias(key)).agg(F.sum("value").alias("value"))
 
 
 def convolved_adjoint(pointings: DataFrame, beam: DataFrame, lmax: int, kmax: int, key: str = "id") -> DataFrame:
@@ -166,4 +166,4 @@ def pseudo_analysis_general(points: DataFrame, lmax: int, mmax: int, spin: int =
     """The same for values at any directions: key, theta, phi, value and, with spin, comp."""
     held = points if "comp" in points.columns else points.withColumn("comp", F.lit(0).cast("long"))
     places = held.select(key, "theta", "phi").distinct()
-    return least_squares(held, lambda a: H.synthesis_general(a, places, lmax, mmax, spin, key), lambda p: H.adjoint_synthesis_general(p.join(places, key), lmax, mmax, spin, key), ["comp", key], maxiter, epsilon)
+    return least_squares(held, lambda a: H.synthesis_general(a, places, lmax, mmax, spin, key), lambda p: H.adjoint_synthesis_general(p.join(places.hint("merge"), key), lmax, mmax, spin, key), ["comp", key], maxiter, epsilon)

@@ -132,5 +132,5 @@ def pseudo_analysis_general(points: DataFrame, lmax: int, mmax: int, spin: int =
     places = held.select(key, "theta", "phi").distinct()
     inner = max(0.1 * epsilon, 1e-11)
     forward = lambda a: I.synthesis_general(a, places, lmax, mmax, spin, key, inner)
-    adjoint = lambda p: I.adjoint_synthesis_general(p.join(places, key), lmax, mmax, spin, inner)
+    adjoint = lambda p: I.adjoint_synthesis_general(p.join(places.hint("merge"), key), lmax, mmax, spin, inner)
     return lsmr(held, forward, adjoint, ("comp", key), maxiter, epsilon, epsilon, conlim)

@@ -111,3 +111,15 @@ def test_least_squares_finds_the_coefficients(spark):
     assert 0 < steps <= 12 and left < 1e-8
     assert all(abs(found[r[:3]].re - r[3]) + abs(found[r[:3]].im - r[4]) < 1e-7 for r in rows)
     assert R.pseudo_analysis(H.synthesis(alm, rings, lmax, lmax).where("false"), rings, lmax, lmax)[1:] == (0, 0.0)
+
+
+def test_no_table_of_points_is_broadcast(spark):
+    """A broadcast of all points, which Spark chose by the size of a small file, ended the adjoint's driver at 900,000 points."""
+    lmax, kmax, rng = 3, 2, np.random.default_rng(6)
+    sky, beam = (spark.createDataFrame(_alm(rng, lmax, m), SCHEMA) for m in (lmax, kmax))
+    points = spark.range(40).selectExpr("id", "0.1 + id / 20D as theta", "id * 0.3D as phi", "id * 0.2D as psi", "id / 7D - 1 as value")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (H.synthesis_general(sky, points, lmax, lmax), H.adjoint_synthesis_general(points, lmax, lmax)):
+        assert "Join" not in plan(df)
+    for df, joins in ((R.convolved(sky, beam, points, lmax, kmax), kmax + 1), (R.convolved_adjoint(points, beam, lmax, kmax), kmax + 1)):
+        assert plan(df).count("Join") == joins  # each of coefficients only
