@@ -1,140 +1,138 @@
 """Numbers along a Hilbert curve in two and three dimensions, as columns.
 
-The published bitwise method (Skilling 2004) works on one bit of all coordinates at a time. Bits are folded over with
-``aggregate``, whose accumulator holds the coordinates, so the plan does not grow with the number of bits.
+The published bitwise method (Skilling 2004) works on one bit of all coordinates at a time. What it does to the lower
+bits is an order of the axes and an inversion of some: a state, of which there are few. So several bits go at a step, by
+a table of state and bits that is made once. The steps are plain expressions, each used by the next and by the result,
+which Spark compiles and computes once a row; there are at most 8 in two dimensions and 11 in three.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AXES = "xyz"
+#: Bits of a coordinate that go at a step, by the number of axes.
+WIDTHS = {2: 4, 3: 2}
 
 
 def _long(value: int | Column) -> Column:
     return (F.lit(value) if isinstance(value, int) else value).cast("long")
 
 
-def _state(values: Sequence[Column]) -> Column:
-    return F.struct(*[v.alias(a) for a, v in zip(AXES, values, strict=False)])
-
-
-def _fields(state: Column, n: int) -> list[Column]:
-    return [state[a] for a in AXES[:n]]
-
-
-def _bit(value: Column, q: Column) -> Column:
-    return value.bitwiseAND(q) != 0
-
-
-def _power(b: Column) -> Column:
-    return F.call_function("shiftleft", _long(1), b.cast("int"))
-
+def _checked(n: int, bits: int) -> None:
+    if n not in (2, 3) or not 1 <= bits <= 63 // n:
+        raise ValueError("two or three coordinates of up to 31 or 21 bits")
 
-def _shiftright(value: Column, b: Column) -> Column:
-    return F.call_function("shiftright", value, b.cast("int"))
 
+def _level(state: tuple, given: Sequence[int]) -> tuple[tuple, tuple]:
+    """The curve's digit, bit by bit, of one bit of each coordinate, and the state of the bits below.
 
-def _turns(x: list[Column], q: Column, order: Sequence[int]) -> list[Column]:
-    """One bit of the exchange and inversion of low bits, for the axes in turn."""
-    p = q - 1
-    for i in order:
-        hit = _bit(x[i], q)
-        t = x[0].bitwiseXOR(x[i]).bitwiseAND(p)
-        if i == 0:
-            x = [F.when(hit, x[0].bitwiseXOR(p)).otherwise(x[0]), *x[1:]]
+    A state is the axis and the inversion that each place takes, and whether the Gray code is inverted.
+    """
+    places, odd = list(state[0]), state[1]
+    x = [given[axis] ^ turned for axis, turned in places]
+    for i, hit in enumerate(x):
+        if hit:
+            places[0] = (places[0][0], places[0][1] ^ 1)
         else:
-            first, own = F.when(hit, x[0].bitwiseXOR(p)).otherwise(x[0].bitwiseXOR(t)), F.when(hit, x[i]).otherwise(x[i].bitwiseXOR(t))
-            x = [first, *x[1:i], own, *x[i + 1 :]]
-    return x
-
+            places[0], places[i] = places[i], places[0]
+    gray = [sum(x[: i + 1]) % 2 for i in range(len(x))]
+    return tuple(g ^ odd for g in gray), (tuple(places), odd ^ gray[-1])
+
+
+@cache
+def _levels(n: int) -> tuple[list, list]:
+    """For each state: digit and following state by the coordinates' bits; and the states after 0, 1.. levels of zeros."""
+    states, known = [(tuple((i, 0) for i in range(n)), 0)], []
+    for state in states:
+        known.append({})
+        for given in product((0, 1), repeat=n):
+            digit, after = _level(state, given)
+            if after not in states:
+                states.append(after)
+            known[-1][given] = (digit, states.index(after))
+    zeros = [0]
+    while (after := known[zeros[-1]][(0,) * n][1]) != 0:
+        zeros.append(after)
+    return known, zeros
+
+
+def _bundled(levels: Sequence[Sequence[int]], form: str) -> int:
+    """Bits of some levels as one number: axis after axis, or level after level, for Morton numbers from the last axis on."""
+    bits = zip(*levels, strict=True) if form == "axes" else [level[::-1] for level in levels] if form == "morton" else levels
+    return int("".join(str(b) for part in bits for b in part), 2)
+
+
+@cache
+def _table(n: int, source: str, target: str) -> str:
+    """By state and bits of a step in the form ``source``: the bits in the form ``target``, and above them the next state."""
+    known, _ = _levels(n)
+    width = WIDTHS[n]
+    size = 1 << n * width
+    out = [0] * (len(known) * size)
+    for first in range(len(known)):
+        for levels in product(product((0, 1), repeat=n), repeat=width):
+            digits, state = [], first
+            for given in levels:
+                digit, state = known[state][given]
+                digits.append(digit)
+            forms = {f: _bundled(digits if f == "hilbert" else levels, f) for f in (source, target)}
+            out[first * size + forms[source]] = state * size + forms[target]
+    return ",".join(map(str, out))
+
+
+def _walked(values: Sequence[Column], n: int, bits: int, source: str, target: str) -> Column:
+    """Coordinates (``axes``) or one number in the form ``source``, in the form ``target``; of larger ones the low bits count."""
+    _checked(n, bits)
+    width = WIDTHS[n]
+    steps, size = -(-bits // width), 1 << n * width
+    zeros = _levels(n)[1]
+    entry = F.lit(zeros[(bits - steps * width) % len(zeros)] * size)  # levels of zeros above the highest bit lead to the first state
+    table = F.split(F.lit(_table(n, source, target)), ",").cast("array<int>")
 
-def _bits_down(bits: int, least: int) -> Column:
-    return F.sequence(F.lit(bits - 1), F.lit(least), F.lit(-1)) if bits > least else F.array().cast("array<int>")
+    def parts(form: str) -> list[tuple[str, int, int]]:
+        """Name, bits a level and place in a step's bits of each number of a form."""
+        return [(a, 1, width * (n - 1 - i)) for i, a in enumerate(AXES[:n])] if form == "axes" else [("x", n, 0)]
 
+    out = [_long(0) for _ in parts(target)]
+    for k in range(steps - 1, -1, -1):
+        here = entry.bitwiseAND(F.lit(-size))
+        for v, (_, w, at) in zip(values, parts(source), strict=True):
+            given = F.shiftright(_long(v), k * width * w).bitwiseAND(_long((1 << min(width, bits - k * width) * w) - 1))
+            here = here.bitwiseOR(F.shiftleft(given.cast("int"), at))
+        entry = table[here]
+        for i, (_, w, at) in enumerate(parts(target)):
+            found = F.shiftright(entry, at).bitwiseAND(F.lit((1 << width * w) - 1)).cast("long")
+            out[i] = out[i].bitwiseOR(F.shiftleft(found, k * width * w))
+    return F.struct(*[v.alias(a) for v, (a, _, _) in zip(out, parts(target), strict=True)]) if target == "axes" else out[0]
 
-def _bits_up(least: int, bits: int) -> Column:
-    return F.sequence(F.lit(least), F.lit(bits - 1)) if bits > least else F.array().cast("array<int>")
 
-
-def _checked(n: int, bits: int) -> None:
-    if n not in (2, 3) or not 1 <= bits <= 63 // n:
-        raise ValueError("two or three coordinates of up to 31 or 21 bits")
+def _one(code: Column | str) -> list[Column]:
+    return [F.col(code) if isinstance(code, str) else code]
 
 
 def hilbert(coords: Sequence[Column | str], bits: int) -> Column:
     """The number along the curve of two or three non-negative coordinates of ``bits`` bits."""
-    n = len(coords)
-    _checked(n, bits)
-    start = _state([_long(F.col(c) if isinstance(c, str) else c) for c in coords])
-    turned = F.aggregate(_bits_down(bits, 1), start, lambda s, b: _state(_turns(_fields(s, n), _power(b), range(n))))
-
-    def gray(s: Column) -> Column:
-        x = _fields(s, n)
-        for i in range(1, n):
-            x[i] = x[i].bitwiseXOR(x[i - 1])
-        t = F.aggregate(_bits_down(bits, 1), _long(0), lambda t, b: F.when(_bit(x[n - 1], _power(b)), t.bitwiseXOR(_power(b) - 1)).otherwise(t))
-        return _state([v.bitwiseXOR(t) for v in x])
-
-    def packed(s: Column) -> Column:
-        def one(code: Column, b: Column) -> Column:
-            for v in _fields(s, n):
-                code = code * 2 + _shiftright(v, b).bitwiseAND(_long(1))
-            return code
-
-        return F.aggregate(_bits_down(bits, 0), _long(0), one)
-
-    # a step is bound as the only element of an array, so that the optimiser does not write it out where it is used again
-    bound = F.transform(F.transform(F.array(turned), gray), packed)
-    return F.element_at(bound, 1)
+    return _walked([F.col(c) if isinstance(c, str) else c for c in coords], len(coords), bits, "axes", "hilbert")
 
 
 def unhilbert(code: Column | str, n: int, bits: int) -> Column:
     """The coordinates x, y (and z) of a number along the curve, as a struct."""
-    _checked(n, bits)
-    value = _long(F.col(code) if isinstance(code, str) else code)
-
-    def unpacked(v: Column) -> Column:
-        def one(s: Column, b: Column) -> Column:
-            return _state([x * 2 + _shiftright(v, b * n + (n - 1 - i)).bitwiseAND(_long(1)) for i, x in enumerate(_fields(s, n))])
-
-        return F.aggregate(_bits_down(bits, 0), _state([_long(0)] * n), one)
-
-    def ungray(s: Column) -> Column:
-        x = _fields(s, n)
-        t = _shiftright(x[n - 1], F.lit(1))
-        for i in range(n - 1, 0, -1):
-            x[i] = x[i].bitwiseXOR(x[i - 1])
-        x[0] = x[0].bitwiseXOR(t)
-        return _state(x)
-
-    def unturned(s: Column) -> Column:
-        return F.aggregate(_bits_up(1, bits), s, lambda a, b: _state(_turns(_fields(a, n), _power(b), range(n - 1, -1, -1))))
-
-    return F.element_at(F.transform(F.transform(F.transform(F.array(value), unpacked), ungray), unturned), 1)
+    return _walked(_one(code), n, bits, "hilbert", "axes")
 
 
 def morton2hilbert(code: Column | str, n: int, bits: int) -> Column:
     """The number along the curve of a Morton number, whose lowest bit is the first coordinate's."""
-    value = _long(F.col(code) if isinstance(code, str) else code)
-    axis = lambda v, d: F.aggregate(_bits_down(bits, 0), _long(0), lambda a, b: a * 2 + _shiftright(v, b * n + d).bitwiseAND(_long(1)))
-    parts = F.transform(F.array(value), lambda v: _state([axis(v, d) for d in range(n)]))
-    return F.element_at(F.transform(parts, lambda s: hilbert(_fields(s, n), bits)), 1)
+    return _walked(_one(code), n, bits, "morton", "hilbert")
 
 
 def hilbert2morton(code: Column | str, n: int, bits: int) -> Column:
-    def packed(s: Column) -> Column:
-        def one(out: Column, b: Column) -> Column:
-            for v in reversed(_fields(s, n)):
-                out = out * 2 + _shiftright(v, b).bitwiseAND(_long(1))
-            return out
-
-        return F.aggregate(_bits_down(bits, 0), _long(0), one)
-
-    return F.element_at(F.transform(F.array(unhilbert(code, n, bits)), packed), 1)
+    return _walked(_one(code), n, bits, "hilbert", "morton")
 
 
 def nest2peano(pix: Column | str, nside: int) -> Column:

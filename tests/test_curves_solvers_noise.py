@@ -39,6 +39,16 @@ def test_curve_of_many_bits_and_morton_numbers(spark, n, bits):
         assert r.h == r.same and r.back == r.m
 
 
+@pytest.mark.parametrize("n,bits", [(2, 5), (3, 2)])
+def test_curve_is_compiled_and_keeps_nulls(spark, n, bits):
+    """Folds over bits were interpreted for each row."""
+    test_curve_visits_every_cell_by_single_steps(spark, n, bits)
+    cells = spark.range(3).select(*[F.when(F.col("id") > 0, F.col("id")).alias(a) for a in "xyz"[:n]])
+    found = cells.withColumn("h", V.hilbert(list("xyz"[:n]), bits)).withColumn("m", V.hilbert2morton("h", n, bits)).withColumn("b", V.unhilbert("h", n, bits)["y"]).withColumn("k", V.morton2hilbert("m", n, bits))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.h is None, r.b, r.h == r.k) for r in found.orderBy("x").collect()] == [(True, None, True), (False, 1, True), (False, 2, True)]
+
+
 def test_peano_numbers_of_pixels(spark):
     """Each face is walked pixel by pixel, over a common edge."""
     nside = 8
