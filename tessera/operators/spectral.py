@@ -372,9 +372,15 @@ def good_size(n: int, real: bool = False) -> int:
 
 
 def good_sizes(df: DataFrame, column: str, limit: int, real: bool = False) -> DataFrame:
-    """Adds ``good_size`` to a table of lengths up to ``limit``; the smooth numbers below twice that are a short literal."""
-    numbers = F.array(*[F.lit(v).cast("long") for v in smooth_numbers(2 * limit, real)])
-    return df.withColumn("good_size", F.array_min(F.filter(numbers, lambda v: v >= F.col(column))))
+    """Adds ``good_size`` to a table of lengths up to ``limit``; the smooth numbers up to twice that are a short literal.
+
+    They are halved again and again to find the first that is not below a length; lengths above all of them get null.
+    """
+    known, n = smooth_numbers(2 * limit, real), F.col(column)
+    numbers = F.split(F.lit(",".join(map(str, known))), ",").cast("array<long>")
+    halves = F.array(*[F.lit(1 << b) for b in range(len(known).bit_length() - 1, -1, -1)])
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get(numbers, at + step - 1) < n, at + step).otherwise(at))
+    return df.withColumn("good_size", F.when(n.isNotNull(), F.get(numbers, below)))
 
 
 def power_spectrum(df: DataFrame, n: int, axis: str = "n") -> DataFrame:

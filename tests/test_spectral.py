@@ -68,3 +68,14 @@ def test_long_convolution(spark, monkeypatch, n, n_out):
     expect = S.convolve_axis(x, {"n": n}, "n", kernel, n_out)
     monkeypatch.setattr(S, "EXACT_LENGTH", 4)
     same(S.convolve_axis(x, {"n": n}, "n", kernel, n_out), expect, ("value",))
+
+
+@pytest.mark.parametrize("real", [False, True])
+def test_good_sizes_are_found_by_halving(spark, real):
+    """Each length was once held against every smooth number."""
+    limit = 64
+    lengths = spark.range(-1, 2 * limit + 3).select(F.when(F.col("id") >= 0, F.col("id")).alias("n"))
+    found = S.good_sizes(lengths, "n", limit, real)
+    assert "filter(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        assert r.good_size == (None if r.n is None or r.n > 2 * limit else S.good_size(r.n, real))
